@@ -121,14 +121,17 @@ def byte_windows(c: Column | str, width: int = SHINGLE_WIDTH) -> Column:
     Windows are byte strings (they may cut a character): as strings they are hashed in linear
     time by ``array_distinct``, which falls back to pairwise comparison on binary values.
     """
-    b = F.encode(trim_space(as_col(c)), "UTF-8")
-    n = F.octet_length(b)
-    return (
-        F.when(n == 0, F.array().cast("array<string>"))
-        .when(n <= width, F.array(b.cast("string")))
-        .otherwise(F.array_distinct(
-            F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(b, i, width).cast("string"))))
-    )
+    def windows(b: Column) -> Column:
+        n = F.octet_length(b)
+        return (
+            F.when(n == 0, F.array().cast("array<string>"))
+            .when(n <= width, F.array(b.cast("string")))
+            .otherwise(F.array_distinct(F.transform(
+                F.sequence(F.lit(1), n - width + 1), lambda i: F.substring(b, i, width).cast("string"))))
+        )
+
+    # binding the bytes to a lambda variable keeps them from being computed once per window
+    return F.get(F.transform(F.array(F.encode(trim_space(as_col(c)), "UTF-8")), windows), F.lit(0))
 
 
 def canonical_views(value: Column | str) -> Column:

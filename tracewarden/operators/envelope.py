@@ -7,10 +7,11 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tracewarden.functions.asof import carry_last
 from tracewarden.functions.ranks import as_col
-from tracewarden.schema import FINDING
+from tracewarden.schema import FIELD, FINDING
 
 _ENVELOPE = "jsonrpc string, id string, method string, params string, result string, error string, _bad string"
 TASK_METHODS = ("tasks/send", "tasks/sendSubscribe", "tasks/get", "tasks/cancel")
@@ -73,7 +74,7 @@ def message_kind(method: str = "method", rpc_id: str = "id") -> Column:
     )
 
 
-@F.arrow_udf("array<struct<name:string,value:string>>")
+@F.arrow_udf(ArrayType(FIELD))
 def _leaves(params: pa.Array, result: pa.Array, error: pa.Array) -> pa.Array:
     out = []
     for p, r, e in zip(params.to_pylist(), result.to_pylist(), error.to_pylist()):

@@ -74,7 +74,7 @@ def merkle_nodes(leaves: DataFrame) -> DataFrame:
             part = blocks.select("block", F.posexplode(inner).alias("k", "row")).select(
                 (F.lit(base) + F.col("k")).alias("level"),
                 F.col("block"), F.col("k"), F.posexplode("row").alias("i", "hash")).select(
-                "level", (F.col("block") * F.shiftleft(F.lit(1).cast("bigint"), F.lit(levels) - F.col("k")) + F.col("i")).alias("idx"), "hash")
+                "level", F.expr(f"block * shiftleft(1L, {levels} - k) + i").alias("idx"), "hash")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -91,7 +91,7 @@ def merkle_proof(leaves: DataFrame, wanted: DataFrame | None = None) -> DataFram
     base = leaves.join(wanted, "idx", "left_semi").select("idx", F.col("hash").alias("leaf"))
     if depth == 0:
         return base.withColumn("path", F.array().cast("array<struct<level:int,sibling:string,right:boolean>>"))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda k: k)
+    levels = F.sequence(F.lit(0), F.lit(depth - 1))
     asked = base.select("idx", "leaf", F.explode(levels).alias("level"))
     own = F.expr("shiftright(idx, level)")
     width = F.expr(f"shiftright({n - 1}L, level) + 1")

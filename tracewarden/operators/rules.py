@@ -73,6 +73,9 @@ def with_views(messages: DataFrame, rules: list[dict], base64: bool = True) -> D
         .withColumn("_views", F.zip_with("_raw_views", "_scan", lambda v, n: F.struct(
             v["name"].alias("name"), v["value"].alias("value"), v["enc"].alias("enc"),
             _visible(F.coalesce(n["nfkc"], v["value"])).alias("norm"), n["seen"].alias("seen"))))
+        .withColumn("_views", F.transform("_views", lambda v: F.struct(
+            v["name"].alias("name"), v["value"].alias("value"), v["enc"].alias("enc"),
+            v["norm"].alias("norm"), v["seen"].alias("seen"), (v["norm"] != v["value"]).alias("changed"))))
         .drop("_raw_views", "_scan")
     )
 
@@ -167,7 +170,7 @@ def detect_rules(messages: DataFrame, rules: DataFrame | list[dict], base64: boo
             rule_matches(rules, F.col("method"), F.col("direction"), view),
             lambda m, rpos: F.struct(
                 rpos.alias("rpos"), vpos.alias("vpos"), m.alias("match"), view["name"].alias("name"),
-                view["enc"].alias("enc"), (view["norm"] != view["value"]).alias("changed")))
+                view["enc"].alias("enc"), view["changed"].alias("changed")))
         return F.filter(slots, lambda s: s["match"].isNotNull())
 
     meta = rule_meta(rules)
