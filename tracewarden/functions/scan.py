@@ -88,7 +88,8 @@ def scan_views(views: Column, exact: dict[int, list[str]], folded: dict[int, lis
         return pa.ListArray.from_arrays(
             pa.array(offsets, pa.int32()), inner, mask=column.is_null() if column.null_count else None)
 
-    return scan(F.transform(views, F.make_valid_utf8))
+    # marked non-deterministic so that Catalyst neither copies it into pushed-down filters nor repeats it
+    return scan.asNondeterministic()(F.transform(views, F.make_valid_utf8))
 
 
 def _strip(text: str) -> str:

@@ -119,7 +119,8 @@ def _error_message(text: str | None) -> str | None:
 
 def extract_fields(df: DataFrame) -> DataFrame:
     """Add ``fields``: every string leaf of params and result by dotted path, and error.message."""
-    return df.withColumn("fields", _leaves("params", "result", "error"))
+    # non-deterministic for the optimizer only: the walk is then never copied into several places
+    return df.withColumn("fields", _leaves.asNondeterministic()("params", "result", "error"))
 
 
 def _is_json_string(doc: Column, key: str) -> Column:

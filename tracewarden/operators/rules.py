@@ -223,7 +223,7 @@ def rule_scope(messages: DataFrame, rules: DataFrame | list[dict]) -> DataFrame:
 
     return (
         messages
-        .select("msg_id", F.explode("fields").alias("_field"))
+        .select("msg_id", "method", "direction", F.explode("fields").alias("_field"))
         .select("msg_id", F.col("_field.name").alias("field"), F.explode_outer(accepted(F.col("_field"))).alias("rule_id"))
         .where(F.col("rule_id").isNotNull())
     )
