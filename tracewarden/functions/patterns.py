@@ -291,8 +291,27 @@ def glob_to_regex(glob: str) -> str:
     return r"\A" + body + r"\z"
 
 
+def sql_string(text: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def glob_sql(glob: str, path: str) -> str:
+    """SQL predicate: does the path expression match ``glob``? Compiled when the plan is built."""
+    if glob == "**":
+        return "true"
+    if "*" not in glob:
+        return f"{path} = {sql_string(glob)}"
+    parts = glob.split(".")
+    if parts[-1] == "**" and "*" not in "".join(parts[:-1]):
+        # the common "prefix.**" form needs no regex
+        prefix = ".".join(parts[:-1])
+        return f"({path} = {sql_string(prefix)} OR startswith({path}, {sql_string(prefix + '.')}))"
+    return f"concat('.', {path}) RLIKE {sql_string(glob_to_regex(glob))}"
+
+
 def glob_match(glob: str, path):
-    """Boolean Column: does ``path`` match ``glob``? Compiled when the plan is built."""
+    """Boolean Column: does ``path`` match ``glob``?"""
     from pyspark.sql import functions as F
 
     from tracewarden.functions.ranks import as_col
@@ -302,11 +321,6 @@ def glob_match(glob: str, path):
         return F.lit(True)
     if "*" not in glob:
         return path == glob
-    parts = glob.split(".")
-    if parts[-1] == "**" and "*" not in "".join(parts[:-1]):
-        # the common "prefix.**" form needs no regex
-        prefix = ".".join(parts[:-1])
-        return (path == prefix) | path.startswith(prefix + ".")
     return F.concat(F.lit("."), path).rlike(glob_to_regex(glob))
 
 

@@ -104,6 +104,6 @@ def _invisible(ch: str) -> bool:
             or 0xE0000 <= code <= 0xE007F or 0xE0100 <= code <= 0xE01EF)
 
 
-def seen_slot(seen: Column, slot: int) -> Column:
-    word = F.element_at(seen, slot // WORD_BITS + 1)
-    return word.bitwiseAND(F.lit(1 << (slot % WORD_BITS)).cast("bigint")) != 0
+def seen_slot(seen: str, slot: int) -> str:
+    """SQL test of a guard slot in a ``seen`` expression."""
+    return f"({seen}[{slot // WORD_BITS}] & {1 << (slot % WORD_BITS)}L) != 0"

@@ -12,11 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.patterns import (
-    glob_match,
-    required_literals,
-    to_java,
-)
+from tracewarden.functions.patterns import glob_sql, required_literals, sql_string, to_java
 from tracewarden.functions.ranks import (
     mode_of_rank,
     MODE_RANK,
@@ -73,9 +69,6 @@ def with_views(messages: DataFrame, rules: list[dict], base64: bool = True) -> D
         .withColumn("_views", F.zip_with("_raw_views", "_scan", lambda v, n: F.struct(
             v["name"].alias("name"), v["value"].alias("value"), v["enc"].alias("enc"),
             _visible(F.coalesce(n["nfkc"], v["value"])).alias("norm"), n["seen"].alias("seen"))))
-        .withColumn("_views", F.transform("_views", lambda v: F.struct(
-            v["name"].alias("name"), v["value"].alias("value"), v["enc"].alias("enc"),
-            v["norm"].alias("norm"), v["seen"].alias("seen"), (v["norm"] != v["value"]).alias("changed"))))
         .drop("_raw_views", "_scan")
     )
 
@@ -84,56 +77,41 @@ def _visible(c: Column) -> Column:
     return F.when(F.octet_length(c) > F.length(c), strip_invisible(c)).otherwise(c)
 
 
-def in_scope(rule: dict, method: Column, direction: Column) -> Column | None:
-    """Method and direction test of a rule; None when it accepts every message."""
+def scope_sql(rule: dict, name: str) -> str:
+    """SQL test of a rule's methods, directions and field globs; ``true`` when it accepts everything."""
     tests = []
-    if rule["targets"]:
-        tests.append(method.isin(*rule["targets"]))
-    if rule["directions"]:
-        tests.append(direction.isin(*rule["directions"]))
-    return _all(tests)
-
-
-def field_in_scope(rule: dict, name: Column) -> Column | None:
-    if not rule["fields"] or "**" in rule["fields"]:
-        return None
-    out = None
-    for glob in rule["fields"]:
-        hit = glob_match(glob, name)
-        out = hit if out is None else out | hit
-    return out
-
-
-def _all(tests: list) -> Column | None:
-    out = None
-    for t in tests:
-        if t is not None:
-            out = t if out is None else out & t
-    return out
-
-
-def _first_match(rule: dict, view: Column, slots: list[int | None]) -> Column:
-    """Text matched by the first pattern that matches, else NULL."""
-    text = view["value"] if rule.get("view") == "raw" else view["norm"]
-    out = None
+    for column, allowed in (("method", rule["targets"]), ("direction", rule["directions"])):
+        if allowed:
+            tests.append(f"{column} IN (" + ", ".join(map(sql_string, allowed)) + ")")
+    if rule["fields"] and "**" not in rule["fields"]:
+        tests.append("(" + " OR ".join(glob_sql(g, name) for g in rule["fields"]) + ")")
+    return " AND ".join(tests) or "true"
+
+
+def _match_sql(rule: dict, slots: list[int | None]) -> str:
+    """CASE with the text of the first pattern that matches view ``v``."""
+    text = "v.value" if rule.get("view") == "raw" else "v.norm"
+    arms = []
     for pattern, slot in zip(rule["patterns"], slots):
-        java = to_java(pattern, rule["case_sensitive"])
-        test = text.rlike(java)
-        if slot is not None:
-            test = seen_slot(view["seen"], slot) & test
-        found = F.regexp_extract(text, java, 0)
-        out = F.when(test, found) if out is None else out.when(test, found)
-    return out
-
-
-def rule_matches(rules: list[dict], method: Column, direction: Column, view: Column) -> Column:
-    """array<string> with one slot per rule: the matched text or NULL."""
-    table, slots = guards_of(rules)[0], []
+        java = sql_string(to_java(pattern, rule["case_sensitive"]))
+        guard = "" if slot is None else seen_slot("v.seen", slot) + " AND "
+        arms.append(f"WHEN {guard}{text} RLIKE {java} THEN regexp_extract({text}, {java}, 0)")
+    return "CASE " + " ".join(arms) + " END"
+
+
+def rule_matches_sql(rules: list[dict], scopes: list[str]) -> str:
+    """array<string> over view ``v`` with one slot per rule: the matched text or NULL.
+
+    ``scopes`` lists the distinct scope tests, whose results are in ``v.scope``. One SQL text keeps the
+    expression small and spares the thousands of driver calls of the equivalent Column tree.
+    """
+    table = guards_of(rules)[0]
+    slots = []
     for i, rule in enumerate(rules):
-        hit = _first_match(rule, view, [table.get((i, k)) for k in range(len(rule["patterns"]))])
-        scope = _all([in_scope(rule, method, direction), field_in_scope(rule, view["name"])])
-        slots.append(hit if scope is None else F.when(scope, hit))
-    return F.array(*slots)
+        match = _match_sql(rule, [table.get((i, k)) for k in range(len(rule["patterns"]))])
+        scope = scope_sql(rule, "v.name")
+        slots.append(match if scope == "true" else f"IF(v.scope[{scopes.index(scope)}], {match}, NULL)")
+    return "array(" + ",\n".join(slots) + ")"
 
 
 def rule_meta(rules: list[dict]) -> Column:
@@ -164,14 +142,12 @@ def detect_rules(messages: DataFrame, rules: DataFrame | list[dict], base64: boo
     if not rules:
         return messages.withColumn(out, F.array().cast(f"array<{FINDING.simpleString()}>"))
     viewed = with_views(messages, rules, base64)
-
-    def hits(view: Column, vpos: Column) -> Column:
-        slots = F.transform(
-            rule_matches(rules, F.col("method"), F.col("direction"), view),
-            lambda m, rpos: F.struct(
-                rpos.alias("rpos"), vpos.alias("vpos"), m.alias("match"), view["name"].alias("name"),
-                view["enc"].alias("enc"), view["changed"].alias("changed")))
-        return F.filter(slots, lambda s: s["match"].isNotNull())
+    scopes = sorted({scope_sql(r, "v.name") for r in rules})
+    scoped = ("transform(_views, v -> named_struct('name', v.name, 'value', v.value, 'enc', v.enc, 'norm', v.norm, "
+              f"'seen', v.seen, 'changed', v.norm != v.value, 'scope', array({', '.join(scopes)})))")
+    hits = ("flatten(transform(_views, (v, vpos) -> filter(transform(" + rule_matches_sql(rules, scopes) +
+            ", (m, rpos) -> named_struct('rpos', rpos, 'vpos', vpos, 'match', m, 'name', v.name, 'enc', v.enc, "
+            "'changed', v.changed)), h -> h.match IS NOT NULL)))")
 
     meta = rule_meta(rules)
 
@@ -185,7 +161,8 @@ def detect_rules(messages: DataFrame, rules: DataFrame | list[dict], base64: boo
 
     return (
         viewed
-        .withColumn("_hits", F.flatten(F.transform("_views", hits)))
+        .withColumn("_views", F.expr(scoped))
+        .withColumn("_hits", F.expr(hits))
         .withColumn(out, F.transform(F.array_sort("_hits"), finding))
         .drop("_views", "_hits")
     )
@@ -213,18 +190,12 @@ def rule_scope(messages: DataFrame, rules: DataFrame | list[dict]) -> DataFrame:
     """Which rules look at which field: one row per (message, field, rule)."""
     rules = collect_rules(rules)
 
-    def accepted(field: Column) -> Column:
-        slots = []
-        for rule in rules:
-            test = _all([in_scope(rule, F.col("method"), F.col("direction")),
-                         field_in_scope(rule, field["name"])])
-            slots.append(F.lit(rule["id"]) if test is None else F.when(test, F.lit(rule["id"])))
-        return F.array_compact(F.array(*slots))
-
+    arms = ", ".join(f"IF({scope_sql(r, 'field')}, {sql_string(r['id'])}, NULL)" for r in rules)
     return (
         messages
         .select("msg_id", "method", "direction", F.explode("fields").alias("_field"))
-        .select("msg_id", F.col("_field.name").alias("field"), F.explode_outer(accepted(F.col("_field"))).alias("rule_id"))
+        .select("msg_id", "method", "direction", F.col("_field.name").alias("field"))
+        .select("msg_id", "field", F.explode_outer(F.expr(f"array_compact(array({arms}))")).alias("rule_id"))
         .where(F.col("rule_id").isNotNull())
     )
 
