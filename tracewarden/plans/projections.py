@@ -20,7 +20,7 @@ def spread(df: DataFrame) -> DataFrame:
     A table of many row groups already has more splits than cores and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

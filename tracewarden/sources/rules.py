@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,26 @@ def load_rule_packs(spark: SparkSession, path: str) -> DataFrame:
     return rules_table(spark, rules)
 
 
+def complete_rules(rules: list[dict], category: str = "") -> list[dict]:
+    """Definitions with defaults filled in and the content hash, without a Spark job."""
+    done = [_complete(r, category, i) for i, r in enumerate(rules)]
+    for rule in done:
+        rule["content_hash"] = hashlib.sha256(_hashed_text(rule).encode()).hexdigest()
+    return done
+
+
+def default_rule_list() -> list[dict]:
+    return complete_rules(DEFAULT_RULES)
+
+
+def _hashed_text(rule: dict) -> str:
+    scalars = [("id", rule["id"]), ("category", rule["category"]), ("severity", rule["severity"]), ("mode", rule["mode"]),
+               ("case_sensitive", str(rule["case_sensitive"]).lower()), ("confidence", f"{rule['confidence']:g}")]
+    lists = [(label, v) for label, key in (("target", "targets"), ("direction", "directions"), ("field", "fields"),
+                                           ("pattern", "patterns")) for v in rule[key]]
+    return "".join(f"{label}: {value}\n" for label, value in scalars + lists)
+
+
 def collect_rules(rules: DataFrame | list[dict]) -> list[dict]:
     """Rule definitions as dictionaries (hash included), in pack order."""
     if isinstance(rules, list):
