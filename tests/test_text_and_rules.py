@@ -145,3 +145,12 @@ def test_registered_detector_and_policy_annotation(spark):
     finally:
         unregister_detector("always")
     assert out.action == "block" and [f.rule_id for f in out.findings] == ["mine", "policy.match"] and out.severity == "low"
+
+
+def test_sql_functions(spark):
+    from tracewarden.functions.register import register_functions
+
+    register_functions(spark)
+    row = spark.sql("SELECT severity_rank('high') r, mode_rank('warn') m, severity_weight('low') w, strip_invisible(nfkc('ａ​b')) n, "
+                    "size(byte_windows('abcdefghijklmnopqrstuvwxyz')) s").first()
+    assert tuple(row) == (3, 1, 1.0, "ab", 3)

@@ -2,44 +2,32 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from tracewarden.functions import ranks, text
-from tracewarden.functions.patterns import glob_to_regex
-
-_UNARY = {
-    "normalize_text": (text.normalize_text, "string", "string"),
-    "base64_candidates": (text.base64_candidates, "string", "array<string>"),
-    "shingles": (text.shingles, "string", "array<string>"),
-    "severity_rank": (ranks.severity_rank, "string", "int"),
-    "mode_rank": (ranks.mode_rank, "string", "int"),
-    "severity_weight": (ranks.severity_weight, "string", "double"),
-}
+from tracewarden.functions.patterns import sql_string
 
 
 def register_functions(spark: SparkSession) -> list[str]:
-    """Register what SQL can express as Catalyst expressions; Arrow functions are registered as such."""
-    case = {"severity_rank": ranks.SEVERITY_RANK, "mode_rank": ranks.MODE_RANK}
-    for name, table in case.items():
-        arms = " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items())
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS INT RETURN CASE s {arms} ELSE 0 END")
-    arms = " ".join(f"WHEN '{k}' THEN {v}D" for k, v in ranks.SEVERITY_WEIGHT.items())
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION severity_weight(s STRING) RETURNS DOUBLE "
-              f"RETURN CASE s {arms} ELSE 0D END")
+    """Register temporary functions: Catalyst expressions where SQL can say it, else Arrow functions.
+
+    ``strip_invisible(nfkc(x))`` is ``normalize_text``. Byte shingles of one view:
+    ``byte_windows(x)``; globs are compiled at plan time by ``patterns.glob_sql``.
+    """
+    def case(name: str, table: dict, kind: str, default: str, suffix: str = "") -> None:
+        arms = " ".join(f"WHEN {sql_string(k)} THEN {v}{suffix}" for k, v in table.items())
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURNS {kind} RETURN CASE s {arms} ELSE {default} END")
+
+    case("severity_rank", ranks.SEVERITY_RANK, "INT", "0")
+    case("mode_rank", ranks.MODE_RANK, "INT", "0")
+    case("severity_weight", ranks.SEVERITY_WEIGHT, "DOUBLE", "0D", "D")
     spark.udf.register("nfkc", text.nfkc_udf)
-    invisible = re.sub(r"\\", r"\\\\", text.INVISIBLE)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION strip_invisible(s STRING) RETURNS STRING "
-              f"RETURN regexp_replace(s, '{invisible}', '')")
-    return ["severity_rank", "mode_rank", "severity_weight", "nfkc", "strip_invisible"]
-
-
-def glob_sql(glob: str, path: str) -> str:
-    """SQL predicate of a glob over a path expression."""
-    java = glob_to_regex(glob).replace("\\", "\\\\").replace("'", "\\'")
-    return f"concat('.', {path}) RLIKE '{java}'" if "*" in glob and glob != "**" else f"{path} RLIKE '{java}'"
-
-
-__all__ = ["register_functions", "glob_sql", "F"]
+              f"RETURN regexp_replace(s, {sql_string(text.INVISIBLE)}, '')")
+    width = text.SHINGLE_WIDTH
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION byte_windows(s STRING) RETURNS ARRAY<STRING> RETURN "
+        f"get(transform(array(encode(trim(s), 'UTF-8')), b -> CASE WHEN octet_length(b) = 0 THEN cast(array() AS ARRAY<STRING>) "
+        f"WHEN octet_length(b) <= {width} THEN array(cast(b AS STRING)) ELSE array_distinct(transform("
+        f"sequence(1, octet_length(b) - {width - 1}), i -> cast(substring(b, i, {width}) AS STRING))) END), 0)")
+    return ["severity_rank", "mode_rank", "severity_weight", "nfkc", "strip_invisible", "byte_windows"]

@@ -121,7 +121,7 @@ def finding_rate_spikes(ledger: DataFrame, as_of: dt.datetime, window: dt.timede
 
 
 def suppress_repeats(findings: DataFrame, window: dt.timedelta = WINDOW, keys: tuple = ("rule_id", "match"),
-                     ts: str = "ts", seq: str = "seq") -> DataFrame:
+                     ts: str = "ts", seq: str = "seq", chunk_windows: int = 64) -> DataFrame:
     """Drop a finding that comes within one window of the last one emitted for its key.
 
     The emitted times of a key form a chain: from an emitted time, the next is the first time at
@@ -131,7 +131,7 @@ def suppress_repeats(findings: DataFrame, window: dt.timedelta = WINDOW, keys: t
     then marks its emitted times. No task ever holds more of a key than one chunk.
     """
     width = int(window.total_seconds() * 1_000_000)
-    chunk = width * 64
+    chunk = width * chunk_windows
     keyed = findings.withColumn("_t", F.unix_micros(ts)).withColumn("_chunk", F.floor(F.col("_t") / chunk))
     # rows with the same key and time: only the first can be emitted
     times = keyed.groupBy(*keys, "_chunk", "_t").agg(F.min(seq).alias("_first_seq"))

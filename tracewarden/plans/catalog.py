@@ -612,7 +612,7 @@ def _(s, d):
 def _(s, d):
     m = messages(s, d).withColumn("findings", F.array().cast("array<struct<category:string,confidence:double>>"))
     candidates = judge.judge_candidates(m)
-    c = F.length("content") % 4
+    c = F.length("msg_id") % 4
     answer = (F.when(c == 0, F.lit('```json\n{"verdict":"malicious","confidence":0.9,"rationale":"r"}\n```'))
               .when(c == 1, F.lit('{"verdict":"benign","confidence":0.9}'))
               .when(c == 2, F.lit('{"verdict":"malicious","category":"tool-poisoning","confidence":0.5}')))

@@ -307,7 +307,9 @@ u AS (SELECT msg_id, c, unnest(range(1, len(c) + 1)) AS i FROM a)""",
         f"SELECT msg_id, 'heuristic.injection_density' AS rule_id, {_SEV} AS severity, round(score, 6)::double AS confidence, {_CONTRIB} AS contributors FROM scored WHERE score >= 0.3"),
     "judge_candidates": _with(_MESSAGES, _features_sql("messages_v"), f"scored AS (SELECT *, least(1.0, 1.0 - {_SCORE}) AS score FROM feat)",
         "SELECT msg_id, field, octet_length(encode(value))::int AS n FROM scored WHERE octet_length(encode(value)) >= 64 AND score < 0.7"),
-    "apply_judge_verdicts": _with(_MESSAGES, """k AS (SELECT msg_id, field, length(CASE WHEN octet_length(encode(value)) > 4096 THEN NULL ELSE value END) % 4 AS c FROM messages_v WHERE octet_length(encode(value)) >= 64)""", "SELECT 1") and None,
+    "apply_judge_verdicts": _with(_MESSAGES, "k AS (SELECT msg_id, field, length(msg_id) % 4 AS c FROM messages_v WHERE octet_length(encode(value)) >= 64)",
+        """SELECT msg_id, CASE c WHEN 3 THEN 'judge.transport_error' ELSE 'judge.layer3' END AS rule_id, CASE c WHEN 3 THEN 'transport' WHEN 2 THEN 'tool-poisoning' ELSE 'prompt-injection' END AS category,
+ CASE c WHEN 3 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS severity, field, (CASE c WHEN 3 THEN 0.1 WHEN 2 THEN 0.5 ELSE 0.9 END)::double AS confidence FROM k WHERE c <> 1"""),
     "extract_card_fields": _with(_CARDS, """f AS (SELECT msg_id, turn, 0 AS o, 'card.name' AS name, length(name) AS n FROM cards_v UNION ALL SELECT msg_id, turn, 1, 'card.description', length(description) FROM cards_v WHERE description <> ''
  UNION ALL SELECT msg_id, turn, 2, 'card.url', length(url) FROM cards_v UNION ALL SELECT msg_id, turn, 3, 'card.provider.organization', length(org) FROM cards_v
  UNION ALL SELECT msg_id, turn, 4, 'card.skills.0.description', length(role) FROM cards_v UNION ALL SELECT msg_id, turn, 5, 'card.skills.0.tags.0', length(role) FROM cards_v UNION ALL SELECT msg_id, turn, 6, 'card.skills.0.tags.1', 1 FROM cards_v)""",
@@ -327,8 +329,23 @@ u AS (SELECT msg_id, c, unnest(range(1, len(c) + 1)) AS i FROM a)""",
         f"""SELECT msg_id, CASE WHEN bool_or(rule_id = 'pl.core.credit_card') OR bool_or(mode = 'block') THEN 'block' WHEN bool_or(mode = 'warn') THEN 'warn' ELSE 'allow' END AS action,
  CASE max({_rank('severity')}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
  string_agg(rule_id, '|' ORDER BY ord) || CASE WHEN bool_or(rule_id = 'pl.core.credit_card') THEN '|policy.match' ELSE '' END AS rule_ids FROM f JOIN o USING (rule_id) GROUP BY msg_id"""),
-    "evaluate_a2a": None,
-    "evaluate_cards": None,
+    "evaluate_a2a": _with(_RPC, """f AS (SELECT *, CASE role WHEN 'assistant' THEN coalesce((SELECT max_by(q.method, q.ts) FROM rpc q WHERE q.agent_run_id = rpc.agent_run_id AND q.id = rpc.id AND q.method <> '' AND q.ts < rpc.ts), '') ELSE method END AS m FROM rpc)""",
+        "messages_v AS (SELECT msg_id, m AS method, CASE role WHEN 'assistant' THEN 'outbound' ELSE 'inbound' END AS direction, CASE role WHEN 'user' THEN 'params.message.text' WHEN 'assistant' THEN 'result.message.text' ELSE 'params.data' END AS field, text AS value FROM f)",
+        _CLEAN, "hit AS (" + _rules_sql(DEFAULT_RULES, "msg_id, rule_id, severity", "clean_v") + ")",
+        "o AS (SELECT * FROM (VALUES " + ",".join(f"({_q(r['id'])},{i},{_q(r['mode'])})" for i, r in enumerate(DEFAULT_RULES)) + ") v(rule_id, ord, mode))",
+        f"""h AS (SELECT msg_id, max({_rank('severity')}) AS sev, max(CASE mode WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS md, string_agg(rule_id, '|' ORDER BY ord) AS ids FROM hit JOIN o USING (rule_id) GROUP BY 1)""",
+        """t AS (SELECT msg_id, role, first(CASE WHEN role = 'user' THEN text ELSE '' END) OVER w AS f0, text, coalesce(bool_or(role = 'assistant') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS begun
+ FROM rpc WHERE role IN ('user','assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
+        "d AS (SELECT msg_id FROM t WHERE role = 'user' AND begun AND f0 <> '' AND text <> f0)",
+        """SELECT rpc.msg_id, CASE coalesce(md, 0) WHEN 2 THEN 'block' WHEN 1 THEN 'warn' ELSE 'allow' END AS action,
+ CASE greatest(coalesce(sev, 0), CASE WHEN d.msg_id IS NULL THEN 0 ELSE 3 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
+ concat_ws('|', ids, CASE WHEN d.msg_id IS NOT NULL THEN 'task.scope_drift' END) AS rule_ids FROM rpc LEFT JOIN h USING (msg_id) LEFT JOIN d ON d.msg_id = rpc.msg_id"""),
+    "evaluate_cards": _with(_CARDS, """messages_v AS (SELECT msg_id, 'agent.card' AS method, 'outbound' AS direction, 'card.description' AS field, description AS value FROM cards_v
+ UNION ALL SELECT msg_id, 'agent.card', 'outbound', 'card.url', url FROM cards_v UNION ALL SELECT msg_id, 'agent.card', 'outbound', 'card.name', name FROM cards_v)""",
+        _CLEAN, "hit AS (" + _rules_sql(DEFAULT_RULES, "msg_id, severity", "clean_v") + ")",
+        f"""k AS (SELECT c.msg_id, signed AND NOT (org IN ('org-0','org-1','org-2') AND sig_ok) AS invalid, signed, coalesce(max({_rank('h.severity')}), 0) AS sev FROM cards_v c LEFT JOIN hit h USING (msg_id) GROUP BY ALL)""",
+        "s AS (SELECT *, greatest(sev, CASE WHEN invalid THEN 3 WHEN NOT signed THEN 1 ELSE 0 END) AS top FROM k)",
+        """SELECT msg_id, CASE WHEN invalid THEN 'block' ELSE 'allow' END AS action, top < 3 AS delivered, CASE top WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity FROM s"""),
     "canonical_records": None,
     "chain_ledger": None,
     "verify_chain": _with(_LEDGER, """SELECT concat('segment-', cast((seq - 1) // 500 AS string)) AS chain_id, count(*) AS records, count(*) FILTER (seq % 997 = 0) = 0 AS ok, min(seq) FILTER (seq % 997 = 0) AS bad_seq,
@@ -340,8 +357,8 @@ g AS (SELECT seq, string_agg(rule_id, '|' ORDER BY pos) AS rule_ids, string_agg(
         """SELECT seq, iat AS ingest_at, 'ev-' || cast(seq AS string) AS event_id, iat AS "timestamp", protocol, direction, action, severity, agent_run_id, counterparty, method, n_findings::bigint AS finding_count,
  coalesce(rule_ids, '') AS rule_ids, coalesce(categories, '') AS categories, severity AS highest_severity, '' AS source, '' AS destination, raw FROM t LEFT JOIN g USING (seq)"""),
     "siem_payloads": _with(_LEDGER, "SELECT seq, epoch_us(ts) // 1000000 AS time, action FROM ledger_v WHERE severity IN ('high','critical')"),
-    "verify_payloads": None,
-    "rule_content_hash": None,
+    "verify_payloads": _with(_LEDGER, "SELECT seq, seq % 10 <> 0 AS verified, 'sha256=' || sha256(unhex('" + bytes(b ^ 0x5C for b in b"k1".ljust(64, b"\0")).hex()
+        + "') || unhex(sha256(unhex('" + bytes(b ^ 0x36 for b in b"k1".ljust(64, b"\0")).hex() + "') || encode(raw)))) AS signature FROM ledger_v"),
     "malformed_findings": None,
     "score_against_labels": None,
 }
