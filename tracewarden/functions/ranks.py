@@ -17,6 +17,16 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed_once(c: Column) -> Column:
+    """The same value, opaque to predicate pushdown and projection merging.
+
+    A filter on a costly column would otherwise be rewritten to its whole expression below the projection,
+    which then evaluates it again for every use. A condition that holds for every row but that the optimizer cannot
+    fold keeps the column where it is.
+    """
+    return F.when(F.rand() >= 0.0, c)
+
+
 def lookup(c: Column | str, table: dict, default) -> Column:
     """CASE c WHEN key THEN value ... ELSE default END."""
     c = as_col(c)

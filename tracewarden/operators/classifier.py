@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.ranks import as_col
+from tracewarden.functions.ranks import as_col, computed_once
 from tracewarden.functions.text import truncate_bytes
 
 THRESHOLD = 0.45
@@ -213,7 +213,7 @@ def classify_fields(messages: DataFrame, threshold: float = THRESHOLD, min_len:
             F.lit("score"), x["score"].cast("string"),
             F.lit("contributors"), F.array_join(contributors(x["s"]), ","),
             F.lit("mode"), F.lit(mode)).alias("metadata")))
-    return messages.withColumn(out, findings)
+    return messages.withColumn(out, computed_once(findings))
 
 
 def classify(messages: DataFrame, threshold: float = THRESHOLD, min_len: int = MIN_LENGTH,

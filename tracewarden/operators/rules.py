@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.patterns import glob_sql, required_literals, sql_string, to_java
 from tracewarden.functions.ranks import (
+    computed_once,
     mode_of_rank,
     MODE_RANK,
     severity_of_rank,
@@ -163,7 +164,7 @@ def detect_rules(messages: DataFrame, rules: DataFrame | list[dict], base64: boo
         viewed
         .withColumn("_views", F.expr(scoped))
         .withColumn("_hits", F.expr(hits))
-        .withColumn(out, F.transform(F.array_sort("_hits"), finding))
+        .withColumn(out, computed_once(F.transform(F.array_sort("_hits"), finding)))
         .drop("_views", "_hits")
     )
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.ranks import action_of_mode, severity_rank
+from tracewarden.functions.ranks import action_of_mode, computed_once, severity_rank
 from tracewarden.operators.cards import card_trust, extract_card_fields, validate_card
 from tracewarden.operators.classifier import classify_fields
 from tracewarden.operators.envelope import TASK_METHODS, block_reason, server_name, task_signals, tool_name
@@ -52,7 +52,7 @@ def detect(messages: DataFrame, rules: list[dict], classifier: bool = True) -> D
         out = fn(out)
         parts.append(name)
     merged = F.concat(*[F.coalesce(F.col(p).cast(_FINDINGS), _none()) for p in parts])
-    return out.withColumn("findings", merged).drop(*parts)
+    return out.withColumn("findings", computed_once(merged)).drop(*parts)
 
 
 def _decide(messages: DataFrame, rules: list[dict], policies: DataFrame | None) -> DataFrame:
