@@ -152,3 +152,15 @@ def test_policy_ties_and_specificity(spark):
     for inline in (100, 0):
         got = policy.resolve_policy(df, pols, "warn", max_inline=inline).orderBy("seq").collect()
         assert [(r.seq, r.matched_policy.id) for r in got] == want
+
+
+def test_tool_name_is_the_top_level_string(spark):
+    docs = ['{"name":"a"}', '{"name":3,"arguments":{"name":"b"}}', '{"arguments":{}}', None, "[1]", "broken"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, params string")
+    assert [r[1] for r in df.select("i", envelope.tool_name("params")).orderBy("i").collect()] == ["a", "", "", "", "", ""]
+
+
+def test_read_traffic_text_keeps_repeated_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('{"id":1}\n{"id":1}\n\n{"id":2}\n')
+    rows = traffic.read_traffic(spark, str(tmp_path), "text").collect()
+    assert len(rows) == 3 and len({r.msg_id for r in rows}) == 3

@@ -123,15 +123,10 @@ def extract_fields(df: DataFrame) -> DataFrame:
     return df.withColumn("fields", _leaves.asNondeterministic()("params", "result", "error"))
 
 
-def _is_json_string(doc: Column, key: str) -> Column:
-    return doc.rlike(rf'"{key}"\s*:\s*"')
-
-
 def tool_name(params: Column | str = "params") -> Column:
     """``name`` of a params object when it is a string, else the empty string."""
-    doc = as_col(params)
-    value = F.get_json_object(doc, "$.name")
-    return F.when(_is_json_string(doc, "name"), F.coalesce(value, F.lit(""))).otherwise(F.lit(""))
+    name = F.try_variant_get(F.try_parse_json(as_col(params)), "$.name", "variant")
+    return F.when(F.schema_of_variant(name) == "STRING", F.coalesce(name.cast("string"), F.lit(""))).otherwise(F.lit(""))
 
 
 def server_name(mode: str = "live", direction: str = "direction", source: str = "source",

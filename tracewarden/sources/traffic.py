@@ -9,11 +9,14 @@ from tracewarden.schema import TRAFFIC
 
 
 def read_traffic(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """TRAFFIC rows. ``text`` takes one raw JSON-RPC message per line and leaves the rest empty."""
+    """TRAFFIC rows. ``text`` takes one raw JSON-RPC message per line and leaves the rest empty.
+
+    ``msg_id`` must be unique, later operators join on it; text lines get their position in the input.
+    """
     if format == "text":
         lines = spark.read.text(path).where(F.trim("value") != "")
         others = [F.lit(None).cast(f.dataType).alias(f.name) for f in TRAFFIC if f.name not in ("msg_id", "raw")]
-        return lines.select(F.xxhash64("value").cast("string").alias("msg_id"), *others, F.col("value").alias("raw"))
+        return lines.select(F.monotonically_increasing_id().cast("string").alias("msg_id"), *others, F.col("value").alias("raw"))
     reader = spark.read.schema(TRAFFIC)
     if format == "json":
         return reader.option("mode", "PERMISSIVE").json(path)
