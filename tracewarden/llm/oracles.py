@@ -108,3 +108,13 @@ mixed AS (SELECT doc_id, domain, lang, source, epoch, n_tokens, n_tokens AS take
           UNION ALL SELECT doc_id, domain, lang, source, whole, n_tokens, least(n_tokens, room) FROM p WHERE room > 0)
 SELECT doc_id, domain, lang, source, CAST(epoch AS bigint) AS epoch, CAST(n_tokens AS bigint) AS n_tokens, CAST(take AS bigint) AS take FROM mixed
 """
+
+PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 12] AS s FROM d, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13),
+gone AS (SELECT DISTINCT doc_id, p FROM win JOIN (SELECT s, min(doc_id) AS m FROM win GROUP BY s) AS x USING (s), unnest(range(i, i + 13)) AS t(p) WHERE m < doc_id),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w[p], ' ' ORDER BY p) AS k FROM (
+  SELECT doc_id, w, p FROM d, unnest(range(1, len(w) + 1)) AS t(p)) AS a ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, CAST(len(w) - coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

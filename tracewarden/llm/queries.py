@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, secrets
-from .oracles import CHAT_SQL, DECONTAMINATE_SQL, SECRETS_SQL, mixing_sql
+from . import chat, decontaminate, mixing, passages, secrets
+from .oracles import CHAT_SQL, DECONTAMINATE_SQL, PASSAGES_SQL, SECRETS_SQL, mixing_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,14 @@ def op1_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", *MIX_LEVELS, "epoch", "n_tokens", "take")
 
 
+# -- 2: repeated passages -----------------------------------------------------------------------------------
+
+@_query(PASSAGES_SQL)
+def op2_remove_repeats(spark, sf_dir):
+    out = passages.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 # -- 6: decontamination -----------------------------------------------------------------------------------
 
 @_query(DECONTAMINATE_SQL)
