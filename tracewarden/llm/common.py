@@ -81,6 +81,11 @@ def broadcast_blocks(table: DataFrame, size: Column, key: Column, block_bytes: i
     return [F.broadcast(table.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)) for i in range(parts)]
 
 
+def broadcast_if_proven(table: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """A broadcast where the counted rows prove a size below ``limit``; larger tables take the shuffle join."""
+    return F.broadcast(table) if table.count() * row_bytes <= limit else table
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, passages, secrets
+from . import chat, decontaminate, mixing, near, passages, secrets
 from .oracles import CHAT_SQL, DECONTAMINATE_SQL, PASSAGES_SQL, SECRETS_SQL, mixing_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,15 @@ def op2_remove_repeats(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+# -- 5: near duplicates --------------------------------------------------------------------------------------
+
+@_query()
+def op5_near_duplicates(spark, sf_dir):
+    out = near.near_components(_table(spark, sf_dir, "documents"), size=3, percent=85)
+    kept = F.col("component").isNull() | (F.col("id") == F.col("component"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 # -- 6: decontamination -----------------------------------------------------------------------------------
 
 @_query(DECONTAMINATE_SQL)
