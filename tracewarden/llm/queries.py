@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near, passages, secrets
+from . import chat, decontaminate, mixing, near, passages, secrets, toxicity
 from .oracles import CHAT_SQL, DECONTAMINATE_SQL, PASSAGES_SQL, SECRETS_SQL, mixing_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,14 @@ def op7_scan_secrets(spark, sf_dir):
         F.sha2(secrets.spans_text(base_spans), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+# -- 8: toxicity ----------------------------------------------------------------------------------------------
+
+@_query()
+def op8_score_toxicity(spark, sf_dir):
+    out = toxicity.score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
 # -- 9: chat -------------------------------------------------------------------------------------------------
 
 def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
