@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near, passages, secrets, toxicity
+from . import chat, decontaminate, language_model, mixing, near, nearest, passages, secrets, toxicity
 from .oracles import CHAT_SQL, DECONTAMINATE_SQL, PASSAGES_SQL, SECRETS_SQL, mixing_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,20 @@ def op2_remove_repeats(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+# -- 3: nearest neighbours -----------------------------------------------------------------------------------
+
+@_query()
+def op3_nearest(spark, sf_dir):
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+# -- 4: language model ----------------------------------------------------------------------------------------
+
+@_query()
+def op4_language_model(spark, sf_dir):
+    return language_model.score_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # -- 5: near duplicates --------------------------------------------------------------------------------------
 
 @_query()
