@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, mixing, near, nearest, passages, secrets, toxicity
+from . import chat, decontaminate, language, language_model, mixing, near, nearest, passages, secrets, toxicity
+from .common import crc_fold
 from .oracles import CHAT_SQL, DECONTAMINATE_SQL, PASSAGES_SQL, SECRETS_SQL, mixing_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,25 @@ def op9_format_chat(spark, sf_dir):
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
         F.char_length("under").cast("bigint").alias("loss_chars"), F.sha2(F.encode("under", "UTF-8"), 256).alias("loss_sha256"),
         "formatted_chars")
+
+
+# -- 10: language -------------------------------------------------------------------------------------------
+
+def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, with their source as host, and pages, with what their markup and address say."""
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    none = lambda kind: F.lit(None).cast(kind)
+    host = language.host_of(F.col("url"))
+    return docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), none("bigint").alias("page_id"), F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        none("string").alias("declared"), none("string").alias("suffix"), none("string").alias("domain"), F.col("source").alias("host"), "text",
+    ).unionByName(pages.select(
+        none("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), F.lit(True).alias("held_out"),
+        language.declared_language(F.col("html")).alias("declared"), language.address_suffix(F.col("url")).alias("suffix"),
+        F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"), host.alias("host"), language.page_text(F.col("html")).alias("text")))
+
+
+@_query()
+def op10_identify_language(spark, sf_dir):
+    labelled = _table(spark, sf_dir, "documents").where(F.coalesce(crc_fold(F.col("doc_id"), 3) != 1, F.lit(True))).select("lang", "text")
+    return language.identify(language_rows(spark, sf_dir), labelled).select("doc_id", "page_id", "held_out", "declared", "suffix", "host", "lang", "score")
