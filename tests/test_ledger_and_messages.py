@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.operators import cards, envelope, judge, ledger, merkle, policy
+from tracewarden.operators import queries as lookups
 from tracewarden.sources import exports, traffic
 from tracewarden.sources.ledger import read_ledger, write_ledger
 
@@ -149,11 +150,32 @@ def test_policy_ties_and_specificity(spark):
     rows = [(1, "", "", "", "m", []), (2, "x", "", "", "m", []), (3, "x", "", "srv", "m", [("r", "c", "high")]), (4, "x", "", "srv", "m", [("r", "c", "low")])]
     df = spark.createDataFrame(rows, "seq int, tenant_id string, sensor_id string, server_name string, method string, findings array<struct<rule_id:string,category:string,severity:string>>")
     want = [(1, "b"), (2, "t"), (3, "s"), (4, "t")]
-    for inline in (100, 0):
-        got = policy.resolve_policy(df, pols, "warn", max_inline=inline).orderBy("seq").collect()
+    for limit in (1 << 20, -1):
+        got = policy.resolve_policy(df.repartition(7, "seq"), pols, "warn", broadcast_bytes=limit).orderBy("seq").collect()
         assert [(r.seq, r.matched_policy.id) for r in got] == want
 
 
+def test_many_policies_and_shuffled_events(spark):
+    """More than a thousand policies over all kinds of scope: broadcast and joined lists agree, row by row."""
+    many = [{"id": f"p{i}", "mode": ("monitor", "warn", "block")[i % 3], **({"tenant_id": f"t{i % 5}"} if i & 1 else {}),
+             **({"sensor_id": f"s{i % 7}"} if i & 2 else {}), **({"server_name": f"v{i % 3}"} if i & 4 else {}), "enabled": i % 11 > 0,
+             **({"methods": ["m"]} if i % 13 == 0 else {}), **({"min_severity": "high"} if i % 4 == 0 else {})} for i in range(1200)]
+    pols = policy.policies_table(spark, many)
+    rows = [(i, f"t{i % 6}", f"s{i % 8}", f"v{i % 4}", "m" if i % 2 else "n", [("r", "c", ("low", "high")[i % 2])] if i % 3 else []) for i in range(400)]
+    df = spark.createDataFrame(rows, "seq int, tenant_id string, sensor_id string, server_name string, method string, findings array<struct<rule_id:string,category:string,severity:string>>")
+    answers = [[(r.seq, r.mode, r.matched_policy and r.matched_policy.id) for r in policy.resolve_policy(
+        df.repartition(n, "tenant_id"), pols, broadcast_bytes=limit).orderBy("seq").collect()] for n, limit in ((1, 1 << 24), (5, -1))]
+    assert answers[0] == answers[1] and len(answers[0]) == 400
+
+
+def test_limits(spark):
+    led = spark.createDataFrame([(i, "x", [], "allow", "m", "t") for i in range(200)], "seq long, severity string, findings array<struct<rule_id:string,category:string,severity:string>>, action string, method string, tenant_id string")
+    assert lookups.query_events(led, limit=None).count() == 200 and lookups.query_events(led).count() == 50
+    for bad in (0, -1, "5"):
+        with pytest.raises(ValueError):
+            lookups.query_events(led, limit=bad)
+
+
 def test_tool_name_is_the_top_level_string(spark):
     docs = ['{"name":"a"}', '{"name":3,"arguments":{"name":"b"}}', '{"arguments":{}}', None, "[1]", "broken"]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, params string")

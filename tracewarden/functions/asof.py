@@ -61,7 +61,13 @@ def _carry(df, keys, order, exprs, seconds, chunk, last):
 def running_count(df: DataFrame, keys: list[str], order: list[str], flag: Column, out: str,
                   seconds: float = HOUR) -> DataFrame:
     """Add the number of strictly earlier rows of the same key for which ``flag`` holds."""
-    rows = df.withColumn("_chunk", chunk_of(order[0], seconds)).withColumn("_one", flag.cast("bigint"))
+    return running_sum(df, keys, order, flag.cast("bigint"), out, seconds)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
+                seconds: float = HOUR) -> DataFrame:
+    """Add the sum of ``value`` over strictly earlier rows of the same key."""
+    rows = df.withColumn("_chunk", chunk_of(order[0], seconds)).withColumn("_one", value.cast("bigint"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (

@@ -22,9 +22,8 @@ UNSTABLE = (
     r"\x{4E00}-\x{9FFF}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]"
 )
 
-# Limits of the base64 scan and width of a shingle, in bytes.
+# Least length of a base64 run and width of a shingle, in bytes.
 B64_MIN = 24
-B64_MAX = 16 * 1024
 SHINGLE_WIDTH = 24
 
 
@@ -65,9 +64,11 @@ def normalize_array(c: Column | str) -> Column:
     return F.coalesce(F.transform(nfkc_array_udf(F.when(needs, valid)), strip_invisible), c)
 
 
-def truncate_bytes(c: Column | str, n: int) -> Column:
-    """First ``n`` bytes and an ellipsis; a cut inside a character moves back to its start."""
+def truncate_bytes(c: Column | str, n: int | None) -> Column:
+    """First ``n`` bytes and an ellipsis; a cut inside a character moves back to its start. ``None`` cuts nothing."""
     c = as_col(c)
+    if n is None:
+        return c
     raw = F.encode(c, "UTF-8")
     head = F.substring(raw, 1, n).cast("string")
     mid_char = F.hex(F.substring(raw, n + 1, 1)).rlike("^[89AB]")
@@ -86,16 +87,16 @@ def _mostly_printable(c: Column) -> Column:
 # Padded and unpadded forms of the standard and the URL alphabet.
 _STD, _URL = r"[A-Za-z0-9+/]", r"[A-Za-z0-9_-]"
 BASE64_LEGAL = "|".join(
-    f"^(?:{x}{{4}})*(?:{x}{{2}}==|{x}{{3}}=|{x}{{2}}|{x}{{3}})?\\z" for x in (_STD, _URL))
+    f"^(?:{x}{{4}})*+(?:{x}{{2}}==|{x}{{3}}=|{x}{{2}}|{x}{{3}})?\\z" for x in (_STD, _URL))
 
 
-def base64_runs(c: Column | str) -> Column:
-    """Maximal runs of base64 characters, 24..16384 bytes long, that some alphabet can decode."""
+def base64_runs(c: Column | str, longest: int | None = None) -> Column:
+    """Maximal runs of base64 characters, 24 bytes or longer, that some alphabet can decode."""
     c = as_col(c)
     runs = F.regexp_extract_all(c, F.lit("([A-Za-z0-9+/=_-]+)"), F.lit(1))
     return F.when(
         c.rlike(f"[A-Za-z0-9+/=_-]{{{B64_MIN}}}"),
-        F.filter(runs, lambda r: (F.length(r) >= B64_MIN) & (F.length(r) <= B64_MAX) & r.rlike(BASE64_LEGAL)),
+        F.filter(runs, lambda r: (F.length(r) >= B64_MIN) & (F.lit(True) if longest is None else F.length(r) <= longest) & r.rlike(BASE64_LEGAL)),
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -105,9 +106,9 @@ def decode_base64(run: Column) -> Column:
     return F.unbase64(F.concat(F.translate(run, "-_", "+/"), padding)).cast("string")
 
 
-def base64_candidates(c: Column | str) -> Column:
+def base64_candidates(c: Column | str, longest: int | None = None) -> Column:
     """Decoded text of every base64-looking run, kept when mostly printable."""
-    return F.filter(F.transform(base64_runs(c), decode_base64), _mostly_printable)
+    return F.filter(F.transform(base64_runs(c, longest), decode_base64), _mostly_printable)
 
 
 def trim_space(c: Column) -> Column:

@@ -11,7 +11,8 @@ from tracewarden.functions.text import truncate_bytes
 THRESHOLD = 0.45
 MIN_LENGTH = 24
 CONTRIBUTES = 0.15
-MATCH_BYTES = 160
+#: bytes of the text that a finding quotes; None quotes it whole
+MATCH_BYTES: int | None = None
 
 # The word and phrase lists the scores are defined by.
 ROLE_MARKERS = [

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from tracewarden.functions.text import truncate_bytes
 from tracewarden.schema import FINDING
 
-# Confidence limits and field sizes of the routing rule.
+# Confidence limits and the least field size of the routing rule.
 CONFIDENT = 0.7
 CONFIDENT_IN_CATEGORY = 0.85
 MIN_FIELD = 64
-MAX_FIELD = 4096
 
 
 def undecided(findings: Column | str = "findings", categories: list[str] | None = None) -> Column:
@@ -23,8 +22,8 @@ def undecided(findings: Column | str = "findings", categories: list[str] | None
 
 
 def judge_candidates(messages: DataFrame, categories: list[str] | None = None, min_len: int = MIN_FIELD,
-                     max_len: int = MAX_FIELD) -> DataFrame:
-    """Messages (``msg_id, fields, findings``) worth a review, with the longest field, cut to size."""
+                     max_len: int | None = None) -> DataFrame:
+    """Messages (``msg_id, fields, findings``) worth a review, with the longest field, cut to ``max_len`` bytes on request."""
     longest = F.array_max(F.transform(
         F.filter("fields", lambda f: F.octet_length(f["value"]) >= min_len),
         # the first of equally long fields wins

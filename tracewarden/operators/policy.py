@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.ranks import mode_rank, severity_rank
 from tracewarden.operators.envelope import server_name
+from tracewarden.operators.queries import checked_limit
 from tracewarden.schema import EVENT_SCHEMA_VERSION, POLICY
 
-MAX_INLINE = 512
+#: largest part of a policy table that is sent to all tasks
+BROADCAST_BYTES = 16 << 20
 _POLICY_DDL = POLICY.simpleString()
 
 
@@ -68,71 +70,52 @@ _WINNER = f"struct<spec:int,rank:int,pos:int,p:{_POLICY_DDL}>"
 
 
 def resolve_policy(events: DataFrame, policies: DataFrame, default_mode: Column | str = "monitor",
-                   max_inline: int = MAX_INLINE) -> DataFrame:
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``mode`` and ``matched_policy`` (NULL when none matched).
 
     Most specific scope first, then the strongest mode, then the last in the list. Events need
-    ``tenant_id, sensor_id, server_name, method, findings``. Up to ``max_inline`` enabled policies
-    become one constant array in the plan (no join, no shuffle); a larger table is joined on its
-    scope keys.
+    ``tenant_id, sensor_id, server_name, method, findings``. Policies without a scope are one constant of the plan. The
+    others are grouped by scope; for each kind of scope in use (seven at most) an event looks up the list of its own scope,
+    by a broadcast where the list's measured size is below ``broadcast_bytes``, else by a shuffle join. Events are never joined
+    with themselves, and a list is found once, so rows neither get lost nor doubled.
     """
     default = F.lit(default_mode) if isinstance(default_mode, str) and default_mode not in events.columns else (
         F.col(default_mode) if isinstance(default_mode, str) else default_mode)
-    enabled = policies.where("enabled")
-    rows = enabled.limit(max_inline + 1).collect()
-    if len(rows) <= max_inline:
-        resolved = _resolve_inline(events, rows)
-    else:
-        resolved = _resolve_joined(events, enabled)
+    fields = [f.name for f in POLICY]
+    kinds = policies.where("enabled").select(*fields, specificity(F.struct("*")).alias("_kind"))
+    sizes = {r["_kind"]: r["b"] for r in kinds.groupBy("_kind").agg(
+        F.sum(F.octet_length(F.to_json(F.struct(*fields)))).alias("b")).collect()}
+
+    def best(listed: Column) -> Column:
+        return F.array_max(F.transform(F.filter(listed, lambda p: selector_matches(p, F.col("method"), F.col("findings"))), _rank))
+
+    winners, out = [], events
+    for kind in sorted(sizes):
+        mine = kinds.where(F.col("_kind") == kind)
+        scope = [c for bit, c in ((1, "tenant_id"), (2, "sensor_id"), (4, "server_name")) if kind & bit]
+        if not scope:
+            listed = [r.asDict(recursive=True) for r in mine.select(*fields).collect()]
+            winners.append(best(F.from_json(F.lit(json.dumps(listed)), f"array<{_POLICY_DDL}>")))
+            continue
+        lists = mine.groupBy(*[F.col(c).alias(f"_on_{c}") for c in scope]).agg(
+            F.collect_list(F.struct(*fields)).alias(f"_policies_{kind}"))
+        on = [F.col(c) == F.col(f"_on_{c}") for c in scope]
+        out = out.join(F.broadcast(lists) if sizes[kind] <= broadcast_bytes else lists, on, "left").drop(*[f"_on_{c}" for c in scope])
+        winners.append(best(F.col(f"_policies_{kind}")))
+    winner = F.array_max(F.array(*winners)) if winners else F.lit(None).cast(_WINNER)
     return (
-        resolved
+        out.withColumn("_winner", winner)
         .withColumn("mode", F.coalesce("_winner.p.mode", default))
         .withColumn("matched_policy", F.col("_winner.p"))
-        .drop("_winner")
+        .select(*[c for c in events.columns if c not in ("mode", "matched_policy")], "mode", "matched_policy")
     )
 
 
-def _resolve_inline(events: DataFrame, rows: list) -> DataFrame:
-    if not rows:
-        return events.withColumn("_winner", F.lit(None).cast(_WINNER))
-    constant = F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in rows])), f"array<{_POLICY_DDL}>")
-    matching = F.filter(constant, lambda p: scope_matches(
-        p, F.col("tenant_id"), F.col("sensor_id"), F.col("server_name"))
-        & selector_matches(p, F.col("method"), F.col("findings")))
-    return events.withColumn("_winner", F.array_max(F.transform(matching, _rank)))
-
-
-def _resolve_joined(events: DataFrame, policies: DataFrame) -> DataFrame:
-    """Every event looks up its eight possible scope keys; one equi-join, then the best per event."""
-    def key(mask: int) -> Column:
-        parts = [F.when(_given(F.col(c)), F.col(c)) if mask & bit else F.lit("")
-                 for bit, c in ((1, "tenant_id"), (2, "sensor_id"), (4, "server_name"))]
-        return F.when(F.array_contains(F.array(*[p.isNull() for p in parts]), True), F.lit(None)).otherwise(
-            F.concat(F.lit(f"{mask}"), *[F.concat(F.lit("\x1f"), p) for p in parts]))
-
-    by_scope = policies.withColumn("_key", F.concat(
-        specificity(F.struct("*")).cast("string"),
-        *[F.concat(F.lit("\x1f"), F.coalesce(F.col(c), F.lit(""))) for c in ("tenant_id", "sensor_id", "server_name")]))
-    # one row per scope: the join multiplies an event by at most eight
-    by_scope = by_scope.groupBy("_key").agg(
-        F.collect_list(F.struct(*[f.name for f in POLICY])).alias("_policies"))
-    tagged = events.withColumn("_event", F.expr("uuid()"))
-    best = (
-        tagged.select("_event", "method", "findings", F.explode(F.array_compact(F.array(*[key(m) for m in range(8)]))).alias("_key"))
-        .join(by_scope, "_key")
-        .withColumn("_m", F.filter("_policies", lambda p: selector_matches(p, F.col("method"), F.col("findings"))))
-        .withColumn("_w", F.array_max(F.transform("_m", _rank)))
-        .where(F.col("_w").isNotNull())
-        .groupBy("_event").agg(F.max("_w").alias("_winner"))
-    )
-    return tagged.join(best, "_event", "left").drop("_event")
-
-
-def policy_preview(ledger: DataFrame, candidate: dict, limit: int = 500, tenant: str = "") -> DataFrame:
-    """What a candidate policy would have done to the newest recorded events (limit 1..5000)."""
-    limit = limit if 0 < limit <= 5000 else 500
+def policy_preview(ledger: DataFrame, candidate: dict, limit: int | None = 500, tenant: str = "") -> DataFrame:
+    """What a candidate policy would have done to the newest ``limit`` recorded events, or with ``None`` to all."""
     rows = ledger.where(F.col("tenant_id") == tenant) if tenant else ledger
-    rows = rows.orderBy(F.desc("seq")).limit(limit)
+    if checked_limit(limit) is not None:
+        rows = rows.orderBy(F.desc("seq")).limit(limit)
     policy = {**{f.name: None for f in POLICY}, "mode": "", **candidate}
     constant = F.from_json(F.lit(json.dumps(policy)), _POLICY_DDL)
     hit = scope_matches(constant, F.col("tenant_id"), F.col("sensor_id"), server_name("preview")) & selector_matches(

@@ -7,20 +7,29 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.functions.ranks import SEVERITY_RANK, severity_rank
+from tracewarden.functions.ranks import SEVERITY_RANK, as_col
 from tracewarden.schema import GENESIS_HASH
 
 DEFAULT_LIMIT = 50
 
 
 def meets_min_severity(c: Column | str, minimum: str) -> Column:
-    return severity_rank(c) >= F.lit(SEVERITY_RANK.get(minimum, 0))
+    """An IN list of the levels from ``minimum`` up, which a scan can use; the lowest level lets everything pass."""
+    least = SEVERITY_RANK.get(minimum, 0)
+    return as_col(c).isin(*[k for k, rank in SEVERITY_RANK.items() if rank >= least]) if least else F.lit(True)
+
+
+def checked_limit(limit: int | None) -> int | None:
+    """``None`` means all rows; anything else must be a positive number."""
+    if limit is not None and (not isinstance(limit, int) or limit <= 0):
+        raise ValueError(f"limit must be a positive number or None, not {limit!r}")
+    return limit
 
 
 def query_events(ledger: DataFrame, action: str = "", method: str = "", severity: str = "",
                  min_severity: str = "", category: str = "", search: str = "", tenant: str = "",
-                 since_seq: int = 0, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Newest matching rows first. Every test is a plain predicate, so the scan can use it."""
+                 since_seq: int = 0, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """Newest matching rows first, all of them with ``limit=None``. Every test is a plain predicate, so the scan can use it."""
     tests = []
     for name, value in (("tenant_id", tenant), ("action", action), ("method", method), ("severity", severity)):
         if value:
@@ -36,7 +45,8 @@ def query_events(ledger: DataFrame, action: str = "", method: str = "", severity
     out = ledger
     for test in tests:
         out = out.where(test)
-    return out.orderBy(F.desc("seq")).limit(limit if limit > 0 else DEFAULT_LIMIT)
+    out = out.orderBy(F.desc("seq"))
+    return out if checked_limit(limit) is None else out.limit(limit)
 
 
 def timeline(ledger: DataFrame, agent_run_id: str, tenant: str = "") -> DataFrame:

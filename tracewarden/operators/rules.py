@@ -25,7 +25,8 @@ from tracewarden.functions.text import base64_candidates, strip_invisible, trunc
 from tracewarden.schema import FINDING
 from tracewarden.sources.rules import DEFAULT_CONFIDENCE, collect_rules
 
-MATCH_BYTES = 200
+#: bytes of a match that a finding quotes; None quotes it whole
+MATCH_BYTES: int | None = None
 _META = "array<struct<rule_id:string,category:string,severity:string,description:string," \
         "confidence:double,mode:string,hash:string>>"
 

@@ -1,33 +1,45 @@
 """Data lineage from tool results to peer messages by byte shingles.
 
-A run remembers its last ``max_per_run`` tagged values. Which tagged value a message sees first is
-decided without pairing messages with all values that share a shingle: tagged values are numbered
-per run, and for every (run, shingle, block of numbers) one row says which live value comes first.
-Messages look that row up, so a shingle that occurs everywhere costs one row per occurrence and no more.
+Which tagged value a message sees first is decided without pairing messages with all values that share a shingle: for
+every (run, shingle) one row names the earliest tagged value. A message looks that row up, and the value counts if it was
+tagged before the message, so a shingle that occurs everywhere costs one row per occurrence and no more.
+
+A run remembers all it tagged (within ``ttl``, if given). ``max_per_run`` bounds the memory to a run's last values, as
+a small sensor does; then values are numbered per run and the lookup is cut into blocks of numbers.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.asof import broadcast_if_small, carry_last, running_count, small_enough
+from tracewarden.functions.asof import broadcast_if_small, carry_last, running_count, running_sum
 from tracewarden.functions.text import byte_windows, canonical_views, shingles, truncate_bytes
 from tracewarden.schema import FINDING
 
-MAX_PER_RUN = 128
 TTL = dt.timedelta(hours=2)
-SAMPLE_BYTES = 80
+#: bytes of a tagged value that hits quote; None quotes it whole
+SAMPLE_BYTES: int | None = None
 MIN_CANDIDATE = 16
-PREFILTER_ROWS = 4_000_000
+#: largest set of tagged windows that is sent to all tasks as a filter
+PREFILTER_BYTES = 64 << 20
 
 
-def _number(df: DataFrame) -> DataFrame:
-    """1-based number of each tagged value within its run, in order of creation."""
-    counted = running_count(df, ["agent_run_id"], ["ts", "taint_id"], F.lit(True), "_n")
-    return counted.withColumn("taint_no", F.col("_n") + 1).drop("_n")
+def numbered(taints: DataFrame) -> DataFrame:
+    """Add ``taint_no``: the 1-based number of each tagged value within its run, in order of time and id.
+
+    What earlier times contribute comes from one row per distinct (run, time); only values of one run and
+    instant are sorted together.
+    """
+    if "taint_no" in taints.columns:
+        return taints
+    per_time = taints.groupBy("agent_run_id", "ts").agg(F.count("*").alias("_here"))
+    earlier = running_sum(per_time, ["agent_run_id"], ["ts"], F.col("_here"), "_n").select("agent_run_id", "ts", "_n")
+    at_once = Window.partitionBy("agent_run_id", "ts").orderBy("taint_id")
+    return taints.withColumn("_r", F.row_number().over(at_once)).join(earlier, ["agent_run_id", "ts"]).withColumn(
+        "taint_no", F.col("_n") + F.col("_r")).drop("_n", "_r")
 
 
 def taint_tags(messages: DataFrame, exclude_blocked: bool = False) -> DataFrame:
@@ -51,13 +63,14 @@ def taint_tags(messages: DataFrame, exclude_blocked: bool = False) -> DataFrame:
         F.lit("mcp").alias("protocol"), F.lit("tools/call").alias("method"), "tool",
         F.col("_f.name").alias("field"), F.col("_f.value").alias("value"),
         truncate_bytes(F.col("_f.value"), SAMPLE_BYTES).alias("sample"))
-    return _number(tagged)
+    return tagged
 
 
-def live_taints(taints: DataFrame, max_per_run: int | None = MAX_PER_RUN) -> DataFrame:
+def live_taints(taints: DataFrame, max_per_run: int | None = None) -> DataFrame:
     """Tagged values a run still remembers at the end of the table."""
     if not max_per_run:
         return taints
+    taints = numbered(taints)
     last = taints.groupBy("agent_run_id").agg(F.max("taint_no").alias("_last"))
     return taints.join(last, "agent_run_id").where(F.col("taint_no") > F.col("_last") - max_per_run).drop("_last")
 
@@ -83,21 +96,18 @@ def _windows(df: DataFrame, value: str, *keep: str) -> DataFrame:
     return views.select(*keep, F.explode(byte_windows(F.col("_view"))).alias("_win"))
 
 
-def _windows_of_run(taints: DataFrame, value: str) -> DataFrame:
-    return _windows(taints, value, "agent_run_id", "taint_no").distinct()
+def _first_tagged(windows: DataFrame, key: str) -> DataFrame:
+    """(run, window) -> the tagged value that came first."""
+    return windows.groupBy("agent_run_id", key).agg(F.min(F.struct("ts", "taint_id")).alias("_first"))
 
 
-def _lookup(windows: DataFrame, key: str, max_per_run: int | None) -> DataFrame:
+def _lookup(windows: DataFrame, key: str, max_per_run: int) -> DataFrame:
     """(run, window, block) -> which live taint number comes first for a message in the block.
 
     A message that follows N tagged values sees numbers N-max+1..N. Blocks are ``max`` numbers
     wide: ``_old`` are the numbers of the previous block (they go out of sight one by one),
     ``_new`` is the first number of the block itself.
     """
-    if not max_per_run:
-        return windows.groupBy("agent_run_id", key).agg(
-            F.lit(0).cast("bigint").alias("_block"), F.array().cast("array<bigint>").alias("_old"),
-            F.min("taint_no").alias("_new"))
     own = F.floor(F.col("taint_no") / max_per_run)
     placed = windows.select("agent_run_id", key, "taint_no", F.explode(F.array(
         F.struct(own.alias("b"), F.lit(False).alias("old")),
@@ -107,36 +117,30 @@ def _lookup(windows: DataFrame, key: str, max_per_run: int | None) -> DataFrame:
         F.min(F.when(~F.col("_p.old"), F.col("taint_no"))).alias("_new"))
 
 
-def _first_live(n: Column, max_per_run: int | None) -> Column:
-    fresh = F.when(F.col("_new") <= n, F.col("_new"))
-    if not max_per_run:
-        return fresh
-    return F.coalesce(F.get(F.filter("_old", lambda r: r > n - max_per_run), F.lit(0)), fresh)
-
-
 def _seen_before(messages: DataFrame, taints: DataFrame) -> DataFrame:
-    """(msg_id, run, n): how many values the run had tagged strictly before each message."""
-    stream = messages.select("agent_run_id", "ts", F.lit(0).alias("_kind"), F.col("msg_id").cast("string").alias("_id")).unionByName(
-        taints.select("agent_run_id", "ts", F.lit(1).alias("_kind"), F.col("taint_id").alias("_id")))
-    counted = running_count(stream, ["agent_run_id"], ["ts", "_kind", "_id"], F.col("_kind") == 1, "_n")
-    return counted.where(F.col("_kind") == 0).select("agent_run_id", F.col("_id").alias("_msg"), "_n")
+    """(run, ts, n): how many values the run had tagged strictly before each time at which it sent messages."""
+    times = messages.select("agent_run_id", "ts").distinct().withColumn("_here", F.lit(0).cast("bigint"))
+    tagged = taints.groupBy("agent_run_id", "ts").agg(F.count("*").alias("_here"))
+    per_time = times.unionByName(tagged).groupBy("agent_run_id", "ts").agg(F.sum("_here").alias("_here"))
+    return running_sum(per_time, ["agent_run_id"], ["ts"], F.col("_here"), "_n").select("agent_run_id", "ts", "_n")
 
 
-def _first_hits(found: DataFrame, messages: DataFrame, taints: DataFrame, lookup: DataFrame, key: str,
+def _first_hits(found: DataFrame, messages: DataFrame, taints: DataFrame, tagged: DataFrame, key: str,
                 max_per_run: int | None) -> DataFrame:
-    """First (field, taint) per message from (msg_id, run, field position, key) occurrences."""
-    counts = _seen_before(messages, taints)
-    block = F.floor(F.col("_n") / max_per_run) if max_per_run else F.lit(0).cast("bigint")
-    placed = (
-        found.withColumn("_msg", F.col("msg_id").cast("string"))
-        .join(counts, ["agent_run_id", "_msg"]).withColumn("_block", block)
-    )
-    hits = placed.join(lookup, ["agent_run_id", key, "_block"]).withColumn(
-        "taint_no", _first_live(F.col("_n"), max_per_run)).where(F.col("taint_no").isNotNull())
+    """First (field, taint) per message from (msg_id, run, ts, field position, key) occurrences."""
+    columns = ["agent_run_id", "taint_id", "protocol", "method", "tool", "field", "sample"]
+    if not max_per_run:
+        hits = found.join(_first_tagged(tagged, key), ["agent_run_id", key]).where(F.col("_first.ts") < F.col("ts"))
+        first = hits.groupBy("msg_id", "agent_run_id").agg(F.min(F.struct("_fpos", "_first")).alias("_h"))
+        return first.select("msg_id", "agent_run_id", F.col("_h._first.taint_id").alias("taint_id")).join(taints.select(*columns), ["agent_run_id", "taint_id"])
+    placed = found.join(_seen_before(messages, taints), ["agent_run_id", "ts"]).withColumn("_block", F.floor(F.col("_n") / max_per_run))
+    fresh = F.when(F.col("_new") <= F.col("_n"), F.col("_new"))
+    live = F.coalesce(F.get(F.filter("_old", lambda r: r > F.col("_n") - max_per_run), F.lit(0)), fresh)
+    hits = placed.join(_lookup(tagged, key, max_per_run), ["agent_run_id", key, "_block"]).withColumn("taint_no", live).where(
+        F.col("taint_no").isNotNull())
     first = hits.groupBy("msg_id", "agent_run_id").agg(F.min(F.struct("_fpos", "taint_no")).alias("_h"))
-    source = taints.select("agent_run_id", "taint_no", "taint_id", "protocol", "method", "tool", "field", "sample")
     return first.select("msg_id", "agent_run_id", F.col("_h.taint_no").alias("taint_no")).join(
-        source, ["agent_run_id", "taint_no"])
+        taints.select("taint_no", *columns), ["agent_run_id", "taint_no"])
 
 
 def allowed_out(messages: DataFrame, allowed_peers: DataFrame | list[str] | None) -> DataFrame:
@@ -149,22 +153,21 @@ def allowed_out(messages: DataFrame, allowed_peers: DataFrame | list[str] | None
     return messages.join(peers, "counterparty", "left_anti")
 
 
-def leak_hits(messages: DataFrame, taints: DataFrame, max_per_run: int | None = MAX_PER_RUN) -> DataFrame:
+def leak_hits(messages: DataFrame, taints: DataFrame, max_per_run: int | None = None) -> DataFrame:
     """Messages (``msg_id, agent_run_id, ts, fields``) that repeat tagged data, with the value hit first."""
     run = messages.where(F.coalesce("agent_run_id", F.lit("")) != "")
-    leaves = run.select("msg_id", "agent_run_id", F.posexplode("fields").alias("_fpos", "_f")).where(
+    leaves = run.select("msg_id", "agent_run_id", "ts", F.posexplode("fields").alias("_fpos", "_f")).where(
         F.octet_length(F.col("_f.value")) >= MIN_CANDIDATE
-    ).select("msg_id", "agent_run_id", "_fpos", F.col("_f.value").alias("_value"))
-    tagged = _windows_of_run(taints, "value")
-    known = tagged.select("agent_run_id", F.xxhash64("agent_run_id", "_win").alias("_h")).distinct()
-    candidates = _windows(leaves, "_value", "msg_id", "agent_run_id", "_fpos").withColumn(
-        "_h", F.xxhash64("agent_run_id", "_win"))
-    # windows nobody tagged are dropped before any shuffle when the tagged set is provably small
-    if small_enough(known, PREFILTER_ROWS):
-        known = F.broadcast(known)
-    candidates = candidates.join(known.select("_h"), "_h", "left_semi").drop("_h")
-    return _first_hits(candidates, run.select("msg_id", "agent_run_id", "ts"), taints,
-                       _lookup(tagged, "_win", max_per_run), "_win", max_per_run)
+    ).select("msg_id", "agent_run_id", "ts", "_fpos", F.col("_f.value").alias("_value"))
+    if max_per_run:
+        taints = numbered(taints)
+    tagged = _windows(taints, "value", "agent_run_id", "ts", "taint_id", *(["taint_no"] if max_per_run else []))
+    candidates = _windows(leaves, "_value", "msg_id", "agent_run_id", "ts", "_fpos").withColumn("_h", F.xxhash64("agent_run_id", "_win"))
+    # windows nobody tagged are dropped before any shuffle when the tagged values are provably small: a value has no more windows than bytes
+    size = taints.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
+    known = tagged.select(F.xxhash64("agent_run_id", "_win").alias("_h")).distinct()
+    candidates = candidates.join(F.broadcast(known) if 16 * size <= PREFILTER_BYTES else known, "_h", "left_semi").drop("_h")
+    return _first_hits(candidates, run.select("msg_id", "agent_run_id", "ts"), taints, tagged, "_win", max_per_run)
 
 
 def leak_finding() -> Column:
@@ -184,7 +187,7 @@ def leak_finding() -> Column:
 
 
 def taint_leaks(messages: DataFrame, taints: DataFrame, allowed_peers: DataFrame | list[str] | None = None,
-                max_per_run: int | None = MAX_PER_RUN, ttl: dt.timedelta | None = None) -> DataFrame:
+                max_per_run: int | None = None, ttl: dt.timedelta | None = None) -> DataFrame:
     """Leaks of tagged data to peers outside the allow-list: the finding and the forced block."""
     rows = allowed_out(messages, allowed_peers)
     if ttl is not None:
@@ -221,17 +224,18 @@ def _split_epochs(messages: DataFrame, taints: DataFrame, ttl: dt.timedelta) ->
 
 def register_fingerprints(taints: DataFrame) -> DataFrame:
     """What may leave a producer: source, sample and fingerprints, no values."""
-    return taints.select("agent_run_id", "ts", "taint_id", "taint_no", "protocol", "method", "tool", "field", "sample",
+    return taints.select("agent_run_id", "ts", "taint_id", *(["taint_no"] if "taint_no" in taints.columns else []), "protocol", "method", "tool", "field", "sample",
                          shingles("value").alias("fingerprints"))
 
 
-def match_fingerprints(messages: DataFrame, registered: DataFrame, max_per_run: int | None = MAX_PER_RUN) -> DataFrame:
+def match_fingerprints(messages: DataFrame, registered: DataFrame, max_per_run: int | None = None) -> DataFrame:
     """Same answer as ``leak_hits`` from fingerprints alone.
 
     Messages carry ``fingerprints`` (array<array<string>>, one array per candidate value).
     """
-    found = messages.select("msg_id", "agent_run_id", F.posexplode("fingerprints").alias("_fpos", "_fps")).select(
-        "msg_id", "agent_run_id", "_fpos", F.explode("_fps").alias("_fp"))
-    tagged = registered.select("agent_run_id", "taint_no", F.explode("fingerprints").alias("_fp")).distinct()
-    return _first_hits(found, messages.select("msg_id", "agent_run_id", "ts"), registered,
-                       _lookup(tagged, "_fp", max_per_run), "_fp", max_per_run)
+    found = messages.select("msg_id", "agent_run_id", "ts", F.posexplode("fingerprints").alias("_fpos", "_fps")).select(
+        "msg_id", "agent_run_id", "ts", "_fpos", F.explode("_fps").alias("_fp"))
+    if max_per_run:
+        registered = numbered(registered)
+    tagged = registered.select("agent_run_id", "ts", "taint_id", *(["taint_no"] if max_per_run else []), F.explode("fingerprints").alias("_fp"))
+    return _first_hits(found, messages.select("msg_id", "agent_run_id", "ts"), registered, tagged, "_fp", max_per_run)

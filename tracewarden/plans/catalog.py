@@ -416,7 +416,8 @@ def _(s, d):
 
 @query("resolve_policy_joined")
 def _(s, d):
-    out = policy.resolve_policy(_events_for_policy(ledger(s, d)), policy.policies_table(s, POLICIES), "monitor", max_inline=0)
+    """The same answer when no list is broadcast and the events arrive shuffled."""
+    out = policy.resolve_policy(_events_for_policy(ledger(s, d)).repartition("seq"), policy.policies_table(s, POLICIES), "monitor", broadcast_bytes=-1)
     return out.select("seq", "mode", F.col("matched_policy.id").alias("policy_id"))
 
 
@@ -430,7 +431,7 @@ def _(s, d):
 
 @query("policy_preview")
 def _(s, d):
-    return policy.policy_preview(ledger(s, d), POLICIES[3], 1000)
+    return policy.policy_preview(ledger(s, d), POLICIES[3], None)
 
 
 @query("policy_snapshot")
@@ -605,7 +606,7 @@ def _(s, d):
 def _(s, d):
     m = _field_messages(s, d)
     rows = classifier.classify_fields(m, threshold=0.3, out="findings")
-    return judge.judge_candidates(rows, max_len=1 << 20).select("msg_id", "field", F.octet_length("content").alias("n"))
+    return judge.judge_candidates(rows).select("msg_id", "field", F.sha2("content", 256).alias("content_sha256"))
 
 
 @query("apply_judge_verdicts")
@@ -650,7 +651,7 @@ def _(s, d):
 
 @query("taint_tags")
 def _(s, d):
-    return _taints(s, d).select("taint_id", "taint_no", "field", F.left("sample", F.lit(20)).alias("sample"))
+    return taint.numbered(_taints(s, d)).select("taint_id", "taint_no", "field", F.sha2("sample", 256).alias("sample_sha256"))
 
 
 @query("taint_leaks")
@@ -658,6 +659,31 @@ def _(s, d):
     return taint.taint_leaks(_suspects(s, d), _taints(s, d), ["peer-4"]).select("msg_id", "counterparty", "taint_id", "action")
 
 
+@query("taint_leaks_by_source")
+def _(s, d):
+    """Runs are document sources and times come from the rows: an item is tagged in one run, and reaches documents sent later there."""
+    items = _taints(s, d).withColumn("agent_run_id", F.concat(F.lit("src"), (F.substring("taint_id", 3, 6).cast("int") % 20).cast("string")))
+    sent = read_table(s, d, "documents").select(
+        F.col("doc_id").alias("msg_id"), F.col("source").alias("agent_run_id"), F.timestamp_seconds("doc_id").alias("ts"), F.lit("peer-1").alias("counterparty"),
+        F.array(F.struct(F.lit("params.message.text").alias("name"), F.col("text").alias("value"))).alias("fields"))
+    return taint.taint_leaks(sent, items).select("msg_id", "agent_run_id", "taint_id", "action")
+
+
+_WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(chr(c) for c in range(0x21, 0x7F))
+
+
+@query("taint_leaks_disguised")
+def _(s, d):
+    """Document texts sent as base64 (even ids) or in full-width letters (odd ids) leak what the plain texts leak."""
+    plain = _suspects(s, d)
+    text_of = F.col("fields")[0]["value"]
+    hidden = F.when(F.col("msg_id") % 2 == 0, F.concat(F.lit("see "), F.base64(F.encode(text_of, "UTF-8")), F.lit(" end"))).otherwise(
+        F.translate(text_of, _WIDE[1], _WIDE[0]))
+    hidden = F.regexp_replace(hidden, r"\r\n", "")
+    sent = plain.withColumn("fields", F.array(F.struct(F.lit("params.message.text").alias("name"), hidden.alias("value"))))
+    return taint.taint_leaks(sent, _taints(s, d)).select("msg_id", "taint_id", "action")
+
+
 @query("match_fingerprints")
 def _(s, d):
     m = _suspects(s, d).select("msg_id", "agent_run_id", "ts", F.array(text.shingles(F.col("fields")[0]["value"])).alias("fingerprints"))
@@ -759,6 +785,7 @@ def _(s, d):
 
 @query("rule_content_hash")
 def _(s, d):
+    """All rules, with the number of fields each one looks at."""
     table = rule_content_hash(default_rules(s)).select("id", "content_hash")
-    found = rules.rule_scope(messages(s, d), default_rule_list()).groupBy(F.col("rule_id").alias("id")).agg(F.count("*").alias("fields_in_scope"))
-    return found.join(table, "id")
+    found = rules.rule_scope(messages(s, d), default_rule_list()).groupBy(F.col("rule_id").alias("id")).agg(F.count("*").alias("n"))
+    return table.join(found, "id", "left").select("id", "content_hash", F.coalesce("n", F.lit(0)).alias("fields_in_scope"))

@@ -105,7 +105,6 @@ def _rules_sql(rules: list[dict], select: str, source: str) -> str:
 
 _CLEAN = (f"clean_v AS (SELECT msg_id, method, direction, field, value AS raw_value, "
           f"regexp_replace(value, {_q(_INVISIBLE)}, '', 'g') AS value FROM messages_v)")
-_TRIM = "CASE WHEN octet_length(encode(match)) > 200 THEN left(match, 200) || '…' ELSE match END AS match"
 
 # ---- classifier ----------------------------------------------------------------------------
 
@@ -162,9 +161,8 @@ _STRIPPED = "encode(trim(regexp_replace(text, " + _q(_INVISIBLE) + ", '', 'g'),
 _LEAKS = f"""tb AS (SELECT item_id, {_STRIPPED} AS b FROM benchmark),
 db AS (SELECT doc_id, {_STRIPPED} AS b FROM documents WHERE octet_length(encode(text)) >= 16),
 tf AS (SELECT unnest(CASE WHEN octet_length(b) = 0 THEN [] WHEN octet_length(b) <= 24 THEN [left(sha256(b), 32)] ELSE {_SHIFTS} END) AS fp, item_id FROM tb),
-rk AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS rn, count(*) OVER () AS n FROM benchmark),
 df AS (SELECT doc_id, unnest(CASE WHEN octet_length(b) <= 24 THEN [left(sha256(b), 32)] ELSE {_SHIFTS} END) AS fp FROM db),
-hit AS (SELECT df.doc_id, min(tf.item_id) AS item_id FROM df JOIN tf USING (fp) JOIN rk USING (item_id) WHERE rn > n - 128 GROUP BY df.doc_id)"""
+hit AS (SELECT df.doc_id, min(tf.item_id) AS item_id FROM df JOIN tf USING (fp) GROUP BY df.doc_id)"""
 
 ORACLE: dict[str, str] = {
     "query_events": _with(_LEDGER, _FINDINGS, """SELECT seq, agent_run_id, severity, action, method FROM ledger_v l
@@ -268,7 +266,7 @@ u AS (SELECT msg_id, c, unnest(range(1, len(c) + 1)) AS i FROM a)""",
  CASE WHEN sensor_id = 'sensor-2' AND r34 THEN 'p-sensor-b' WHEN sensor_id = 'sensor-2' AND method = 'tools/call' AND med THEN 'p-sensor'
  WHEN tenant_id = 'tenant-1' AND pii THEN 'p-cat' WHEN tenant_id = 'tenant-1' THEN 'p-tenant' WHEN hi THEN 'p-org' END AS policy_id"""),
     "selector_matches": _policy_sql("pii AS matches"),
-    "policy_preview": _with(_LEDGER, "r AS (SELECT * FROM ledger_v ORDER BY seq DESC LIMIT 1000), m AS (SELECT sensor_id = 'sensor-2' AND method = 'tools/call' AND n_findings > 0 AND severity IN ('medium','high','critical') AS hit FROM r)",
+    "policy_preview": _with(_LEDGER, "r AS (SELECT * FROM ledger_v), m AS (SELECT sensor_id = 'sensor-2' AND method = 'tools/call' AND n_findings > 0 AND severity IN ('medium','high','critical') AS hit FROM r)",
         "SELECT count(*) AS records_considered, count(*) FILTER (hit) AS records_matched, 0::bigint AS would_monitor, 0::bigint AS would_warn, count(*) FILTER (hit) AS would_block, count(*) FILTER (NOT hit) AS would_none FROM m"),
     "policy_snapshot": _with(_LEDGER, _CHANGES, "l AS (SELECT id, max_by(op, seq) AS op, max_by(version, seq) AS version, max_by(enabled, seq) AS enabled, max_by(tenant_id, seq) AS tenant_id, max_by(mode, seq) AS mode FROM changes GROUP BY 1)",
         "SELECT id, version, mode, tenant_id, (SELECT cast(sum(version) AS bigint) FROM l WHERE op <> 'delete') AS set_version FROM l WHERE op <> 'delete' AND enabled AND tenant_id IN ('', 'tenant-1')"),
@@ -299,14 +297,14 @@ u AS (SELECT msg_id, c, unnest(range(1, len(c) + 1)) AS i FROM a)""",
  (CASE severity WHEN 'critical' THEN 5.0 WHEN 'high' THEN 2.5 WHEN 'medium' THEN 1.0 WHEN 'low' THEN 0.25 ELSE 0.0 END + CASE action WHEN 'block' THEN 4.0 ELSE 0.0 END)::double AS pweight FROM ledger_v"""),
     "highest_severity": _with(_LEDGER, _FINDINGS, """SELECT l.seq, CASE WHEN l.n_findings > 0 THEN any_value(l.severity) ELSE 'info' END AS severity,
  CASE WHEN bool_or(f.rule_id = 'rule-5') THEN 'block' WHEN bool_or(f.rule_id = 'rule-1') THEN 'warn' ELSE 'monitor' END AS mode FROM ledger_v l LEFT JOIN findings_v f USING (seq) GROUP BY l.seq, l.n_findings"""),
-    "apply_rules": _with(_MESSAGES, _CLEAN, _rules_sql(DEFAULT_RULES, f"msg_id, rule_id, category, severity, field, {_TRIM}, confidence", "clean_v")),
+    "apply_rules": _with(_MESSAGES, _CLEAN, _rules_sql(DEFAULT_RULES, f"msg_id, rule_id, category, severity, field, match, confidence", "clean_v")),
     "apply_rules_base64": """SELECT doc_id AS msg_id, 'pi.core.ignore_previous_instructions' AS rule_id, 'ignore all previous instructions' AS match, 'base64' AS encoding FROM documents""",
     "rule_scope": _with(_MESSAGES, "\nUNION ALL ".join(f"SELECT msg_id, field, {_q(r['id'])} AS rule_id FROM messages_v WHERE {_scope_sql(r)}" for r in DEFAULT_RULES)),
     "classifier_features": _with(_MESSAGES, _features_sql("messages_v"), "SELECT msg_id, " + ", ".join(f"round({f}, 6) AS {f}" for f in c.FEATURES) + " FROM feat"),
     "classify": _with(_MESSAGES, _features_sql("messages_v"), _SCORED,
         f"SELECT msg_id, 'heuristic.injection_density' AS rule_id, {_SEV} AS severity, round(score, 6)::double AS confidence, {_CONTRIB} AS contributors FROM scored WHERE score >= 0.3"),
     "judge_candidates": _with(_MESSAGES, _features_sql("messages_v"), f"scored AS (SELECT *, least(1.0, 1.0 - {_SCORE}) AS score FROM feat)",
-        "SELECT msg_id, field, octet_length(encode(value))::int AS n FROM scored WHERE octet_length(encode(value)) >= 64 AND score < 0.7"),
+        "SELECT msg_id, field, sha256(value) AS content_sha256 FROM scored WHERE octet_length(encode(value)) >= 64 AND score < 0.7"),
     "apply_judge_verdicts": _with(_MESSAGES, "k AS (SELECT msg_id, field, length(msg_id) % 4 AS c FROM messages_v WHERE octet_length(encode(value)) >= 64)",
         """SELECT msg_id, CASE c WHEN 3 THEN 'judge.transport_error' ELSE 'judge.layer3' END AS rule_id, CASE c WHEN 3 THEN 'transport' WHEN 2 THEN 'tool-poisoning' ELSE 'prompt-injection' END AS category,
  CASE c WHEN 3 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS severity, field, (CASE c WHEN 3 THEN 0.1 WHEN 2 THEN 0.5 ELSE 0.9 END)::double AS confidence FROM k WHERE c <> 1"""),
@@ -321,8 +319,12 @@ u AS (SELECT msg_id, c, unnest(range(1, len(c) + 1)) AS i FROM a)""",
  WHEN NOT sig_ok THEN 'trust: signature does not verify' ELSE 'card signature verified against trust store' END AS description FROM cards_v"""),
     "shingles": f"""WITH tb AS (SELECT item_id, {_STRIPPED} AS b FROM benchmark) SELECT item_id, unnest(CASE WHEN octet_length(b) = 0 THEN [] WHEN octet_length(b) <= 24 THEN [left(sha256(b), 32)] ELSE {_SHIFTS} END) AS fp FROM tb""",
     "taint_tags": """SELECT 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id, row_number() OVER (ORDER BY item_id) AS taint_no, 'result.text' AS field,
- left(text, 20) AS sample FROM benchmark""",
+ sha256(text) AS sample_sha256 FROM benchmark""",
     "taint_leaks": "WITH " + _LEAKS + """ SELECT doc_id AS msg_id, concat('peer-', cast(doc_id % 5 AS string)) AS counterparty, 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id, 'block' AS action FROM hit WHERE doc_id % 5 <> 4""",
+    "taint_leaks_by_source": "WITH " + _LEAKS + """, src AS (SELECT df.doc_id, d.source, min(tf.item_id) AS item_id FROM (SELECT DISTINCT * FROM df) AS df JOIN documents AS d USING (doc_id)
+ JOIN tf USING (fp) WHERE d.source = concat('src', tf.item_id % 20) AND tf.item_id < df.doc_id GROUP BY ALL)
+ SELECT doc_id AS msg_id, source AS agent_run_id, 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id, 'block' AS action FROM src""",
+    "taint_leaks_disguised": "WITH " + _LEAKS + " SELECT doc_id AS msg_id, 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id, 'block' AS action FROM hit",
     "match_fingerprints": "WITH " + _LEAKS + " SELECT doc_id AS msg_id, 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id FROM hit",
     "evaluate_mcp": _with(_MESSAGES, _CLEAN, "f AS (" + _rules_sql(DEFAULT_RULES, "msg_id, rule_id, severity", "clean_v") + ")",
         "o AS (SELECT * FROM (VALUES " + ",".join(f"({_q(r['id'])},{i},{_q(r['mode'])})" for i, r in enumerate(DEFAULT_RULES)) + ") v(rule_id, ord, mode))",

@@ -14,8 +14,6 @@ from tracewarden.operators.merkle import merkle_root
 from tracewarden.operators.queries import meets_min_severity, query_events
 from tracewarden.schema import EXPORT_SCHEMA_VERSION, RECORD_SCHEMA_VERSION
 
-MAX_EXPORT = 10_000
-CSV_RAW_BYTES = 500
 _HMAC_BLOCK = 64
 
 # Column order of the flat view.
@@ -34,30 +32,30 @@ def chain_proof(records: DataFrame, head_hash: str, exported_at: str) -> DataFra
         "record_count", F.when(F.col("record_count") > 0, F.array("seq_lo", "seq_hi")).alias("seq_range"))
 
 
-def export_ndjson(ledger: DataFrame, head_hash: str, exported_at: str, limit: int = MAX_EXPORT, **filters) -> DataFrame:
-    """Text rows: matching records newest first, then the proof line."""
-    records = query_events(ledger, limit=min(limit, MAX_EXPORT), **filters)
+def export_ndjson(ledger: DataFrame, head_hash: str, exported_at: str, limit: int | None = None, **filters) -> DataFrame:
+    """Text rows: matching records newest first, then the proof line. ``limit=None`` exports all."""
+    records = query_events(ledger, limit=limit, **filters)
     body = records.select(F.lit(0).alias("_k"), (-F.col("seq")).alias("_o"), F.to_json(F.struct("*")).alias("value"))
     proof = chain_proof(records, head_hash, exported_at).select(
         F.lit(1).alias("_k"), F.lit(0).cast("bigint").alias("_o"), F.to_json(F.struct("*")).alias("value"))
     return body.unionByName(proof).orderBy("_k", "_o").select("value")
 
 
-def csv_view(ledger: DataFrame) -> DataFrame:
-    """The 18 flat columns; rule ids in order, categories once each, raw text cut."""
+def csv_view(ledger: DataFrame, raw_bytes: int | None = None) -> DataFrame:
+    """The 18 flat columns; rule ids in order, categories once each, raw text cut to ``raw_bytes`` on request."""
     rule_ids = F.array_join(F.transform("findings", lambda f: f["rule_id"]), "|")
     categories = F.array_join(F.array_distinct(F.filter(
         F.transform("findings", lambda f: f["category"]), lambda c: c != "")), "|")
     made = {
         "timestamp": rfc3339("ts"), "finding_count": F.size("findings").cast("bigint"), "rule_ids": rule_ids,
-        "categories": categories, "highest_severity": F.col("severity"), "raw": truncate_bytes(F.col("raw"), CSV_RAW_BYTES),
+        "categories": categories, "highest_severity": F.col("severity"), "raw": F.col("raw") if raw_bytes is None else truncate_bytes(F.col("raw"), raw_bytes),
     }
     return ledger.select(*[made.get(c, F.col(c)).alias(c) for c in CSV_COLUMNS])
 
 
-def export_csv(ledger: DataFrame, path: str, **filters) -> None:
-    rows = query_events(ledger, limit=MAX_EXPORT, **filters)
-    csv_view(rows).orderBy(F.desc("seq")).write.mode("overwrite").option("header", True).csv(path)
+def export_csv(ledger: DataFrame, path: str, limit: int | None = None, raw_bytes: int | None = None, **filters) -> None:
+    rows = query_events(ledger, limit=limit, **filters)
+    csv_view(rows, raw_bytes).orderBy(F.desc("seq")).write.mode("overwrite").option("header", True).csv(path)
 
 
 def hmac_sha256(body: Column, secret: str) -> Column:

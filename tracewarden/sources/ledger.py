@@ -24,14 +24,15 @@ def parse_records(lines: DataFrame) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str, corrupt: str = "raise") -> DataFrame:
-    """Ledger rows of NDJSON files. ``corrupt``: raise (when the row is read), skip or keep."""
+    """Ledger rows of NDJSON files. ``corrupt``: raise (whatever columns are read), skip or keep."""
     rows = parse_records(spark.read.text(path))
     if corrupt == "skip":
         return rows.where(~F.col("corrupt")).drop("corrupt")
     if corrupt == "keep":
         return rows
-    checked = F.when(F.col("corrupt"), F.raise_error(F.concat(F.lit("corrupt ledger record: "), F.left("line", F.lit(80)))))
-    return rows.withColumn("seq", F.coalesce(checked.cast("bigint"), F.col("seq"))).drop("corrupt")
+    # a filter that raises: no choice of columns can prune it away
+    broken = F.raise_error(F.concat(F.lit("corrupt ledger record: "), F.left("line", F.lit(80)))).cast("boolean")
+    return rows.where(F.when(F.col("corrupt"), broken).otherwise(F.lit(True))).drop("corrupt")
 
 
 def read_events_jdbc(spark: SparkSession, url: str, table: str = "events", lower: int = 0, upper: int = 1_000_000,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.schema import TRAFFIC
@@ -11,12 +11,18 @@ from tracewarden.schema import TRAFFIC
 def read_traffic(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """TRAFFIC rows. ``text`` takes one raw JSON-RPC message per line and leaves the rest empty.
 
-    ``msg_id`` must be unique, later operators join on it; text lines get their position in the input.
+    ``msg_id`` must be unique, later operators join on it. A text line is named by a hash of its file, its block
+    of the file and itself, which is the same in every read; only lines that repeat in a block are counted up.
     """
     if format == "text":
         lines = spark.read.text(path).where(F.trim("value") != "")
         others = [F.lit(None).cast(f.dataType).alias(f.name) for f in TRAFFIC if f.name not in ("msg_id", "raw")]
-        return lines.select(F.monotonically_increasing_id().cast("string").alias("msg_id"), *others, F.col("value").alias("raw"))
+        name = F.sha2(F.concat_ws("\x1f", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string"), "value"), 256)
+        rows = lines.select(name.alias("msg_id"), *others, F.col("value").alias("raw"))
+        again = rows.groupBy("msg_id").agg(F.count("*").alias("n")).where("n > 1").select("msg_id")
+        nth = F.row_number().over(Window.partitionBy("msg_id").orderBy("raw"))
+        repeated = rows.join(again, "msg_id", "left_semi").withColumn("msg_id", F.concat("msg_id", F.lit("-"), nth.cast("string")))
+        return rows.join(again, "msg_id", "left_anti").unionByName(repeated)
     reader = spark.read.schema(TRAFFIC)
     if format == "json":
         return reader.option("mode", "PERMISSIVE").json(path)

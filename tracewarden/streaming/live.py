@@ -179,7 +179,7 @@ def stream_peer_risk(obs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
             at = _micros(r.ts)
             if last is not None and at > last:
                 score *= max(0.0, 1.0 - DECAY_PER_HOUR * (at - last) / 3.6e9)
-            before, score, last = score, score + r.weight, at
+            before, score, last = score, score + r.weight, at if last is None else max(last, at)
             out.append((key[0], int(r.seq), r.ts, score, bool(score >= THRESHOLD > before)))
         if last is not None:
             state.update((score, last))
