@@ -83,4 +83,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """Documents without any benchmark window, columns as they came."""
     bad = contamination(docs, items, doc_id, text, **how).where("n_hit > 0").select(
         F.col("id").alias("_i"), F.col("th").alias("_t")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_i"]) & (F.xxhash64(docs[text]) == bad["_t"]), "left_anti")

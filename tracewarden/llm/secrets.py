@@ -127,6 +127,7 @@ def redact_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """All documents, columns as they came, secrets in the text replaced."""
     _, ledger = scan_versions(docs, doc_id, text, None, rules)
     found = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, blob_id(F.col(text)) == F.col("_blob"), "left")
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.coalesce("_spans", F.array().cast(SPAN))))
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    joined = docs.join(found, blob_id(docs[text]) == found["_blob"], "left")
+    spans = F.coalesce(found["_spans"], F.array().cast(SPAN))
+    clean = F.when(F.size(spans) == 0, docs[text]).otherwise(redacted(docs[text], spans))
+    return joined.select(*[clean.alias(c) if c == text else docs[c] for c in docs.columns])

@@ -48,7 +48,7 @@ COUNTED = {  # Arrow counts these over whole batches
     "masked": r"\p{L}[0-9@$*!|]+\p{L}", "spaced": r"(?:\b\p{L}[.\-_ ]){3,}",
 }
 FEATURES = ["n_words", *[f"density_{i}" for i in range(len(STRENGTHS))], "weight", "strongest", "hits", "insults", "near_second", *COUNTED]
-PREFIX = "_toxic_"
+OUT = ("_held_out", "_score", "_predicted")
 
 
 def beginnings(word: str) -> list[str]:
@@ -124,9 +124,10 @@ def _word_features(text: str, lexicon: dict[str, float], memo: dict[str, float])
     return (math.log1p(n), *[h / d for h in hits], total / d, strongest, math.log1p(hits[-1]), insults / d, near / d)
 
 
-def with_features(rows: DataFrame, lexicons: dict[int, dict[str, float]], text: str = "text", which: str | None = None) -> DataFrame:
+def with_features(rows: DataFrame, lexicons: dict[int, dict[str, float]], text: str = "text", which: str | None = None,
+                  prefix: str = "_toxic_") -> DataFrame:
     """All columns and the features; ``which`` names a column that picks the lexicon of a row, else lexicon 0 serves all."""
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(PREFIX + f, T.DoubleType()) for f in FEATURES]])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(prefix + f, T.DoubleType()) for f in FEATURES]])
     names = rows.columns
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -154,10 +155,14 @@ def with_features(rows: DataFrame, lexicons: dict[int, dict[str, float]], text:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1,
                    cut: float = 0.7, sample: int = SAMPLE) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_held_out``, ``_score`` and ``_predicted``.
+    """All rows and columns of ``docs`` with ``_held_out``, ``_score`` and ``_predicted``, which replace columns of these names.
 
     Labels count only where crc32 of the id's text modulo ``folds`` is not ``held``.
     """
+    prefix = "_toxic_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    own = [c for c in docs.columns if c.lower() not in OUT]
     learnt = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     learnt = stored(learnt.where(crc_fold(F.col("doc_id"), folds) != held), "labels")
     n = learnt.count()
@@ -171,26 +176,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     held_out = F.coalesce(crc_fold(F.col(doc_id), folds) == held, F.lit(False))
     if not all(k in kinds for k in ((True, 0), (True, 1), (False, 0), (False, 1))):
         share = rows.agg(F.avg("toxic").alias("s")).first()["s"] or 0.0
-        return docs.select("*", held_out.alias("_held_out"), F.lit(share).alias("_score"), F.lit(int(share >= cut)).alias("_predicted"))
+        return docs.select(*own, held_out.alias("_held_out"), F.lit(share).alias("_score"), F.lit(int(share >= cut)).alias("_predicted"))
 
     lexicons = learn_lexicons(rows)
     byfold = {0: lexicons[1,], 1: lexicons[0,], 2: lexicons[0, 1]}
-    feats = stored(with_features(rows, byfold, "text", "fold").drop("text"), "features")
-    assembler = VectorAssembler(inputCols=[PREFIX + f for f in FEATURES], outputCol=PREFIX + "vector")
-    trees = GBTClassifier(featuresCol=PREFIX + "vector", labelCol="toxic", predictionCol=PREFIX + "class", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=2, seed=1)
+    feats = stored(with_features(rows, byfold, "text", "fold", prefix).drop("text"), "features")
+    assembler = VectorAssembler(inputCols=[prefix + f for f in FEATURES], outputCol=prefix + "vector")
+    trees = GBTClassifier(featuresCol=prefix + "vector", labelCol="toxic", predictionCol=prefix + "class", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=64, minInstancesPerNode=2, seed=1)
     trees = trees.fit(assembler.transform(feats.where("fold < 2").coalesce(6)))
-    trees = trees.setRawPredictionCol(PREFIX + "raw").setProbabilityCol(PREFIX + "p")
+    trees = trees.setRawPredictionCol(prefix + "raw").setProbabilityCol(prefix + "p")
 
     def margins(df: DataFrame) -> DataFrame:
-        return trees.transform(assembler.transform(df)).withColumn(PREFIX + "margin", vector_to_array(PREFIX + "raw")[1])
+        return trees.transform(assembler.transform(df)).withColumn(prefix + "margin", vector_to_array(prefix + "raw")[1])
 
-    calibrated = IsotonicRegression(featuresCol=PREFIX + "margin", labelCol="toxic", predictionCol=PREFIX + "iso").fit(
-        margins(feats.where("fold = 2")).select(PREFIX + "margin", F.col("toxic").cast("double").alias("toxic")))
-    scored = calibrated.transform(margins(with_features(docs, {0: lexicons[0, 1]}, text)))
-    score = F.least(F.greatest(F.col(PREFIX + "iso"), F.lit(0.0)), F.lit(1.0))
-    return scored.select(*docs.columns, held_out.alias("_held_out"), score.alias("_score"), (score >= cut).cast("int").alias("_predicted"))
+    calibrated = IsotonicRegression(featuresCol=prefix + "margin", labelCol="toxic", predictionCol=prefix + "iso").fit(
+        margins(feats.where("fold = 2")).select(prefix + "margin", F.col("toxic").cast("double").alias("toxic")))
+    scored = calibrated.transform(margins(with_features(docs, {0: lexicons[0, 1]}, text, prefix=prefix)))
+    score = F.least(F.greatest(F.col(prefix + "iso"), F.lit(0.0)), F.lit(1.0))
+    return scored.select(*own, held_out.alias("_held_out"), score.alias("_score"), (score >= cut).cast("int").alias("_predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows that are not predicted toxic, columns as they came."""
-    return score_toxicity(docs, labels, doc_id, text, **how).where("_predicted = 0").select(*docs.columns)
+    clean = score_toxicity(docs, labels, doc_id, text, **how).where("_predicted = 0")
+    return clean.select(*docs.columns)
