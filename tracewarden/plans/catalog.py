@@ -704,7 +704,17 @@ def _scoped(m: DataFrame) -> DataFrame:
 
 @query("evaluate_mcp")
 def _(s, d):
-    out = evaluate.evaluate_mcp(_scoped(_field_messages(s, d)), default_rule_list(), _policies(s), classifier=False)
+    """Rules, classifier, quarantine and policies together; user turns call a tool, some of which are in quarantine."""
+    turn = F.regexp_extract("msg_id", "^c[0-9]+-([0-9]+)$", 1).cast("int")
+    calls = (F.col("method") == "tasks/send") & turn.isNotNull()
+    rows = _field_messages(s, d).withColumn("ts", F.timestamp_seconds(F.coalesce(turn, F.lit(0)) * 3600)).withColumn(
+        "params", F.when(calls, F.concat(F.lit('{"name":"tool-'), (turn % 3).cast("string"), F.lit('"}')))).withColumn(
+        "method", F.when(calls, "tools/call").otherwise(F.col("method")))
+    entry = lambda tool, added, expires: s.range(1).select(
+        F.lit(tool).alias("tool"), F.lit("listed").alias("reason"), F.lit("r").alias("rule_id"), F.lit("high").alias("severity"),
+        F.timestamp_seconds(F.lit(added)).alias("added_at"), F.timestamp_seconds(F.lit(expires)).alias("expires_at"), F.lit(0).alias("pos"))
+    kept = entry("tool-0", 1800, 14400).unionByName(entry("tool-2", 5400, None))
+    out = evaluate.evaluate_mcp(_scoped(rows), default_rule_list(), _policies(s), kept)
     return out.where(F.size("findings") > 0).select(
         "msg_id", "action", "severity", F.array_join(F.transform("findings", lambda f: f["rule_id"]), "|").alias("rule_ids"))
 
@@ -712,14 +722,14 @@ def _(s, d):
 @query("evaluate_a2a")
 def _(s, d):
     m = envelope.extract_fields(envelope.stamp_method(_envelopes(s, d)).withColumn("counterparty", F.lit("peer-1")))
-    out = evaluate.evaluate_a2a(_scoped(m.drop("request_params")), default_rule_list(), None, track_peers=False, classifier=False)
+    out = evaluate.evaluate_a2a(_scoped(m.drop("request_params")), default_rule_list(), None, track_peers=False)
     return out.select("msg_id", "action", "severity", F.array_join(F.transform("findings", lambda f: f["rule_id"]), "|").alias("rule_ids"))
 
 
 @query("evaluate_cards")
 def _(s, d):
     store = s.range(3).select(F.concat(F.lit("org-"), F.col("id").cast("string")).alias("issuer"))
-    out = evaluate.evaluate_cards(_cards(s, d), default_rule_list(), store, classifier=False)
+    out = evaluate.evaluate_cards(_cards(s, d), default_rule_list(), store)
     return out.select("msg_id", "action", "delivered", "severity")
 
 

@@ -164,6 +164,13 @@ tf AS (SELECT unnest(CASE WHEN octet_length(b) = 0 THEN [] WHEN octet_length(b)
 df AS (SELECT doc_id, unnest(CASE WHEN octet_length(b) <= 24 THEN [left(sha256(b), 32)] ELSE {_SHIFTS} END) AS fp FROM db),
 hit AS (SELECT df.doc_id, min(tf.item_id) AS item_id FROM df JOIN tf USING (fp) GROUP BY df.doc_id)"""
 
+# rule findings and classifier findings; the classifier's count for no mode of their own
+_FOUND = ("hit AS (" + _rules_sql(DEFAULT_RULES, "msg_id, rule_id, severity", "clean_v") + ")",
+          _features_sql("messages_v"), _SCORED,
+          "o AS (SELECT * FROM (VALUES " + ",".join(f"({_q(r['id'])},{i},{_q(r['mode'])})" for i, r in enumerate(DEFAULT_RULES)) + ") v(rule_id, ord, mode))",
+          f"""f AS (SELECT msg_id, rule_id, severity, ord, mode FROM hit JOIN o USING (rule_id)
+ UNION ALL SELECT msg_id, 'heuristic.injection_density', {_SEV}, 1000, 'monitor' FROM scored WHERE score >= 0.45)""")
+
 ORACLE: dict[str, str] = {
     "query_events": _with(_LEDGER, _FINDINGS, """SELECT seq, agent_run_id, severity, action, method FROM ledger_v l
 WHERE severity IN ('high','critical') AND tenant_id = 'tenant-1' AND contains(raw, '1') AND seq > 100
@@ -326,28 +333,28 @@ u AS (SELECT msg_id, c, unnest(range(1, len(c) + 1)) AS i FROM a)""",
  SELECT doc_id AS msg_id, source AS agent_run_id, 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id, 'block' AS action FROM src""",
     "taint_leaks_disguised": "WITH " + _LEAKS + " SELECT doc_id AS msg_id, 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id, 'block' AS action FROM hit",
     "match_fingerprints": "WITH " + _LEAKS + " SELECT doc_id AS msg_id, 't-' || lpad(cast(item_id AS string), 6, '0') || '-00000' AS taint_id FROM hit",
-    "evaluate_mcp": _with(_MESSAGES, _CLEAN, "f AS (" + _rules_sql(DEFAULT_RULES, "msg_id, rule_id, severity", "clean_v") + ")",
-        "o AS (SELECT * FROM (VALUES " + ",".join(f"({_q(r['id'])},{i},{_q(r['mode'])})" for i, r in enumerate(DEFAULT_RULES)) + ") v(rule_id, ord, mode))",
-        f"""SELECT msg_id, CASE WHEN bool_or(rule_id = 'pl.core.credit_card') OR bool_or(mode = 'block') THEN 'block' WHEN bool_or(mode = 'warn') THEN 'warn' ELSE 'allow' END AS action,
+    "evaluate_mcp": _with(_MESSAGES.replace("ELSE 'tasks/send' END", "ELSE 'tools/call' END"), _CLEAN, *_FOUND,
+        """g AS (SELECT * FROM f UNION ALL SELECT 'c' || conv_id || '-' || turn, 'quarantine.tool', 'high', 2000, 'quarantine' FROM conversations
+ WHERE role NOT IN ('system', 'assistant') AND (turn % 3 = 2 AND turn * 3600 > 5400 OR turn % 3 = 0 AND turn * 3600 > 1800 AND turn * 3600 <= 14400))""",
+        f"""SELECT msg_id, CASE WHEN bool_or(mode = 'quarantine') OR bool_or(rule_id = 'pl.core.credit_card') OR bool_or(mode = 'block') THEN 'block' WHEN bool_or(mode = 'warn') THEN 'warn' ELSE 'allow' END AS action,
  CASE max({_rank('severity')}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
- string_agg(rule_id, '|' ORDER BY ord) || CASE WHEN bool_or(rule_id = 'pl.core.credit_card') THEN '|policy.match' ELSE '' END AS rule_ids FROM f JOIN o USING (rule_id) GROUP BY msg_id"""),
-    "evaluate_a2a": _with(_RPC, """f AS (SELECT *, CASE role WHEN 'assistant' THEN coalesce((SELECT max_by(q.method, q.ts) FROM rpc q WHERE q.agent_run_id = rpc.agent_run_id AND q.id = rpc.id AND q.method <> '' AND q.ts < rpc.ts), '') ELSE method END AS m FROM rpc)""",
-        "messages_v AS (SELECT msg_id, m AS method, CASE role WHEN 'assistant' THEN 'outbound' ELSE 'inbound' END AS direction, CASE role WHEN 'user' THEN 'params.message.text' WHEN 'assistant' THEN 'result.message.text' ELSE 'params.data' END AS field, text AS value FROM f)",
-        _CLEAN, "hit AS (" + _rules_sql(DEFAULT_RULES, "msg_id, rule_id, severity", "clean_v") + ")",
-        "o AS (SELECT * FROM (VALUES " + ",".join(f"({_q(r['id'])},{i},{_q(r['mode'])})" for i, r in enumerate(DEFAULT_RULES)) + ") v(rule_id, ord, mode))",
-        f"""h AS (SELECT msg_id, max({_rank('severity')}) AS sev, max(CASE mode WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS md, string_agg(rule_id, '|' ORDER BY ord) AS ids FROM hit JOIN o USING (rule_id) GROUP BY 1)""",
-        """t AS (SELECT msg_id, role, first(CASE WHEN role = 'user' THEN text ELSE '' END) OVER w AS f0, text, coalesce(bool_or(role = 'assistant') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS begun
+ string_agg(rule_id, '|' ORDER BY ord) || CASE WHEN bool_or(rule_id = 'pl.core.credit_card') THEN '|policy.match' ELSE '' END AS rule_ids FROM g GROUP BY msg_id"""),
+    "evaluate_a2a": _with(_RPC, """rm AS (SELECT *, CASE role WHEN 'assistant' THEN coalesce((SELECT max_by(q.method, q.ts) FROM rpc q WHERE q.agent_run_id = rpc.agent_run_id AND q.id = rpc.id AND q.method <> '' AND q.ts < rpc.ts), '') ELSE method END AS m FROM rpc)""",
+        "messages_v AS (SELECT msg_id, m AS method, CASE role WHEN 'assistant' THEN 'outbound' ELSE 'inbound' END AS direction, CASE role WHEN 'user' THEN 'params.message.text' WHEN 'assistant' THEN 'result.message.text' ELSE 'params.data' END AS field, text AS value FROM rm)",
+        _CLEAN, *_FOUND,
+        f"""h AS (SELECT msg_id, max({_rank('severity')}) AS sev, max(CASE mode WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS md, string_agg(rule_id, '|' ORDER BY ord) AS ids FROM f GROUP BY 1)""",
+        """tr AS (SELECT msg_id, role, first(CASE WHEN role = 'user' THEN text ELSE '' END) OVER w AS f0, text, coalesce(bool_or(role = 'assistant') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS begun
  FROM rpc WHERE role IN ('user','assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
-        "d AS (SELECT msg_id FROM t WHERE role = 'user' AND begun AND f0 <> '' AND text <> f0)",
+        "dr AS (SELECT msg_id FROM tr WHERE role = 'user' AND begun AND f0 <> '' AND text <> f0)",
         """SELECT rpc.msg_id, CASE coalesce(md, 0) WHEN 2 THEN 'block' WHEN 1 THEN 'warn' ELSE 'allow' END AS action,
- CASE greatest(coalesce(sev, 0), CASE WHEN d.msg_id IS NULL THEN 0 ELSE 3 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
- concat_ws('|', ids, CASE WHEN d.msg_id IS NOT NULL THEN 'task.scope_drift' END) AS rule_ids FROM rpc LEFT JOIN h USING (msg_id) LEFT JOIN d ON d.msg_id = rpc.msg_id"""),
+ CASE greatest(coalesce(sev, 0), CASE WHEN dr.msg_id IS NULL THEN 0 ELSE 3 END) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
+ concat_ws('|', ids, CASE WHEN dr.msg_id IS NOT NULL THEN 'task.scope_drift' END) AS rule_ids FROM rpc LEFT JOIN h USING (msg_id) LEFT JOIN dr ON dr.msg_id = rpc.msg_id"""),
     "evaluate_cards": _with(_CARDS, """messages_v AS (SELECT msg_id, 'agent.card' AS method, 'outbound' AS direction, 'card.description' AS field, description AS value FROM cards_v
  UNION ALL SELECT msg_id, 'agent.card', 'outbound', 'card.url', url FROM cards_v UNION ALL SELECT msg_id, 'agent.card', 'outbound', 'card.name', name FROM cards_v)""",
-        _CLEAN, "hit AS (" + _rules_sql(DEFAULT_RULES, "msg_id, severity", "clean_v") + ")",
-        f"""k AS (SELECT c.msg_id, signed AND NOT (org IN ('org-0','org-1','org-2') AND sig_ok) AS invalid, signed, coalesce(max({_rank('h.severity')}), 0) AS sev FROM cards_v c LEFT JOIN hit h USING (msg_id) GROUP BY ALL)""",
-        "s AS (SELECT *, greatest(sev, CASE WHEN invalid THEN 3 WHEN NOT signed THEN 1 ELSE 0 END) AS top FROM k)",
-        """SELECT msg_id, CASE WHEN invalid THEN 'block' ELSE 'allow' END AS action, top < 3 AS delivered, CASE top WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity FROM s"""),
+        _CLEAN, *_FOUND,
+        f"""k AS (SELECT c.msg_id, signed AND NOT (org IN ('org-0','org-1','org-2') AND sig_ok) AS invalid, signed, coalesce(max({_rank('h.severity')}), 0) AS sev FROM cards_v c LEFT JOIN f h USING (msg_id) GROUP BY ALL)""",
+        "st AS (SELECT *, greatest(sev, CASE WHEN invalid THEN 3 WHEN NOT signed THEN 1 ELSE 0 END) AS top FROM k)",
+        """SELECT msg_id, CASE WHEN invalid THEN 'block' ELSE 'allow' END AS action, top < 3 AS delivered, CASE top WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity FROM st"""),
     "canonical_records": None,
     "chain_ledger": None,
     "verify_chain": _with(_LEDGER, """SELECT concat('segment-', cast((seq - 1) // 500 AS string)) AS chain_id, count(*) AS records, count(*) FILTER (seq % 997 = 0) = 0 AS ok, min(seq) FILTER (seq % 997 = 0) AS bad_seq,
