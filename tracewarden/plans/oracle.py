@@ -296,7 +296,7 @@ u AS (SELECT msg_id, c, unnest(range(1, len(c) + 1)) AS i FROM a)""",
     "sse_events": """SELECT conv_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS int) AS event_pos, role || chr(10) || cast(turn AS string) AS raw FROM conversations""",
     "normalize_text": None,
     "base64_candidates": "SELECT doc_id, 'payload of document number ' || cast(doc_id AS string) AS decoded FROM documents",
-    "base64_runs": """SELECT doc_id, run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]+')) AS run FROM documents) WHERE length(run) BETWEEN 24 AND 16384 AND (
+    "base64_runs": """SELECT doc_id, run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]+')) AS run FROM documents) WHERE length(run) >= 24 AND (
  regexp_matches(run, '^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2}|[A-Za-z0-9+/]{3})?$') OR regexp_matches(run, '^([A-Za-z0-9_-]{4})*([A-Za-z0-9_-]{2}==|[A-Za-z0-9_-]{3}=|[A-Za-z0-9_-]{2}|[A-Za-z0-9_-]{3})?$'))""",
     "glob_match": _with(_LEDGER, """SELECT seq, method = 'tools/call' AS a, tool = 'tool-3' AS b, false AS c, true AS d FROM ledger_v"""),
     "truncate_bytes": "SELECT event_id, CASE WHEN length(props) > 6 THEN left(props, 6) || '…' ELSE props END AS cut FROM events",
@@ -371,6 +371,32 @@ g AS (SELECT seq, string_agg(rule_id, '|' ORDER BY pos) AS rule_ids, string_agg(
     "malformed_findings": None,
     "score_against_labels": None,
 }
+# these texts hold no character that only NFKC changes, so canonical composition gives the same text
+ORACLE["normalize_text"] = "SELECT doc_id, sha256(regexp_replace(nfc_normalize(concat(text, chr(8203), 'x', chr(8294))), " + _q(_INVISIBLE) + ", '', 'g')) AS norm_hash FROM documents"
+_PRINTED = r"length(regexp_replace(text, '[^\p{L}\p{M}\p{N}\p{P}\p{S} \n\t\r]', '', 'g')) * 5 >= octet_length(encode(text)) * 4"
+_HIDDEN = f"length(base64(encode(text))) >= 24 AND {_PRINTED}"
+ORACLE["base64_candidates"] = f"SELECT doc_id, CASE WHEN {_HIDDEN} THEN sha256(text) END AS decoded_sha256 FROM documents"
+ORACLE["apply_rules_base64"] = _with(
+    f"messages_v AS (SELECT doc_id AS msg_id, 'tools/call' AS method, 'outbound' AS direction, 'result.text' AS field, text AS value FROM documents WHERE {_HIDDEN})",
+    _CLEAN, _rules_sql(DEFAULT_RULES, "msg_id, rule_id, match, 'base64' AS encoding", "clean_v"))
+ORACLE["sse_events"] = """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS int) AS event_pos,
+ sha256(role || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), chr(10))) AS raw_sha256 FROM conversations"""
+
+
+def _hashed_text(r: dict) -> str:
+    """The hashed lines of a rule, written out from its definition."""
+    number = repr(float(r["confidence"])).removesuffix(".0")
+    lines = [("id", r["id"]), ("category", r["category"]), ("severity", r["severity"]), ("mode", r["mode"]),
+             ("case_sensitive", str(r["case_sensitive"]).lower()), ("confidence", number)]
+    for label, key in (("target", "targets"), ("direction", "directions"), ("field", "fields"), ("pattern", "patterns")):
+        lines += [(label, v) for v in r[key]]
+    return "".join(f"{k}: {v}\n" for k, v in lines)
+
+
+ORACLE["rule_content_hash"] = _with(
+    _MESSAGES, "r(id, body) AS (VALUES " + ",".join(f"({_q(r['id'])},{_q(_hashed_text(r))})" for r in DEFAULT_RULES) + ")",
+    "n AS (" + "\nUNION ALL ".join(f"SELECT {_q(r['id'])} AS id, count(*) AS n FROM messages_v WHERE {_scope_sql(r)}" for r in DEFAULT_RULES) + ")",
+    "SELECT id, sha256(body) AS content_hash, n AS fields_in_scope FROM r JOIN n USING (id)")
 ORACLE["resolve_policy_joined"] = ORACLE["resolve_policy"]
 
 _PEER_CTE = "WITH RECURSIVE " + _LEDGER + """,
@@ -402,7 +428,7 @@ UNION ALL SELECT msg_id, 'block', 'low', 'envelope.malformed' FROM rpc WHERE len
  WHEN 'assistant' THEN '{"jsonrpc":"2.0","id":"' || cast(turn - 1 AS string) || '","result":{"id":"task-' || cast(conv_id AS string) || '","status":{"state":"working"},"message":{"text":' || cast(to_json(text) AS string) || '}}}'
  ELSE '{"jsonrpc":"2.0","method":"notifications/message","params":{"data":' || cast(to_json(text) AS string) || '}}' END)) > 200"""
 _DOCS = "docs_v AS (SELECT doc_id AS msg_id, 'tools/call' AS method, 'outbound' AS direction, 'result.text' AS field, text AS raw_value, regexp_replace(text, " + _q(_INVISIBLE) + ", '', 'g') AS value FROM documents)"
-ORACLE["score_against_labels"] = _with(_DOCS, "hit AS (SELECT DISTINCT msg_id AS doc_id FROM (" + _rules_sql(_PII, "msg_id", "docs_v") + "))", """
+ORACLE["score_against_labels"] = _with(_DOCS, "hit AS (SELECT DISTINCT msg_id AS doc_id FROM (" + _rules_sql(DEFAULT_RULES, "msg_id", "docs_v") + "))", """
 s AS (SELECT d.lang AS category, l.toxic = 1 AS bad, h.doc_id IS NOT NULL AS hit FROM labels l JOIN documents d USING (doc_id) LEFT JOIN hit h USING (doc_id)),
 k AS (SELECT coalesce(category, 'OVERALL') AS category, count(*) FILTER (bad AND hit) AS tp, count(*) FILTER (NOT bad AND hit) AS fp, count(*) FILTER (bad AND NOT hit) AS fn, count(*) FILTER (NOT bad AND NOT hit) AS tn
  FROM s GROUP BY ROLLUP (category)), p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::double / (tp + fp) ELSE 0.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp::double / (tp + fn) ELSE 0.0 END AS rc FROM k)""",
