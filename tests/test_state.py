@@ -200,6 +200,39 @@ def test_stream_quarantine(spark, tmp_path):
     assert {r.msg_id for r in _stream(spark, tmp_path, df, "s_quarantine", live.stream_quarantine, 2)} == {"m1"}
 
 
+def test_quarantine_feed_takes_entries_from_listings(spark, tmp_path):
+    found = [("r1", "listed badly", "high", "result.tools.1.description")]
+    rows = [("l1", T0, "tools/list", "outbound", None, '{"tools":[{"name":"a"},{"name":"b"}]}', found, 0),
+            ("m1", T0 + HOUR, "tools/call", "inbound", '{"name":"b"}', None, [], 1), ("m2", T0 + HOUR, "tools/call", "inbound", '{"name":"a"}', None, [], 2)]
+    df = spark.createDataFrame(rows, "msg_id string, ts timestamp, method string, direction string, params string, result string, "
+                               "findings array<struct<rule_id:string,description:string,severity:string,field:string>>, seq bigint")
+    got = _stream(spark, tmp_path, df, "s_feed", lambda s: live.stream_quarantine(live.quarantine_feed(s)), 1)
+    assert [(r.tool, r.msg_id, r.reason) for r in got] == [("b", "m1", "listed badly")]
+
+
+def test_stream_peer_clock_never_runs_back(spark, tmp_path):
+    """A late row adds its weight without undoing decay: the gap after it is not counted twice."""
+    rows = [("p", 1, "block", "high", T0, 1), ("p", 1, "block", "high", T0 + HOUR, 2), ("p", 1, "allow", "high", T0 + HOUR / 2, 3), ("p", 1, "allow", "low", T0 + HOUR, 4)]
+    df = spark.createDataFrame(rows, "counterparty string, findings int, action string, severity string, ts timestamp, seq bigint")
+    path = str(tmp_path / "late")
+    for i, part in enumerate((rows[:2], rows[2:3], rows[3:])):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(f"{path}/{i}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    q = live.stream_peer_risk(stream, "2 hours").writeStream.format("memory").queryName("s_late").option(
+        "checkpointLocation", str(tmp_path / "late_cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.seq: r.risk_score for r in spark.table("s_late").collect()}
+    assert abs(got[4] - got[3] - 0.25) < 1e-9
+
+
+def test_stream_finding_spikes(spark, tmp_path):
+    rows = [(i, T0 + dt.timedelta(seconds=60 * i), "peer", ["r"] if i % 10 == 0 else []) for i in range(100)] + [
+        (1000 + i, T0 + dt.timedelta(seconds=60 * 60 + i), "peer", ["r", "r"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq bigint, ts timestamp, counterparty string, findings array<string>")
+    got = _stream(spark, tmp_path, df, "s_find", lambda s: live.stream_finding_spikes(s, factor=1.3))
+    assert got and all(r.counterparty == "peer" and r.recent_rate >= 1.3 * r.historical_rate for r in got)
+
+
 def test_stream_metrics_and_spikes(spark, tmp_path):
     rows = [(i, T0 + dt.timedelta(seconds=60 * i), "allow", "peer", "run", "m") for i in range(100)] + [
         (1000 + i, T0 + dt.timedelta(seconds=60 * 60 + i), "block", "peer", "run", "m") for i in range(60)]

@@ -28,6 +28,21 @@ def test_stream_taint(spark, tmp_path):
     assert got == {("m1", "t1")}
 
 
+def test_every_tag_has_its_own_ttl(spark, tmp_path):
+    """A value tagged at 0:00 and 0:09 still leaks at 2:05, also when the later tag arrives first."""
+    rows = [("run", T0 + dt.timedelta(minutes=9), "t2", SECRET), ("run", T0, "t1", SECRET)]
+    results = spark.createDataFrame(rows, "agent_run_id string, ts timestamp, taint_id string, value string")
+    sent = spark.createDataFrame([("m1", "run", T0 + dt.timedelta(minutes=125), SECRET)], "msg_id string, agent_run_id string, ts timestamp, value string")
+    sent = sent.select("msg_id", "agent_run_id", "ts", F.array(F.struct(F.lit("params.text").alias("name"), F.col("value").alias("value"))).alias("fields"))
+    for df, name in ((results, "r"), (sent, "s")):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    read = lambda df, name: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    q = live.stream_taint(read(results, "r"), read(sent, "s")).writeStream.foreachBatch(
+        live.batch_writer(str(tmp_path / "out"), live.first_leak)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.msg_id, r.taint_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("m1", "t2")}
+
+
 def test_stream_evaluate_feed_and_siem(spark, tmp_path):
     rows = [{"seq": i, "msg_id": str(i), "method": "tools/call", "direction": "outbound", "severity": "high" if i % 2 else "low", "ts": "2024-01-01T00:00:00Z",
              "fields": [{"name": "result.text", "value": "bad" if i % 3 == 0 else "fine"}], "source": "a", "destination": "b"} for i in range(1, 10)]

@@ -19,12 +19,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracewarden.functions.text import byte_windows, canonical_views
 from tracewarden.functions.ranks import peer_weight
 from tracewarden.operators.behavior import FACTOR, HISTORY_WINDOWS, MIN_OBSERVATIONS, WINDOW, bucket_key
+from tracewarden.operators.analytics import n_findings
+from tracewarden.operators.envelope import tool_name
 from tracewarden.operators.peers import DECAY_PER_HOUR, THRESHOLD
+from tracewarden.operators.quarantine import quarantine_entries
 from tracewarden.operators.taint import MIN_CANDIDATE
 from tracewarden.operators.tasks import LEGAL_MOVES, MAX_AGE, OPEN_STATES
 from tracewarden.sources.exports import siem_payloads
 
 WATERMARK = "10 minutes"
+#: event time after which a silent task is forgotten
+FORGET = dt.timedelta(days=7)
 
 
 def stream_feed(spark: SparkSession, path: str, schema: T.StructType, since_seq: int = 0, format: str = "json",
@@ -79,9 +84,13 @@ def stream_quarantine(events: DataFrame, watermark: str = WATERMARK) -> DataFram
                 live = (r.reason, r.rule_id, expires)
             elif live is not None and (live[2] < 0 or at <= live[2]):
                 out.append((key[0], r.msg_id, r.ts, live[0], live[1]))
-        if live is not None:
+        if live is not None and 0 <= live[2] and live[2] // 1000 <= state.getCurrentWatermarkMs():
+            # no call that may still come can meet the entry
+            if state.exists:
+                state.remove()
+        elif live is not None:
             state.update(live)
-            if live[2] > 0 and live[2] // 1000 > state.getCurrentWatermarkMs():
+            if live[2] >= 0:
                 state.setTimeoutTimestamp(live[2] // 1000 + 1)
         yield pd.DataFrame(out, columns=["tool", "msg_id", "ts", "reason", "quarantine_rule"])
 
@@ -89,18 +98,30 @@ def stream_quarantine(events: DataFrame, watermark: str = WATERMARK) -> DataFram
         step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def quarantine_feed(events: DataFrame) -> DataFrame:
+    """Calls and quarantine entries of one message stream, as ``stream_quarantine`` takes them.
+
+    Events need ``msg_id, ts, method, direction, params, result, findings``; both halves are per-row, so they work on streams.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    entries = quarantine_entries(events).select(
+        "tool", F.col("added_at").alias("ts"), F.lit(1).alias("kind"), none("string").alias("msg_id"), "reason", "rule_id", "expires_at")
+    calls = events.where((F.col("method") == "tools/call") & (F.col("direction") == "inbound")).select(
+        tool_name("params").alias("tool"), "ts", F.lit(0).alias("kind"), F.col("msg_id").cast("string").alias("msg_id"),
+        none("string").alias("reason"), none("string").alias("rule_id"), none("timestamp").alias("expires_at"))
+    return calls.where(F.col("tool") != "").unionByName(entries)
+
+
 def stream_taint(results: DataFrame, messages: DataFrame, ttl: str = "2 hours", watermark: str = WATERMARK) -> DataFrame:
     """(msg_id, field position, taint) rows of live leaks.
 
-    Stream-stream join on (run, window) inside the TTL. A window tagged again within the watermark is
-    kept once, so common text does not multiply the join. Take the first row per ``msg_id`` in the
-    sink (``first_leak``).
+    Stream-stream join on (run, window) inside the TTL. Every tag of a window counts, with its own TTL, in
+    whatever order tags arrive. Take the first row per ``msg_id`` in the sink (``first_leak``).
     """
     tagged = (
         results.withWatermark("ts", watermark)
         .select("agent_run_id", F.col("ts").alias("taint_ts"), "taint_id", F.explode(canonical_views(F.col("value"))).alias("_v"))
         .select("agent_run_id", "taint_ts", "taint_id", F.explode(byte_windows(F.col("_v"))).alias("_win"))
-        .dropDuplicatesWithinWatermark(["agent_run_id", "_win"])
     )
     sent = (
         messages.withWatermark("ts", watermark)
@@ -120,29 +141,47 @@ def first_leak(batch: DataFrame) -> DataFrame:
     return batch.groupBy("msg_id", "agent_run_id").agg(best).select("msg_id", "agent_run_id", "_b.taint_id")
 
 
-def stream_tasks(obs: DataFrame, max_age: dt.timedelta = MAX_AGE, watermark: str = WATERMARK) -> DataFrame:
-    """Live task checks: ``task_id, ts, seq, rule_id, description``, long-running tasks by timer."""
+def stream_tasks(obs: DataFrame, max_age: dt.timedelta = MAX_AGE, watermark: str = WATERMARK,
+                 forget: dt.timedelta = FORGET) -> DataFrame:
+    """Live task checks: ``task_id, ts, seq, rule_id, description``, long-running tasks by timer.
+
+    A task that was silent for ``forget`` of event time leaves the state; what comes later is a new task. What a result
+    declares about its own history needs no state: ``declared_history_findings`` runs on a stream as it is.
+    """
     schema = "task_id string, ts timestamp, seq bigint, rule_id string, description string"
-    state_schema = "current string, peer string, first_fp string, created bigint"
+    state_schema = "current string, peer string, first_fp string, created bigint, seen bigint, reported boolean"
     legal = LEGAL_MOVES
-    age_ms = int(max_age.total_seconds() * 1000)
+    age_ms, forget_ms = (int(x.total_seconds() * 1000) for x in (max_age, forget))
+
+    def keep(state: GroupState, known: tuple) -> None:
+        """The next timer: the age limit of an open task, else the end of its memory."""
+        now, gone = state.getCurrentWatermarkMs(), known[4] // 1000 + forget_ms
+        aged = known[3] // 1000 + age_ms
+        due = min(aged, gone) if known[0] in OPEN_STATES and not known[5] and aged > now else gone
+        if due <= now:
+            if state.exists:
+                state.remove()
+            return
+        state.update(known)
+        state.setTimeoutTimestamp(due)
 
     def step(key, frames, state: GroupState):
         out = []
         if state.hasTimedOut:
-            current, peer, fp, created = state.get
-            if current in OPEN_STATES:
+            current, peer, fp, created, seen, reported = state.get
+            if current in OPEN_STATES and not reported and created // 1000 + age_ms <= state.getCurrentWatermarkMs():
                 out.append((key[0], pd.Timestamp(created + age_ms * 1000, unit="us"), -1, "task.long_running",
                             f"task still {current}"))
-            state.update((current, peer, fp, created))
+                reported = True
+            keep(state, (current, peer, fp, created, seen, reported))
             yield pd.DataFrame(out, columns=["task_id", "ts", "seq", "rule_id", "description"])
             return
         known = state.get if state.exists else None
         for r in _rows(frames, "ts", "seq").itertuples():
             if known is None:
-                known = (r.state or "submitted", r.counterparty or "", r.fingerprint or "", _micros(r.ts))
+                known = (r.state or "submitted", r.counterparty or "", r.fingerprint or "", _micros(r.ts), _micros(r.ts), False)
                 continue
-            current, peer, fp, created = known
+            current, peer, fp, created, seen, reported = known
             found = []
             if r.counterparty and peer and r.counterparty != peer:
                 found.append(("task.counterparty_changed",
@@ -155,12 +194,9 @@ def stream_tasks(obs: DataFrame, max_age: dt.timedelta = MAX_AGE, watermark: str
             if r.fingerprint and fp and r.fingerprint != fp and current != "submitted":
                 found.append(("task.scope_drift", "task message fingerprint differs from initial submission"))
             out.extend((key[0], r.ts, int(r.seq), *f) for f in found)
-            known = (current, peer, fp, created)
+            known = (current, peer, fp, created, max(seen, _micros(r.ts)), reported)
         if known is not None:
-            state.update(known)
-            due = known[3] // 1000 + age_ms
-            if known[0] in OPEN_STATES and due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
+            keep(state, known)
         yield pd.DataFrame(out, columns=["task_id", "ts", "seq", "rule_id", "description"])
 
     return obs.withWatermark("ts", watermark).groupBy("task_id").applyInPandasWithState(
@@ -168,11 +204,17 @@ def stream_tasks(obs: DataFrame, max_age: dt.timedelta = MAX_AGE, watermark: str
 
 
 def stream_peer_risk(obs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Live peer scores: ``counterparty, seq, ts, risk_score, alarm``. State is one score and one time."""
+    """Live peer scores: ``counterparty, seq, ts, risk_score, alarm``.
+
+    State is one score and the latest time; it goes away when the score has decayed to nothing.
+    """
     weighted = obs.where(F.col("counterparty") != "").withWatermark("ts", watermark).select(
         "counterparty", "ts", "seq", peer_weight("severity", "action").alias("weight"))
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         score, last = state.get if state.exists else (0.0, None)
         out = []
         for r in _rows(frames, "ts", "seq").itertuples():
@@ -182,12 +224,17 @@ def stream_peer_risk(obs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
             before, score, last = score, score + r.weight, at if last is None else max(last, at)
             out.append((key[0], int(r.seq), r.ts, score, bool(score >= THRESHOLD > before)))
         if last is not None:
-            state.update((score, last))
+            spent = last // 1000 + int(3_600_000 / DECAY_PER_HOUR) + 1
+            if spent > state.getCurrentWatermarkMs():
+                state.update((score, last))
+                state.setTimeoutTimestamp(spent)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame(out, columns=["counterparty", "seq", "ts", "risk_score", "alarm"])
 
     return weighted.groupBy("counterparty").applyInPandasWithState(
         step, "counterparty string, seq bigint, ts timestamp, risk_score double, alarm boolean",
-        "score double, last bigint", "append", GroupStateTimeout.NoTimeout)
+        "score double, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_metrics(events: DataFrame, bucket: str = "10 seconds", watermark: str = WATERMARK) -> DataFrame:
@@ -224,6 +271,23 @@ def stream_spikes(events: DataFrame, window: dt.timedelta = WINDOW, factor: floa
     )
 
 
+def stream_finding_spikes(events: DataFrame, window: dt.timedelta = WINDOW, factor: float = FACTOR,
+                          min_obs: int = MIN_OBSERVATIONS, watermark: str = WATERMARK) -> DataFrame:
+    """Peers whose recent findings per event are ``factor`` times their history, at every multiple of ``window``."""
+    seconds = int(window.total_seconds())
+    history, slide = f"{seconds * HISTORY_WINDOWS} seconds", f"{seconds} seconds"
+    keyed = events.withWatermark("ts", watermark).where(F.col("counterparty") != "").select("counterparty", "ts", n_findings().alias("n"))
+    sliding = keyed.select("counterparty", "ts", "n", F.window("ts", history, slide).alias("w"))
+    recent = F.col("ts") >= F.col("w.end") - F.expr(f"INTERVAL {seconds} SECONDS")
+    counts = sliding.groupBy("counterparty", "w").agg(
+        F.count_if(recent).alias("recent_events"), F.sum(F.when(recent, F.col("n")).otherwise(0)).alias("recent_findings"),
+        F.count("*").alias("hist_events"), F.sum("n").alias("hist_findings"))
+    rates = counts.where((F.col("recent_events") >= min_obs) & (F.col("hist_findings") > 0)).select(
+        "counterparty", F.col("w.end").alias("as_of"), (F.col("recent_findings") / F.col("recent_events")).alias("recent_rate"),
+        (F.col("hist_findings") / F.col("hist_events")).alias("historical_rate"))
+    return rates.where(F.col("recent_rate") >= F.col("historical_rate") * factor)
+
+
 def stream_suppress(findings: DataFrame, window: dt.timedelta = WINDOW, watermark: str = WATERMARK) -> DataFrame:
     """Live repeat suppression; the state of a key goes away one window after its last emission."""
     width = int(window.total_seconds() * 1_000_000)
