@@ -154,3 +154,9 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT severity_rank('high') r, mode_rank('warn') m, severity_weight('low') w, strip_invisible(nfkc('ａ​b')) n, "
                     "size(byte_windows('abcdefghijklmnopqrstuvwxyz')) s").first()
     assert tuple(row) == (3, 1, 1.0, "ab", 3)
+    row = spark.sql("SELECT normalize_text('ａ​b'), size(shingles('abcdefghijklmnopqrstuvwxyz')), peer_weight('high', 'block'), "
+                    "base64_decoded('see aGVsbG8gd29ybGQsIHRoaXMgaXMgdGV4dA==')[0]").first()
+    assert tuple(row) == ("ab", 3, 6.5, "hello world, this is text")
+    globs = [("a.*.c", "a.b.c"), ("a.**", "a.b.c"), ("a.**", "a"), ("**", "q.r"), ("a.b", "a.b"), ("a.b", "aXb"), ("a.*", "a.b.c"), ("a*.b", "aX.b"), ("a+.b", "a+.b")]
+    got = spark.createDataFrame(globs, "g string, p string").selectExpr("glob_match(g, p) m").collect()
+    assert [r.m for r in got] == [True, True, True, True, True, False, False, False, True]
