@@ -176,19 +176,21 @@ def task_signals(df: DataFrame, params: str = "params", result: str = "result")
 def stamp_method(messages: DataFrame) -> DataFrame:
     """Give each response the method and params of the latest earlier request with its run and id.
 
-    Adds ``request_params`` (so a response knows the tool it answers) and fills ``method``.
+    Adds ``request_params`` (so a response knows the tool it answers) and fills ``method``. Messages without an id answer
+    nothing and go past the lookup, so they do not meet under one key.
     """
-    has_id = F.col("id").isNotNull()
-    is_request = has_id & (F.coalesce("method", F.lit("")) != "")
-    keyed = messages.withColumn("_run", F.coalesce("agent_run_id", F.lit(""))).withColumn("_id", F.coalesce("id", F.lit("")))
+    is_request = F.coalesce("method", F.lit("")) != ""
+    keyed = messages.where(F.col("id").isNotNull()).withColumn("_run", F.coalesce("agent_run_id", F.lit(""))).withColumn("_id", F.col("id"))
     linked = carry_last(keyed, ["_run", "_id"], ["ts", "msg_id"], {
         "_request": F.when(is_request, F.struct("method", "params"))})
-    response = has_id & (F.coalesce("method", F.lit("")) == "") & F.col("_request").isNotNull()
+    response = (F.coalesce("method", F.lit("")) == "") & F.col("_request").isNotNull()
+    alone = messages.where(F.col("id").isNull()).withColumn("request_params", F.lit(None).cast(messages.schema["params"].dataType))
     return (
         linked
         .withColumn("request_params", F.when(response, F.col("_request.params")))
         .withColumn("method", F.when(response, F.col("_request.method")).otherwise(F.col("method")))
         .drop("_request", "_run", "_id")
+        .unionByName(alone)
     )
 
 
