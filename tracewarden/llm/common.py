@@ -109,19 +109,27 @@ def bucket_slices(sorted_keys: np.ndarray, n_buckets: int) -> list[tuple[int, in
     return [(b, int(cuts[b]), int(cuts[b + 1])) for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
 
 
-def round_trip(asks: DataFrame, answer: Callable[[list[np.ndarray], list[bytes]], list[bytes]], name: str) -> DataFrame:
+def round_trip(asks: DataFrame, answer: Callable[[list[np.ndarray], list[bytes]], list[bytes]], name: str,
+               note: Callable[[list[np.ndarray], list[bytes], list[bytes]], bytes] | None = None) -> DataFrame:
     """Answer packed questions: rows (chunk, bucket, keys, vals) become a stored table (chunk, bucket, reply).
 
     ``answer`` gets the sorted unsigned keys and the values of all chunks for one bucket and returns one
     reply per chunk. Each chunk names a key once, so a key that is everywhere still takes one entry per chunk.
+    ``note`` may add one row per bucket, with chunk -1, from keys, values and replies.
     """
     import pyarrow as pa
 
     def reduce(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in table["keys"]]
         vals = [v.as_py() for v in table["vals"]]
-        return pa.table({"chunk": table["chunk"], "bucket": table["bucket"],
-                         "reply": pa.array(answer(keys, vals), pa.binary())})
+        replies, chunks = answer(keys, vals), table["chunk"].to_pylist()
+        if note:
+            replies, chunks = [*replies, note(keys, vals, replies)], [*chunks, -1]
+        bucket = table["bucket"][0].as_py()
+        del keys, vals, table
+        pa.default_memory_pool().release_unused()
+        return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array([bucket] * len(chunks), pa.int32()),
+                         "reply": pa.array(replies, pa.binary())})
 
     return stored(asks.groupBy("bucket").applyInArrow(reduce, "chunk int, bucket int, reply binary"), name)
 

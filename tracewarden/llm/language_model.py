@@ -82,22 +82,23 @@ def add_up(keys: list[np.ndarray], vals: list[bytes]) -> list[bytes]:
     order = np.argsort(every)
     head = np.concatenate([[True], every[order][1:] != every[order][:-1]])
     total = np.add.reduceat(own[order], np.flatnonzero(head))
-    first = np.zeros(len(every), dtype=np.uint64)
-    first[order[np.flatnonzero(head)]] = 1  # one chunk speaks for the key when types are counted
     out = np.empty(len(every), dtype=np.uint64)
     out[order] = total[np.cumsum(head) - 1]
-    packed = np.column_stack([out, first])
-    return [np.ascontiguousarray(x.T).tobytes() for x in np.split(packed, np.cumsum([len(k) for k in keys])[:-1])]
+    return [x.tobytes() for x in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
 
 
-def _totals(replies: pa.Table, word_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Corpus counts of the chunk's words and pairs, and for which words the chunk speaks."""
+def types_and_tokens(keys: list[np.ndarray], vals: list[bytes], replies: list[bytes]) -> bytes:
+    """How many keys of a bucket were counted at all, and the sum of all counts, as two big-endian numbers."""
+    every, at = np.unique(np.concatenate(keys), return_index=True)
+    seen = np.concatenate([np.frombuffer(r, dtype=np.uint64) for r in replies])[at]
+    tokens = sum(int(np.frombuffer(v, dtype=np.uint32).sum(dtype=np.uint64)) for v in vals)
+    return int((seen > 0).sum()).to_bytes(8, "big") + tokens.to_bytes(8, "big")
+
+
+def _totals(replies: pa.Table, word_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus counts of the chunk's words and pairs."""
     is_word = pc.less(replies["bucket"], word_buckets)
-    parts = []
-    for kind in (is_word, pc.invert(is_word)):
-        blocks = [np.frombuffer(r, dtype=np.uint64).reshape(2, -1) for r in by_bucket(replies.filter(kind))]
-        parts.append(np.concatenate(blocks, axis=1) if blocks else np.zeros((2, 0), dtype=np.uint64))
-    return parts[0][0].astype(np.int64), parts[1][0].astype(np.int64), parts[0][1].astype(bool)
+    return tuple(np.frombuffer(b"".join(by_bucket(replies.filter(kind))), dtype=np.int64) for kind in (is_word, pc.invert(is_word)))
 
 
 def frequency_bucket(c: np.ndarray) -> np.ndarray:
@@ -137,7 +138,7 @@ def fit_weights(hist: list, floor: float, rounds: int = 60, prior: float = 20.0)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2,
-                    chunk_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, least_chunks: int = 8) -> DataFrame:
+                    chunk_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, least_chunks: int = 8) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"),
                        F.coalesce(crc_fold(F.col(doc_id), folds) == held, F.lit(False)).alias("held"))
@@ -157,16 +158,12 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = pairs.set_column(1, "bucket", pc.cast(pc.add(pairs["bucket"], word_buckets), pa.int32()))
         return pa.concat_tables([words, pairs])
 
-    replies = round_trip(rows.groupBy("chunk").applyInArrow(ask, ASKS), add_up, "corpus-counts")
-
-    def count_types(batches):
-        for b in batches:
-            spoken = [np.prod(np.frombuffer(x.as_buffer(), dtype=np.uint64).reshape(2, -1), axis=0) for x in b.column("reply")]
-            yield pa.RecordBatch.from_arrays([pa.array([int((x > 0).sum()) for x in spoken], pa.int64()),
-                                              pa.array([int(x.sum()) for x in spoken], pa.int64())], ["v", "n"])
+    replies = round_trip(rows.groupBy("chunk").applyInArrow(ask, ASKS), add_up, "corpus-counts", types_and_tokens)
 
-    facts = replies.where(F.col("bucket") < word_buckets).select("reply").mapInArrow(count_types, "v long, n long").agg(
-        F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    number = lambda first: F.conv(F.hex(F.substring("reply", first, 8)), 16, 10).cast("long")
+    facts = replies.where((F.col("chunk") == -1) & (F.col("bucket") < word_buckets)).agg(
+        F.coalesce(F.sum(number(1)), F.lit(0)).alias("v"), F.coalesce(F.sum(number(9)), F.lit(0)).alias("n")).first()
+    replies = replies.where("chunk >= 0")
     n_train, n_types = facts["n"], facts["v"]
     n_begin = rows.where(~F.col("held")).count()
     floor = 1.0 / (n_types + 1)
@@ -185,7 +182,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         train = training(table)
         t = tokens(table["text"])
         c = counted(t, train)
-        words, pairs, _ = _totals(reply, word_buckets)
+        words, pairs = _totals(reply, word_buckets)
         words, pairs = words - c.own_words, pairs - c.own_pairs  # what the other chunks know
         left = context_counts(t, c, words, n_begin - c.begins)
         rest = max(n_train - int(c.own_words.sum()), 1)
@@ -204,7 +201,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def score(table: pa.Table, reply: pa.Table) -> pa.Table:
         t = tokens(table["text"])
         c = counted(t, training(table))
-        words, pairs, _ = _totals(reply, word_buckets)
+        words, pairs = _totals(reply, word_buckets)
         context = context_counts(t, c, words, n_begin)
         mine, both = words[c.word_at], pairs[c.pair_at]
         w = weights[frequency_bucket(context)]
