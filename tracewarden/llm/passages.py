@@ -153,8 +153,12 @@ def parse(texts, size: int) -> Parsed:
         before = np.concatenate([[0], np.cumsum(in_run)])
         touched = before[starts + size] > before[starts]
         end = np.where(touched, first, end)
-    pairs = mixed(sym[:-1] * _ODD ^ mixed(sym[1:], 101), 102) if len(sym) > 1 else np.zeros(0, dtype=np.uint64)
-    return Parsed(w, starts, doc[starts] if len(starts) else starts, pairs, doc[at[:-1]] if len(at) > 1 else np.zeros(0, dtype=np.int64), first, end)
+    pairs, owner = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    if len(sym) > 1:
+        pairs, owner = mixed(sym[:-1] * _ODD ^ mixed(sym[1:], 101), 102), doc[at[:-1]]
+        # what stands across two documents depends on the order in which they come: one name for all, and no window asks for it
+        pairs[doc[at[1:]] != owner] = 0
+    return Parsed(w, starts, doc[starts] if len(starts) else starts, pairs, owner, first, end)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +253,7 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 13,
-                   chunk_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
+                   chunk_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
     """Rows (id, n_words, n_removed, kept): the words left when repeats of earlier documents' windows are cut out."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     total = text_bytes(rows)
