@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, broadcast_blocks, stored, union_all, words
 
 #: ASCII letters and digits and everything beyond ASCII make words (texts are lower-cased before)
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = 10) -> DataFrame:
     """(item, win): the distinct windows of every item; shorter items are one window."""
-    w = items.select(F.col(item_id).alias("item"), words(ascii_lower(F.col(text)), ITEM_WORD).alias("w")).where(F.size("w") > 0)
+    w = items.select(F.col(item_id).alias("item"), words(ascii_lower(F.col(text)), BETWEEN).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
     return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("win")).distinct()
 
@@ -43,7 +43,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
                    size: int = 10, block_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """Slim documents (id, th, n_words) and all occurrences (id, th, start, len, item) of item windows."""
     doc_words = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("th"),
-                            words(ascii_lower(F.col(text)), ITEM_WORD).alias("words"))
+                            words(ascii_lower(F.col(text)), BETWEEN).alias("words"))
     windows = stored(item_windows(items, size=size), "item-windows")
     prefixes = stored(rare_prefixes(windows, doc_words, block_bytes), "rare-prefixes")
     found = []

@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import stored, words
 
 #: documents of a leaf are cut into this many ranges of their seeded hash, and the range at the budget's edge once more
 RANGES = 1024
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, int
     names = list(levels)
     slim = docs.select(
         F.col(doc_id).alias("doc_id"), *[F.coalesce(c, F.lit("")).alias(k) for k, c in levels.items()],
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"), F.xxhash64(text).alias("th"))
+        F.size(words(F.col(text))).cast("bigint").alias("n_tokens"), F.xxhash64(text).alias("th"))
     slim = stored(slim.where("n_tokens > 0"), "mix-documents")
     leaves = stored(slim.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
     if isinstance(budget, float):
@@ -135,5 +135,5 @@ def with_texts(mixed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
     """
     texts = docs.select(F.col(doc_id).alias("_i"), F.xxhash64(text).alias("_t"), F.col(text).alias("text")).dropDuplicates(["_i", "_t"])
     cut = F.when(F.col("take") < F.col("n_tokens"), F.array_join(F.slice(
-        F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")).otherwise(F.col("text"))
+        words(F.col("text")), F.lit(1), F.col("take").cast("int")), " ")).otherwise(F.col("text"))
     return mixed.join(texts, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))).select(*mixed.columns, cut.alias("text"))
