@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Does every node have one parent at most, and no parent a parent?"""
+    sides = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    wrong = sides.groupBy("x").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or (c > 0 and p > 0)")
+    return wrong.limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,18 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. The smallest neighbour is an aggregate with partial sums, so a hub costs no more than its rows.
     """
     work = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(work)
-    while state[0]:
+    while not _are_stars(work):
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         work = stored(small.where("u <> v").distinct(), "edges")
-        before, state = state, _state(work)
-        if state == before:
-            break
-    roots = work.select(F.col("v").alias("node")).distinct()
     return work.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        roots.select("node", F.col("node").alias("component"))).distinct()
+        work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
