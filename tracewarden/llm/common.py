@@ -109,6 +109,16 @@ def bucket_slices(sorted_keys: np.ndarray, n_buckets: int) -> list[tuple[int, in
     return [(b, int(cuts[b]), int(cuts[b + 1])) for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, lowest first: small counts leave planes of zeros, which compress to nothing."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+
+
+def from_planes(packed: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def round_trip(asks: DataFrame, answer: Callable[[list[np.ndarray], list[bytes]], list[bytes]], name: str,
                note: Callable[[list[np.ndarray], list[bytes], list[bytes]], bytes] | None = None) -> DataFrame:
     """Answer packed questions: rows (chunk, bucket, keys, vals) become a stored table (chunk, bucket, reply).

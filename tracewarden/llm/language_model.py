@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, chunked, crc_fold, round_trip, stored, text_bytes
+from .common import by_bucket, chunked, crc_fold, from_planes, planes, round_trip, stored, text_bytes
 from .passages import ASKS, _asks, _distinct, mixed, split_words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,27 +78,28 @@ def counted(t: Tokens, training: np.ndarray) -> Counted:
 
 def add_up(keys: list[np.ndarray], vals: list[bytes]) -> list[bytes]:
     every = np.concatenate(keys)
-    own = np.concatenate([np.frombuffer(v, dtype=np.uint32) for v in vals]).astype(np.uint64)
+    own = np.concatenate([from_planes(v, np.uint32) for v in vals]).astype(np.uint64)
     order = np.argsort(every)
     head = np.concatenate([[True], every[order][1:] != every[order][:-1]])
     total = np.add.reduceat(own[order], np.flatnonzero(head))
     out = np.empty(len(every), dtype=np.uint64)
     out[order] = total[np.cumsum(head) - 1]
-    return [x.tobytes() for x in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
+    return [planes(x) for x in np.split(out, np.cumsum([len(k) for k in keys])[:-1])]
 
 
 def types_and_tokens(keys: list[np.ndarray], vals: list[bytes], replies: list[bytes]) -> bytes:
     """How many keys of a bucket were counted at all, and the sum of all counts, as two big-endian numbers."""
     every, at = np.unique(np.concatenate(keys), return_index=True)
-    seen = np.concatenate([np.frombuffer(r, dtype=np.uint64) for r in replies])[at]
-    tokens = sum(int(np.frombuffer(v, dtype=np.uint32).sum(dtype=np.uint64)) for v in vals)
+    seen = np.concatenate([from_planes(r, np.uint64) for r in replies])[at]
+    tokens = sum(int(from_planes(v, np.uint32).sum(dtype=np.uint64)) for v in vals)
     return int((seen > 0).sum()).to_bytes(8, "big") + tokens.to_bytes(8, "big")
 
 
 def _totals(replies: pa.Table, word_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Corpus counts of the chunk's words and pairs."""
     is_word = pc.less(replies["bucket"], word_buckets)
-    return tuple(np.frombuffer(b"".join(by_bucket(replies.filter(kind))), dtype=np.int64) for kind in (is_word, pc.invert(is_word)))
+    return tuple(np.concatenate([np.zeros(0, dtype=np.int64), *(from_planes(r, np.int64) for r in by_bucket(replies.filter(kind)))])
+                 for kind in (is_word, pc.invert(is_word)))
 
 
 def frequency_bucket(c: np.ndarray) -> np.ndarray:
@@ -153,8 +154,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def ask(table: pa.Table) -> pa.Table:
         c = counted(tokens(table["text"]), training(table))
         chunk = table["chunk"][0].as_py()
-        words = _asks(chunk, c.words, c.own_words.astype(np.uint32), word_buckets)
-        pairs = _asks(chunk, c.pairs, c.own_pairs.astype(np.uint32), pair_buckets)
+        words = _asks(chunk, c.words, c.own_words.astype(np.uint32), word_buckets, planes)
+        pairs = _asks(chunk, c.pairs, c.own_pairs.astype(np.uint32), pair_buckets, planes)
         pairs = pairs.set_column(1, "bucket", pc.cast(pc.add(pairs["bucket"], word_buckets), pa.int32()))
         return pa.concat_tables([words, pairs])
 

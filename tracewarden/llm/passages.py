@@ -171,12 +171,12 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order], rank[coded.indices.to_numpy()]
 
 
-def _asks(chunk, keys: np.ndarray, vals: np.ndarray, n_buckets: int) -> pa.Table:
+def _asks(chunk, keys: np.ndarray, vals: np.ndarray, n_buckets: int, pack=np.ndarray.tobytes) -> pa.Table:
     cut = bucket_slices(keys, n_buckets)
     return pa.table({
         "chunk": pa.array([chunk] * len(cut), pa.int32()), "bucket": pa.array([b for b, _, _ in cut], pa.int32()),
         "keys": pa.array([keys[i:j].tobytes() for _, i, j in cut], pa.binary()),
-        "vals": pa.array([vals[i:j].tobytes() for _, i, j in cut], pa.binary())})
+        "vals": pa.array([pack(vals[i:j]) for _, i, j in cut], pa.binary())})
 
 
 def pair_asks(p: Parsed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
