@@ -71,6 +71,32 @@ def test_near_components(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == brute_components(rows, 3, 85)
 
 
+def families_without_centre():
+    """Copies of an absent original whose edits partly overlap, and a long shared passage that leaves most pairs just below the threshold."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        original = sentence(rng, 150, 3000).split(" ")
+        edits = [(at, f"e{g}x{at}") for at in range(2, 148, 4)]
+        for k in range(150):
+            w = list(original)
+            for at, x in rng.sample(edits, 4):
+                w[at] = x
+            rows.append((10_000 * (g + 1) + k, " ".join(w), "en", "s0"))
+    passage = sentence(rng, 120, 3000)
+    tails = [sentence(rng, 14, 3000) for _ in range(60)]
+    rows += [(50_000 + k, f"{passage} {t}", "en", "s1") for k, t in enumerate(tails)]
+    return rows + [(60_000 + k, f"{passage} {t} z{k}", "en", "s1") for k, t in enumerate(tails)]
+
+
+@pytest.mark.parametrize("block, size, percent", [(256, 3, 85), (16, 5, 80)])
+def test_near_components_without_centre(spark, monkeypatch, block, size, percent):
+    monkeypatch.setattr(near, "BLOCK", block, raising=False)
+    rows = families_without_centre()
+    out = near.near_components(documents(spark, rows), size=size, percent=percent).select("id", "n", "component")
+    assert sorted(map(tuple, out.collect()), key=repr) == brute_components(rows, size, percent)
+
+
 def test_keep_one_row_of_each_group(spark):
     rows = some_documents(2)
     docs = documents(spark, rows)

@@ -1,14 +1,21 @@
-"""MinHash near-deduplication with an LSH forest.
+"""MinHash near-deduplication with an LSH forest, and an exact pass for what the forest misses.
 
 Each distinct shingle set is a node (exact copies collapse first). Its signature gives ``TREES`` labels of ``DEPTH`` values, and each tree
-is the sorted order of one label. Candidates of a node in a tree are its neighbour in that order, which has the longest common
-prefix, and the head of its region, the nodes that share the first ``SHALLOW`` values. Regions deepen where the data are dense: a
-node counts for as much as the regions of full depth around it are large, and the node that counts most is its region's head, so that the centre
-of a large group of near copies meets all of them. So there are at most two candidates per node and tree, whatever a region's size.
+is the sorted order of one label. Candidates of a node in a tree are its neighbour in that order and the head of its region, the nodes
+that share the first ``SHALLOW`` values. The depth is fixed. A node counts for as much as the regions of full depth around it are large, and
+the node that counts most is its region's head, so that the centre of a large group of near copies meets all of them. So there are at most
+two candidates per node and tree, whatever a region's size.
 
 Links are confirmed on full sets in two rounds: first the partner that most trees name, for every node; then every candidate whose two nodes
-are not led to one node by such links. Candidates inside one component can change nothing, so no other candidate is dropped unconfirmed.
-A pair of similarity s shares a region in a tree with s ** 4, and misses all 16 with (1 - s ** 4) ** 16: below 1 in 100,000 at 0.85.
+are not led to one node by such links. This is only the cheap way to most links, as a region's other pairs are not compared.
+
+The rest is exact. All sets are put into one order, shingles that are frequent in a sample last. Of two similar sets, the first common
+shingle is in the prefix of both that is one longer than what a similar set can lack. Nodes of different components that share a shingle
+of their prefixes, at places and with sizes that still allow the similarity, meet in blocks of ``BLOCK`` by ``BLOCK`` rows. Each set has ``PARITY``
+bits, or more if it is large, that say whether it holds an odd number of the shingles of that bit; as many shingles as two sets differ in bits, they differ in at
+least, so a pair that differs in too many needs no full comparison. All others are compared on full sets.
+Pairs inside one component can change nothing, so no pair that can is left out. The cost grows with the pairs of different components
+that share such a shingle, with the square of a family whose members are just below the threshold.
 
 Defined results. A text without words, or null, has an empty set and is linked with nothing. A text with fewer words than a shingle is one shingle.
 Rows with a null id take no part: no component, kept. Repeated rows are rows of their own with equal results. Other columns are not read.
@@ -25,11 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_proven, stored
+from .common import broadcast_if_proven, stored, text_bytes
 from .components import components
 from .passages import mixed, split_words
 
 TREES, DEPTH, SHALLOW = 16, 6, 4
+#: rows of a shingle's list that meet in one block; bytes of text whose shingles are counted for the order of the sets
+BLOCK, SAMPLE_BYTES = 256, 8 << 20
+#: bits of sets of up to 1000 shingles, and of larger ones
+PARITY, PARITY_LARGE = 1024, 8192
 _FACTORS = (np.random.default_rng(5).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,8 +89,26 @@ def _small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def signed(docs: DataFrame, size: int) -> DataFrame:
-    """(id, th, n, digest, sig) per row of (id, text, th): set size, 128-bit name of the set, signature (null for empty sets)."""
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and in how many. They only order the sets: any order gives the same results."""
+    docs = docs.where("id is not null and octet_length(text) <= 1000000")
+    some = docs.where(F.pmod(F.col("th"), F.lit(text_bytes(docs) // SAMPLE_BYTES + 1)) == 0).dropDuplicates(["th"])
+
+    def run(batches):
+        for whole in batches:
+            for b in _small(whole):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(b.column("text"), size)[0].view(np.int64))], ["item"])
+
+    found = some.select("text").mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("c")).where("c > 2").toArrow()
+    items, counts = found["item"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.argsort(items)
+    return items[order], counts[order]
+
+
+def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, th, n, digest, sig, prefix, odd) per row of (id, text, th): set size, 128-bit name of the set, signature (null for empty sets), first shingles, parities."""
+    items, counts = frequent(docs, size)
+
     def run(batches):
         for whole in batches:
             for b in _small(whole):
@@ -89,11 +118,22 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 full = np.flatnonzero(n)
                 sig = minima(sets, np.append(starts[:-1][full], starts[-1]))
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, sig.shape[1], 0))]).astype(np.int32)
+                often = np.zeros(len(sets), dtype=np.int64)
+                if len(items):
+                    at = np.minimum(np.searchsorted(items, sets), len(items) - 1)
+                    often = np.where(items[at] == sets, counts[at], 0)
+                # of the n shingles, a similar set has n * percent / 100 at least, so one of the first n - that + 1
+                heads = [sets[i:j][np.argsort(often[i:j], kind="stable")[:(j - i) - (-(-(j - i) * percent // 100)) + 1]] for i, j in zip(starts[:-1], starts[1:])]
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)),
+                                                  pa.array(np.concatenate([*heads, sets[:0]]).view(np.int64)))
+                wide = np.where(n > 1000, PARITY_LARGE, PARITY)
+                odd = [np.packbits((np.bincount((sets[i:j] % np.uint64(w)).astype(np.int64), minlength=w) & 1).astype(np.uint8)).view(np.int64) for i, j, w in zip(starts[:-1], starts[1:], wide)]
+                odds = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wide // 64)]).astype(np.int32)), pa.array(np.concatenate(odd)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))], ["id", "th", "n", "digest", "sig"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel())), prefix, odds], ["id", "th", "n", "digest", "sig", "prefix", "odd"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, digest binary, sig array<int>")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, digest binary, sig array<int>, prefix array<long>, odd array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -169,15 +209,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.col("un") + F.col("vn") - common) * percent).select("u", "v")
 
 
+def unexamined(slim: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that can still be similar: they share a shingle of their prefixes."""
+    lists = slim.where("id is not null and n > 0").select(F.xxhash64("digest").alias("h"), "n", F.posexplode("prefix").alias("pos", "item"))
+    shared = stored(lists.groupBy("item").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("item"), "shared-shingles")
+    # lists hold 64-bit names of nodes and components; a node's rows are equal, so its first row stands for all
+    names = stored(nodes.select("node", "th", F.xxhash64("digest").alias("h")).join(joined, "node", "left").select(
+        "node", "h", F.xxhash64(F.coalesce("component", "node")).alias("of"), F.col("node.id").alias("id"), "th"), "names")
+    once = slim.select("id", "th", "n", "prefix").join(names.select("id", "th", "h", "of"), ["id", "th"]).dropDuplicates(["h"])
+    lists = once.select("h", "of", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "item")).join(broadcast_if_proven(shared, 16), "item")
+    lists = stored(lists, "prefix-lists")
+    apart = lists.groupBy("item").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    apart = stored(apart.select("item", F.expr(f"cast(c div {BLOCK} + 1 as int)").alias("blocks")), "items-apart")
+    lists = lists.join(broadcast_if_proven(apart, 16), "item")
+    # a long list is cut into blocks, and each block meets each
+    own, other = F.pmod(F.xxhash64("h"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = lists.select("item", own.alias("i"), other.alias("j"), *[F.col(c).alias(f"u_{c}") for c in ("h", "of", "n", "pos")])
+    right = lists.select("item", other.alias("i"), own.alias("j"), *[F.col(c).alias(f"v_{c}") for c in ("h", "of", "n", "pos")])
+    met = left.join(right, ["item", "i", "j"]).where((F.col("u_h") < F.col("v_h")) & (F.col("u_of") != F.col("v_of")))
+    # at the first common shingle, what is left of both sets bounds what they have in common
+    most = F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
+    met = met.where(most * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent).select("u_h", "v_h").distinct()
+    name = lambda x: names.select(F.col("h").alias(f"{x}_h"), F.col("node").alias(x))
+    met = met.join(name("u"), "u_h").join(name("v"), "v_h").select("u", "v")
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o"))
+    differ = F.aggregate(F.zip_with("uo", "vo", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    return met.join(of("u"), "u").join(of("v"), "v").where(
+        (F.size("uo") != F.size("vo")) | (differ * (100 + percent) <= (F.col("un") + F.col("vn")) * (100 - percent))).select("u", "v")
+
+
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """Rows (id, th, n, component) for all rows; ``percent`` is the least similarity, ``size`` the words of a shingle."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    slim = stored(signed(rows, size), "signatures")
+    slim = stored(signed(rows, size, percent), "signatures")
     classes = slim.where("id is not null and n > 0").groupBy("digest").agg(
-        F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
     # a node is named by its smallest id, with a hash of the set for rows that share an id
     named = lambda digest, i: F.struct(i.alias("id"), F.xxhash64(digest).alias("h"))
-    nodes = stored(classes.select(named(F.col("digest"), F.col("first.id")).alias("node"), F.col("first.th").alias("th"), "n", "digest", "sig"), "nodes")
+    nodes = stored(classes.select(named(F.col("digest"), F.col("first.id")).alias("node"), F.col("first.th").alias("th"), "n", "digest", "sig", "odd"), "nodes")
 
     labels = nodes.select("node", "n", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("sig", t * DEPTH + 1, DEPTH))).alias("tree", "label"))
@@ -199,11 +268,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = stored(found.select(F.when(hub, F.col("a")).otherwise(F.col("b")).alias("u"),
                                 F.when(hub, F.col("b")).otherwise(F.col("a")).alias("v"), "trees"), "candidates")
 
-    involved = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(facts, "node")
-    involved = stored(involved.select("node", F.col("node.id").alias("id"), "th", "n"), "involved")
-    of_node = rows.join(broadcast_if_proven(involved.select("node", "id", "th"), 64), ["id", "th"]).select("node", "text")
-    sets = stored(full_sets(of_node.dropDuplicates(["node"]), size), "sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "th"), "node")
+        involved = stored(involved.select("node", F.col("node.id").alias("id"), "th"), "involved")
+        of_node = rows.join(broadcast_if_proven(involved, 64), ["id", "th"]).select("node", "text")
+        return stored(full_sets(of_node.dropDuplicates(["node"]), size), "sets")
 
+    sets = sets_of(pairs)
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("trees", (-F.col("u.id")).alias("i"), F.col("u.h").alias("h"))).alias("u"))
     links = stored(confirmed(best.select("u", "v"), sets, percent), "links-1")
     # a node is led by its partner's partner: nodes with one leader are connected
@@ -216,6 +287,11 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = rest.join(best.select("u", "v"), ["u", "v"], "left_anti")
     more = stored(confirmed(rest, sets, percent), "links-2")
     joined = stored(components(links.unionByName(more)), "components")
+    open_pairs = stored(unexamined(slim, nodes, joined, percent), "unexamined")
+    if not open_pairs.isEmpty():
+        missed = stored(confirmed(open_pairs, sets_of(open_pairs), percent), "links-3")
+        if not missed.isEmpty():
+            joined = stored(components(links.unionByName(more).unionByName(missed)), "components")
 
     of_class = nodes.join(joined, "node").select("digest", F.col("component.id").alias("component"))
     own = slim.select("id", "th", "n", "digest").join(nodes.select("digest", F.col("node.id").alias("smallest")), "digest", "left")
