@@ -182,6 +182,13 @@ def test_budgets_and_prefixes(spark):
     assert [sorted(map(repr, mixing.mix(docs, levels, weights, 0.3, 2, s).collect())) for s in (1, 1)].count(None) == 0
 
 
+def test_weight_zero_below_leaves_its_share_to_others(spark):
+    words = lambda n: " ".join("w" for _ in range(n))
+    docs = documents(spark, [(1, words(90), "fr", "b"), (2, words(10), "en", "b"), (3, words(900), "en", "a")])
+    taken = mixing.mix(docs, {"source": F.col("source"), "lang": F.col("lang")}, {"a": 9, "b": 1, "b/fr": 0}, 1000, 2, 1).groupBy("source", "lang").agg(F.sum("take").alias("n"))
+    assert {(r["source"], r["lang"]): r["n"] for r in taken.collect()} == {("b", "en"): 20, ("a", "en"): 980}
+
+
 def test_seeds_change_the_order_only(spark):
     rows = [(i, f"a b c {i}", "en", "a") for i in range(50)]
     docs = documents(spark, rows)

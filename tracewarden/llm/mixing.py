@@ -61,6 +61,9 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
     table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
     weight = lambda p: (F.coalesce(table[p], F.lit(1)) if table is not None else F.lit(1)).cast("bigint")
     parents = None
+    # what hangs below a weight of 0 can never be spent, so no capacity above counts it
+    for d in range(1, depth + 1):
+        leaves = leaves.where(weight(path[d]) > 0)
     for d in range(1, depth + 1):
         nodes = leaves.groupBy(*levels[:d]).agg((F.sum("tokens") * epochs).alias("cap"), F.sum("tokens").alias("tokens"))
         nodes = nodes.select("*", path[d].alias("_name"), (path[d - 1] if d > 1 else F.lit("")).alias("_parent"),
@@ -71,7 +74,7 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
             nodes = nodes.join(parents, list(levels[:d - 1]))
         done = split_budget(nodes, "_parent", "cap", "_weight", "_budget", "_name")
         if d < depth:
-            # a parent's share counts what its own children can spend, so all capacities are sums over leaves
+            # a parent's share counts what its own children can spend, so all capacities are sums over leaves that can be taken
             parents = done.select(*levels[:d], F.col("share").alias("_budget"))
     return done.select(*levels, "tokens", "share")
 
