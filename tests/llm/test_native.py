@@ -124,6 +124,17 @@ def test_layouts_and_round_trip(spark):
     assert chat.formatted(chat.canonical_turns(df.where("false"))).count() == 0
 
 
+def test_very_long_turns(spark):
+    end = '"\\\\"\\n"'
+    df = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.to_json(F.struct(F.lit("assistant").alias("role"), F.concat(
+        F.repeat(F.lit("abc \\ "), 3_500_000), F.lit(end)).alias("text"))).alias("record"))
+    got = chat.canonical_turns(df, strict=True).select("role", F.length("text").alias("n"), F.substring("text", -len(end), len(end)).alias("end")).collect()
+    assert [tuple(r) for r in got] == [("assistant", 21_000_000 + len(end), end)]
+    assert chat.unmapped(df).count() == 0
+    with pytest.raises(Exception, match="no mapping"):
+        chat.canonical_turns(df.withColumn("record", F.lit('{"unknown": 1}')), strict=True).collect()
+
+
 # -- mixing ---------------------------------------------------------------------------------------------------------
 
 def water(children, budget):

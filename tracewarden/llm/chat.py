@@ -23,6 +23,9 @@ CONTROL = ("<|turn|>", "<|says|>", "<|done|>", "<s>", "</s>", "[INST]", "[/INST]
            "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 LOSS_ROLE = "assistant"
 
+#: bytes from which a record's long strings are left out before its shape is taken
+LONG = 1 << 20
+ANY_LENGTH = {"maxStringLen": "2147483647"}
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -79,7 +82,10 @@ def fingerprint_of(paths: tuple[str, ...]) -> str:
 
 def shape(record: Column) -> Column:
     """A JSON record's nested field paths, without values and scalar types; text that looks like JSON is a value."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    # variants hold no very long strings: in long records those are left out first. Escaped quotes and backslashes go before, so quotes stand around strings only
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit("??")), F.lit('\\"'), F.lit("??"))
+    short = F.regexp_replace(plain, '"([^"]{0,1000}+)"|"[^"]*+"', '"$1"')
+    schema = F.schema_of_variant(F.try_parse_json(F.when(F.octet_length(record) > LONG, short).otherwise(record)))
     return F.regexp_replace(schema, r"(: |ARRAY<)(?!OBJECT<|ARRAY<)[A-Z_]+(\([0-9, ]+\))?", "$1_")
 
 
@@ -98,20 +104,21 @@ def canonical_role(role: Column) -> Column:
 
 def _turns(record: Column, m: Mapping) -> Column:
     if not m.each:
-        parsed = F.from_json(record, ",".join(f"`{p}` string" for _, p in m.turns))
+        parsed = F.from_json(record, ",".join(f"`{p}` string" for _, p in m.turns), ANY_LENGTH)
         return F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(parsed[p], F.lit("")).alias("text")) for r, p in m.turns])
     one = f"struct<`{m.role}`:string,`{m.text}`:string>"
-    items = F.array(F.from_json(record, one)) if m.each == "$" else F.from_json(record, f"`{m.each}` array<{one}>")[m.each]
+    items = F.array(F.from_json(record, one, ANY_LENGTH)) if m.each == "$" else F.from_json(record, f"`{m.each}` array<{one}>", ANY_LENGTH)[m.each]
     return F.transform(F.coalesce(items, F.array().cast(f"array<{one}>")), lambda i: F.struct(
         (canonical_role(i[m.role]) if m.renamed else F.coalesce(i[m.role], F.lit(""))).alias("role"), F.coalesce(i[m.text], F.lit("")).alias("text")))
 
 
 def canonical_turns(records: DataFrame, conv_id: str = "conv_id", turn: str = "turn", record: str = "record",
-                    mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Rows (conv_id, turn, place, role, text) of all records with a known layout."""
+                    mappings: tuple[Mapping, ...] = MAPPINGS, strict: bool = False) -> DataFrame:
+    """Rows (conv_id, turn, place, role, text) of all records with a known layout; with ``strict`` any other record is an error."""
     marked = records.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(record).alias("record"),
                             fingerprint(F.col(record)).alias("print"))
-    out = F.lit(None).cast(TURNS)
+    out = F.raise_error(F.concat(F.lit("no mapping for a record with fingerprint "), F.coalesce("print", F.lit("null")))) if strict else F.lit(None)
+    out = out.cast(TURNS)
     for m in mappings:
         out = F.when(F.col("print") == fingerprint_of(m.paths), _turns(F.col("record"), m)).otherwise(out)
     return marked.select("conv_id", "turn", F.posexplode(out).alias("place", "t")).select(

@@ -128,7 +128,7 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(CHAT_SQL)
 def op9_format_chat(spark, sf_dir):
-    out = chat.formatted(chat.canonical_turns(chat_records(spark, sf_dir)))
+    out = chat.formatted(chat.canonical_turns(chat_records(spark, sf_dir), strict=True))
     turns, under = chat.read_back(F.col("formatted")), chat.loss_texts(F.col("formatted"), F.col("loss"))
     read = out.select("conv_id", turns.alias("turns"), under.alias("under"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
