@@ -90,6 +90,21 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, frames)
 
 
+def by_length(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vector length -> (rows of an Arrow list column, their matrix)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        some = column if len(at) == len(size) else column.take(pa.array(at))
+        out[int(d)] = at, some.flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(d))
+    return out
+
+
 # -- round trips: chunks of documents ask what the corpus knows about their keys ---------------------
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, language_model, mixing, near, nearest, passages, secrets, toxicity
+from . import chat, decontaminate, language, language_model, mixing, near, nearest, negatives, passages, secrets, sharding, toxicity, whitening
 from .common import crc_fold
-from .oracles import CHAT_SQL, DECONTAMINATE_SQL, PASSAGES_SQL, SECRETS_SQL, mixing_sql
+from .oracles import CHAT_SQL, DECONTAMINATE_SQL, NEGATIVES_SQL, PASSAGES_SQL, SECRETS_SQL, mixing_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,3 +158,30 @@ def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_identify_language(spark, sf_dir):
     labelled = _table(spark, sf_dir, "documents").where(F.coalesce(crc_fold(F.col("doc_id"), 3) != 1, F.lit(True))).select("lang", "text")
     return language.identify(language_rows(spark, sf_dir), labelled).select("doc_id", "page_id", "held_out", "declared", "suffix", "host", "lang", "score")
+
+
+# -- 11: hard negatives -------------------------------------------------------------------------------------
+
+@_query(NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+# -- 12: whitening ------------------------------------------------------------------------------------------
+
+@_query()
+def op12_whiten(spark, sf_dir):
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    # a deviation beyond 64 bits (some millions of rows) has no bigint
+    return out.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+# -- 13: sharding -------------------------------------------------------------------------------------------
+
+@_query()
+def op13_shard(spark, sf_dir):
+    out, _ = sharding.shard_records(_table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("position").cast("bigint").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot"))
