@@ -1,21 +1,21 @@
 """MinHash near-deduplication with an LSH forest, and an exact pass for what the forest misses.
 
 Each distinct shingle set is a node (exact copies collapse first). Its signature gives ``TREES`` labels of ``DEPTH`` values, and each tree
-is the sorted order of one label. Candidates of a node in a tree are its neighbour in that order and the head of its region, the nodes
-that share the first ``SHALLOW`` values. The depth is fixed. A node counts for as much as the regions of full depth around it are large, and
-the node that counts most is its region's head, so that the centre of a large group of near copies meets all of them. So there are at most
-two candidates per node and tree, whatever a region's size.
+is the sorted order of one label. Candidates of a node in a tree are its neighbour in that order and the heads of its regions. A region is
+the nodes that share the first ``SHALLOW`` values; one with more than ``CROWD`` nodes is split by the next value, and what is still crowded by the one after
+that, so the depth follows from how dense the data are there. A node counts for as much as the regions of full depth around it are large, and
+the node that counts most is its region's head, so that the centre of a large group of near copies meets all of them.
 
 Links are confirmed on full sets in two rounds: first the partner that most trees name, for every node; then every candidate whose two nodes
 are not led to one node by such links. This is only the cheap way to most links, as a region's other pairs are not compared.
 
 The rest is exact. All sets are put into one order, shingles that are frequent in a sample last. Of two similar sets, the first common
-shingle is in the prefix of both that is one longer than what a similar set can lack. Nodes of different components that share a shingle
-of their prefixes, at places and with sizes that still allow the similarity, meet in blocks of ``BLOCK`` by ``BLOCK`` rows. Each set has ``PARITY``
-bits, or more if it is large, that say whether it holds an odd number of the shingles of that bit; as many shingles as two sets differ in bits, they differ in at
-least, so a pair that differs in too many needs no full comparison. All others are compared on full sets.
-Pairs inside one component can change nothing, so no pair that can is left out. The cost grows with the pairs of different components
-that share such a shingle, with the square of a family whose members are just below the threshold.
+shingle is in the prefix of both that is one longer than what a similar set can lack. Sizes are cut into classes, each as wide as similar sizes can be apart, so a
+set meets those of its own class and the next one. Nodes of different components that share a shingle of their prefixes meet per (shingle, class), in blocks of ``BLOCK`` by
+``BLOCK`` rows. Each set has parity bits that say whether it holds an odd number of the shingles of that bit; as many shingles as two sets differ in bits, they differ in at
+least. The join itself drops the pairs that differ in too many bits, so what leaves it is little more than the similar pairs; these are compared on full sets.
+Pairs inside one component can change nothing, so no pair that can is left out. Only bits of rows in one (shingle, class) are compared more often than the
+input grows, and only where neither the sample nor the sizes tell them apart.
 
 Defined results. A text without words, or null, has an empty set and is linked with nothing. A text with fewer words than a shingle is one shingle.
 Rows with a null id take no part: no component, kept. Repeated rows are rows of their own with equal results. Other columns are not read.
@@ -23,6 +23,7 @@ Rows with a null id take no part: no component, kept. Repeated rows are rows of
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_proven, stored, text_bytes
+from .common import broadcast_if_proven, discard, stored, text_bytes, union_all
 from .components import components
 from .passages import mixed, split_words
 
-TREES, DEPTH, SHALLOW = 16, 6, 4
+TREES, DEPTH, SHALLOW, CROWD = 16, 6, 4, 64
 #: rows of a shingle's list that meet in one block; bytes of text whose shingles are counted for the order of the sets
-BLOCK, SAMPLE_BYTES = 256, 8 << 20
-#: bits of sets of up to 1000 shingles, and of larger ones
-PARITY, PARITY_LARGE = 1024, 8192
+BLOCK, SAMPLE_BYTES = 2048, 8 << 20
+#: bits of sets of up to 1000 shingles, and of larger ones; sets of classes up to NARROW shingles meet with 256 of them, others with 1024
+PARITY, PARITY_LARGE, NARROW = 1024, 8192, 700
 _FACTORS = (np.random.default_rng(5).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,6 +85,14 @@ def minima(sets: np.ndarray, starts: np.ndarray, step: int = 1 << 16) -> np.ndar
     return sig
 
 
+def classes(percent: int, most: int = 1 << 40) -> np.ndarray:
+    """The largest size of each class: sets of similar size are in one class or in neighbouring ones."""
+    out = []
+    while not out or out[-1] < most:
+        out.append(((out[-1] if out else 0) + 1) * 100 // percent)
+    return np.array(out, dtype=np.int64)
+
+
 def _small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
@@ -106,8 +115,9 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, th, n, digest, sig, prefix, odd) per row of (id, text, th): set size, 128-bit name of the set, signature (null for empty sets), first shingles, parities."""
+    """(id, th, n, digest, sig, prefix, odd, class) per row of (id, text, th): set size, 128-bit name of the set, signature (null for empty sets), first shingles, parities, class of the size."""
     items, counts = frequent(docs, size)
+    ends_of = classes(percent)
 
     def run(batches):
         for whole in batches:
@@ -131,9 +141,10 @@ def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 odds = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wide // 64)]).astype(np.int32)), pa.array(np.concatenate(odd)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), b.column("th"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel())), prefix, odds], ["id", "th", "n", "digest", "sig", "prefix", "odd"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel())), prefix, odds, pa.array(np.searchsorted(ends_of, n).astype(np.int32))],
+                    ["id", "th", "n", "digest", "sig", "prefix", "odd", "class"])
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, digest binary, sig array<int>, prefix array<long>, odd array<long>")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, digest binary, sig array<int>, prefix array<long>, odd array<long>, class int")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -209,57 +220,96 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.col("un") + F.col("vn") - common) * percent).select("u", "v")
 
 
-def unexamined(slim: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+def _folded(odd, longs: int) -> list:
+    """Parity bits folded to ``longs`` numbers; folding keeps the bound, as bits that agree stay equal."""
+    def number(i: int, width: int):
+        return functools.reduce(lambda a, b: a.bitwiseXOR(b), [F.get(odd, j) for j in range(i, width // 64, longs)])
+
+    return [F.when(F.size(odd) == PARITY // 64, number(i, PARITY)).otherwise(number(i, PARITY_LARGE)).alias(f"p{i}") for i in range(longs)]
+
+
+def unexamined(nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of nodes of different components that can still be similar: they share a shingle of their prefixes."""
-    lists = slim.where("id is not null and n > 0").select(F.xxhash64("digest").alias("h"), "n", F.posexplode("prefix").alias("pos", "item"))
-    shared = stored(lists.groupBy("item").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("item"), "shared-shingles")
-    # lists hold 64-bit names of nodes and components; a node's rows are equal, so its first row stands for all
-    names = stored(nodes.select("node", "th", F.xxhash64("digest").alias("h")).join(joined, "node", "left").select(
-        "node", "h", F.xxhash64(F.coalesce("component", "node")).alias("of"), F.col("node.id").alias("id"), "th"), "names")
-    once = slim.select("id", "th", "n", "prefix").join(names.select("id", "th", "h", "of"), ["id", "th"]).dropDuplicates(["h"])
-    lists = once.select("h", "of", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "item")).join(broadcast_if_proven(shared, 16), "item")
-    lists = stored(lists, "prefix-lists")
-    apart = lists.groupBy("item").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    apart = stored(apart.select("item", F.expr(f"cast(c div {BLOCK} + 1 as int)").alias("blocks")), "items-apart")
-    lists = lists.join(broadcast_if_proven(apart, 16), "item")
-    # a long list is cut into blocks, and each block meets each
-    own, other = F.pmod(F.xxhash64("h"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = lists.select("item", own.alias("i"), other.alias("j"), *[F.col(c).alias(f"u_{c}") for c in ("h", "of", "n", "pos")])
-    right = lists.select("item", other.alias("i"), own.alias("j"), *[F.col(c).alias(f"v_{c}") for c in ("h", "of", "n", "pos")])
-    met = left.join(right, ["item", "i", "j"]).where((F.col("u_h") < F.col("v_h")) & (F.col("u_of") != F.col("v_of")))
-    # at the first common shingle, what is left of both sets bounds what they have in common
-    most = F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
-    met = met.where(most * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent).select("u_h", "v_h").distinct()
-    name = lambda x: names.select(F.col("h").alias(f"{x}_h"), F.col("node").alias(x))
-    met = met.join(name("u"), "u_h").join(name("v"), "v_h").select("u", "v")
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o"))
+    of = F.xxhash64(F.coalesce("component", "node")).alias("of")
+    # lists hold 64-bit names of nodes and components
+    placed = stored(nodes.join(joined, "node", "left").select(F.xxhash64("digest").alias("h"), of, F.col("n").cast("int").alias("n"), "class", "prefix"), "prefixes")
+    apart = placed.select("of", F.explode("prefix").alias("item")).groupBy("item").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi")
+    apart = stored(apart.select("item"), "items-apart")
+    lists = placed.select("h", "of", "n", "class", F.posexplode("prefix").alias("pos", "item"))
+    lists = stored(lists.join(broadcast_if_proven(apart, 32), "item"), "prefix-lists")
+    discard(placed, apart)
+
+    # the larger of two sets stands in its own class, the smaller one in its own and the next
+    sides = lists.select("*", F.explode(F.array(F.struct(F.col("class").alias("k"), F.lit(1).alias("large")), F.struct(F.col("class").alias("k"), F.lit(0).alias("large")),
+                                                F.struct((F.col("class") + 1).alias("k"), F.lit(0).alias("large")))).alias("s")).select("*", "s.k", "s.large").drop("s", "class")
+    cells = sides.groupBy("item", "k").agg(
+        F.sum("large").alias("nl"), F.sum(1 - F.col("large")).alias("ns"), F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi and nl > 0 and ns > 0")
+    blocks = lambda n: F.expr(f"cast({n} div {BLOCK} + 1 as int)")
+    cells = stored(cells.select("item", "k", blocks("nl").alias("bl"), blocks("ns").alias("bs")), "cells")
+    sides = sides.join(broadcast_if_proven(cells, 64), ["item", "k"])
+    narrow = int(np.searchsorted(classes(percent), NARROW))
+    bits = nodes.select(F.xxhash64("digest").alias("h"), "odd")
+    found = []
+    for longs, which in ((4, F.col("k") < narrow), (16, F.col("k") >= narrow)):
+        parity = bits.select("h", *_folded(F.col("odd"), longs))
+        rows = sides.where(which).join(parity, "h")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda n: F.pmod(F.xxhash64("h"), n).cast("int")
+        named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("h", "of", "n", "pos", *[f"p{i}" for i in range(longs)])]
+        small = rows.where("large = 0").select("item", "k", mine("bs").alias("i"), every("bl").alias("j"), *named("u"))
+        large = rows.where("large = 1").select("item", "k", mine("bl").alias("j"), every("bs").alias("i"), *named("v"))
+        order = (F.col("u_n") < F.col("v_n")) | ((F.col("u_n") == F.col("v_n")) & (F.col("u_h") < F.col("v_h")))
+        sizes = F.col("u_n").cast("bigint") * 100 >= F.col("v_n").cast("bigint") * percent
+        # at the first common shingle, what is left of both sets bounds what they have in common
+        both, most = (F.col("u_n") + F.col("v_n")).cast("bigint"), F.least(F.col("u_n") - F.col("u_pos"), F.col("v_n") - F.col("v_pos"))
+        differ = sum((F.bit_count(F.col(f"u_p{i}").bitwiseXOR(F.col(f"v_p{i}"))) for i in range(longs)), F.lit(0))
+        alike = (most.cast("bigint") * (100 + percent) >= both * percent) & (differ * (100 + percent) <= both * (100 - percent))
+        keys = functools.reduce(lambda a, b: a & b, [small[c] == large[c] for c in ("item", "k", "i", "j")])
+        met = small.join(large, keys & (F.col("u_of") != F.col("v_of")) & order & sizes & alike)
+        found.append(met.select("u_h", "v_h"))
+    met = stored(found[0].unionByName(found[1]).distinct(), "met")
+    discard(lists, cells)
+    name = lambda x: nodes.select(F.xxhash64("digest").alias(f"{x}_h"), F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o"))
+    met = met.join(name("u"), "u_h").join(name("v"), "v_h")
     differ = F.aggregate(F.zip_with("uo", "vo", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    return met.join(of("u"), "u").join(of("v"), "v").where(
-        (F.size("uo") != F.size("vo")) | (differ * (100 + percent) <= (F.col("un") + F.col("vn")) * (100 - percent))).select("u", "v")
+    return met.where((F.size("uo") != F.size("vo")) | (differ * (100 + percent) <= (F.col("un") + F.col("vn")) * (100 - percent))).select("u", "v")
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
     """Rows (id, th, n, component) for all rows; ``percent`` is the least similarity, ``size`` the words of a shingle."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    slim = stored(signed(rows, size, percent), "signatures")
-    classes = slim.where("id is not null and n > 0").groupBy("digest").agg(
-        F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
+    signatures = stored(signed(rows, size, percent), "signatures")
+    slim = stored(signatures.select("id", "th", "n", "digest"), "set-names")
+    parts = [F.first(c).alias(c) for c in ("n", "sig", "odd", "prefix", "class")]
+    classes_ = signatures.where("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "th")).alias("first"), *parts)
     # a node is named by its smallest id, with a hash of the set for rows that share an id
     named = lambda digest, i: F.struct(i.alias("id"), F.xxhash64(digest).alias("h"))
-    nodes = stored(classes.select(named(F.col("digest"), F.col("first.id")).alias("node"), F.col("first.th").alias("th"), "n", "digest", "sig", "odd"), "nodes")
+    nodes = stored(classes_.select(named(F.col("digest"), F.col("first.id")).alias("node"), F.col("first.th").alias("th"), "n", "digest", "sig", "odd", "prefix", "class"), "nodes")
+    discard(signatures)
 
     labels = nodes.select("node", "n", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("sig", t * DEPTH + 1, DEPTH))).alias("tree", "label"))
     labels = labels.withColumn("region", F.xxhash64("tree", F.slice("label", 1, SHALLOW)))
-    dense = labels.groupBy("region").agg(F.count("*").alias("c")).where("c > 1").select("region")
-    labels = stored(labels.join(dense, "region"), "regions").withColumn("deep", F.xxhash64("tree", "label"))
+    dense = labels.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+    kept = stored(labels.join(dense, "region"), "regions")
+    labels = kept.drop("c").withColumn("deep", F.xxhash64("tree", "label"))
 
     weight = labels.join(labels.groupBy("deep").agg(F.count("*").alias("c")), "deep").groupBy("node").agg(F.sum("c").alias("weight"))
     facts = stored(weight.join(nodes.select("node", "n", "th"), "node"), "facts")
-    heads = labels.join(facts.select("node", "weight"), "node").groupBy("region").agg(
-        F.max_by(F.col("node"), F.struct("weight", (-F.col("node.id")).alias("id"), F.col("node.h").alias("h"))).alias("head"))
-    stars = labels.join(heads, "region").where("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"))
-    found = stars.unionByName(neighbours(labels).where("u <> v"))
+
+    def stars_of(regions: DataFrame) -> DataFrame:
+        heads = regions.join(facts.select("node", "weight"), "node").groupBy("region").agg(
+            F.max_by(F.col("node"), F.struct("weight", (-F.col("node.id")).alias("id"), F.col("node.h").alias("h"))).alias("head"))
+        return regions.join(heads, "region").where("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"))
+
+    stars, crowded = [stars_of(labels)], kept.where(F.col("c") > CROWD)
+    for depth in range(SHALLOW + 1, DEPTH + 1):  # crowded regions are split by one more value each time
+        parts_of = crowded.select("node", "tree", "label", F.xxhash64("tree", F.slice("label", 1, depth)).alias("region"))
+        sizes = parts_of.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+        parts_of = stored(parts_of.join(sizes, "region"), "deeper-regions")
+        stars.append(stars_of(parts_of.drop("c")))
+        crowded = parts_of.where(F.col("c") > CROWD)
+    found = union_all(stars).unionByName(neighbours(labels).where("u <> v"))
     found = found.groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count("*").alias("trees"))
     # the length bound needs no set: similarity is at most the ratio of the sizes
     of = lambda x: facts.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("weight").alias(f"{x}w"))
@@ -287,7 +337,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = rest.join(best.select("u", "v"), ["u", "v"], "left_anti")
     more = stored(confirmed(rest, sets, percent), "links-2")
     joined = stored(components(links.unionByName(more)), "components")
-    open_pairs = stored(unexamined(slim, nodes, joined, percent), "unexamined")
+    discard(kept, facts, pairs, sets, leads)
+    open_pairs = stored(unexamined(nodes, joined, percent), "unexamined")
     if not open_pairs.isEmpty():
         missed = stored(confirmed(open_pairs, sets_of(open_pairs), percent), "links-3")
         if not missed.isEmpty():
