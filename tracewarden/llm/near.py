@@ -39,7 +39,7 @@ from .passages import mixed, split_words
 
 TREES, DEPTH, SHALLOW, CROWD = 16, 6, 4, 64
 #: rows of a shingle's list that meet in one block; bytes of text whose shingles are counted for the order of the sets
-BLOCK, SAMPLE_BYTES = 2048, 8 << 20
+BLOCK, SAMPLE_BYTES = 2048, 32 << 20
 #: bits of sets of up to 1000 shingles, and of larger ones; sets of classes up to NARROW shingles meet with 256 of them, others with 1024
 PARITY, PARITY_LARGE, NARROW = 1024, 8192, 700
 _FACTORS = (np.random.default_rng(5).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -236,7 +236,8 @@ def unexamined(nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     apart = placed.select("of", F.explode("prefix").alias("item")).groupBy("item").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi")
     apart = stored(apart.select("item"), "items-apart")
     lists = placed.select("h", "of", "n", "class", F.posexplode("prefix").alias("pos", "item"))
-    lists = stored(lists.join(broadcast_if_proven(apart, 32), "item"), "prefix-lists")
+    # the joins of lists are shuffled at every size; each step is a table, so that its shuffle files go before the next one's come
+    lists = stored(lists.join(apart.hint("merge"), "item"), "prefix-lists")
     discard(placed, apart)
 
     # the larger of two sets stands in its own class, the smaller one in its own and the next
@@ -246,13 +247,14 @@ def unexamined(nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
         F.sum("large").alias("nl"), F.sum(1 - F.col("large")).alias("ns"), F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi and nl > 0 and ns > 0")
     blocks = lambda n: F.expr(f"cast({n} div {BLOCK} + 1 as int)")
     cells = stored(cells.select("item", "k", blocks("nl").alias("bl"), blocks("ns").alias("bs")), "cells")
-    sides = sides.join(broadcast_if_proven(cells, 64), ["item", "k"])
+    sides = stored(sides.join(cells.hint("merge"), ["item", "k"]), "sides")
+    discard(lists, cells)
     narrow = int(np.searchsorted(classes(percent), NARROW))
     bits = nodes.select(F.xxhash64("digest").alias("h"), "odd")
     found = []
     for longs, which in ((4, F.col("k") < narrow), (16, F.col("k") >= narrow)):
         parity = bits.select("h", *_folded(F.col("odd"), longs))
-        rows = sides.where(which).join(parity, "h")
+        rows = stored(sides.where(which).join(parity, "h"), "sides-with-bits")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         mine = lambda n: F.pmod(F.xxhash64("h"), n).cast("int")
         named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("h", "of", "n", "pos", *[f"p{i}" for i in range(longs)])]
@@ -266,9 +268,10 @@ def unexamined(nodes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
         alike = (most.cast("bigint") * (100 + percent) >= both * percent) & (differ * (100 + percent) <= both * (100 - percent))
         keys = functools.reduce(lambda a, b: a & b, [small[c] == large[c] for c in ("item", "k", "i", "j")])
         met = small.join(large, keys & (F.col("u_of") != F.col("v_of")) & order & sizes & alike)
-        found.append(met.select("u_h", "v_h"))
-    met = stored(found[0].unionByName(found[1]).distinct(), "met")
-    discard(lists, cells)
+        found.append(stored(met.select("u_h", "v_h").distinct(), "met"))
+        discard(rows)
+    discard(sides)
+    met = found[0].unionByName(found[1]).distinct()
     name = lambda x: nodes.select(F.xxhash64("digest").alias(f"{x}_h"), F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("odd").alias(f"{x}o"))
     met = met.join(name("u"), "u_h").join(name("v"), "v_h")
     differ = F.aggregate(F.zip_with("uo", "vo", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
