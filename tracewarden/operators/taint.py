@@ -4,6 +4,10 @@ Which tagged value a message sees first is decided without pairing messages with
 every (run, shingle) one row names the earliest tagged value. A message looks that row up, and the value counts if it was
 tagged before the message, so a shingle that occurs everywhere costs one row per occurrence and no more.
 
+Both sides are thinned before anything is shuffled: a window is looked at only where a gram that its content selects (``functions.winnow``) was
+selected on the other side too. Equal windows select equal grams, so nothing is lost, and about one row in seven bytes is made
+where values and messages share nothing.
+
 A run remembers all it tagged (within ``ttl``, if given). ``max_per_run`` bounds the memory to a run's last values, as
 a small sensor does; then values are numbered per run and the lookup is cut into blocks of numbers.
 """
@@ -16,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.asof import broadcast_if_small, carry_last, running_count, running_sum
-from tracewarden.functions.text import byte_windows, canonical_views, shingles, truncate_bytes
+from tracewarden.functions.text import canonical_views, shingles, truncate_bytes
+from tracewarden.functions.winnow import anchors, windows_around
 from tracewarden.schema import FINDING
 
 TTL = dt.timedelta(hours=2)
@@ -90,10 +95,18 @@ def sweep_taints(taints: DataFrame, as_of: dt.datetime, ttl: dt.timedelta = TTL)
     return taints.join(kept, "agent_run_id", "left_semi")
 
 
-def _windows(df: DataFrame, value: str, *keep: str) -> DataFrame:
-    """(kept columns, window) rows of all canonical views of ``value``."""
-    views = df.select(*keep, F.explode(canonical_views(F.col(value))).alias("_view"))
-    return views.select(*keep, F.explode(byte_windows(F.col("_view"))).alias("_win"))
+def _anchored(df: DataFrame, value: str, *keep: str) -> DataFrame:
+    """(kept columns, _h, _around) rows of all canonical views of ``value``: hash of run and kept gram, bytes around it."""
+    # outer: a plain explode adds a filter on its array, for which the Python functions would run a second time
+    views = df.select(*keep, F.explode_outer(canonical_views(F.col(value))).alias("_view"))
+    placed = views.select(*keep, anchors("_view").alias("_anchors")).select(*keep, F.explode_outer("_anchors").alias("_a")).where("_a is not null")
+    return placed.select(*keep, F.xxhash64("agent_run_id", "_a.gram").alias("_h"), F.col("_a.around").alias("_around"))
+
+
+def _expanded(anchored: DataFrame) -> DataFrame:
+    """All windows around the kept grams that are left."""
+    keep = [c for c in anchored.columns if c not in ("_h", "_around")]
+    return anchored.select(*keep, F.explode(windows_around("_around")).alias("_win"))
 
 
 def _first_tagged(windows: DataFrame, key: str) -> DataFrame:
@@ -161,13 +174,16 @@ def leak_hits(messages: DataFrame, taints: DataFrame, max_per_run: int | None =
     ).select("msg_id", "agent_run_id", "ts", "_fpos", F.col("_f.value").alias("_value"))
     if max_per_run:
         taints = numbered(taints)
-    tagged = _windows(taints, "value", "agent_run_id", "ts", "taint_id", *(["taint_no"] if max_per_run else []))
-    candidates = _windows(leaves, "_value", "msg_id", "agent_run_id", "ts", "_fpos").withColumn("_h", F.xxhash64("agent_run_id", "_win"))
-    # windows nobody tagged are dropped before any shuffle when the tagged values are provably small: a value has no more windows than bytes
+    tagged = _anchored(taints, "value", "agent_run_id", "ts", "taint_id", *(["taint_no"] if max_per_run else []))
+    candidates = _anchored(leaves, "_value", "msg_id", "agent_run_id", "ts", "_fpos")
+    # grams nobody tagged are dropped before any shuffle when the tagged values are provably small: a value has no more grams than bytes
     size = taints.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
-    known = tagged.select(F.xxhash64("agent_run_id", "_win").alias("_h")).distinct()
-    candidates = candidates.join(F.broadcast(known) if 16 * size <= PREFILTER_BYTES else known, "_h", "left_semi").drop("_h")
-    return _first_hits(candidates, run.select("msg_id", "agent_run_id", "ts"), taints, tagged, "_win", max_per_run)
+    small = 16 * size <= PREFILTER_BYTES
+    known = tagged.select("_h").distinct()
+    candidates = candidates.join(F.broadcast(known) if small else known, "_h", "left_semi")
+    if not small:  # a small side is cheaper to expand as it is than messages are to read a second time
+        tagged = tagged.join(candidates.select("_h").distinct(), "_h", "left_semi")
+    return _first_hits(_expanded(candidates), run.select("msg_id", "agent_run_id", "ts"), taints, _expanded(tagged), "_win", max_per_run)
 
 
 def leak_finding() -> Column:

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewarden.functions.text import byte_windows, canonical_views
 from tracewarden.functions.ranks import peer_weight
+from tracewarden.functions.text import canonical_views
+from tracewarden.functions.winnow import anchors, windows_around
 from tracewarden.operators.behavior import FACTOR, HISTORY_WINDOWS, MIN_OBSERVATIONS, WINDOW, bucket_key
 from tracewarden.operators.analytics import n_findings
 from tracewarden.operators.envelope import tool_name
@@ -115,23 +116,25 @@ def quarantine_feed(events: DataFrame) -> DataFrame:
 def stream_taint(results: DataFrame, messages: DataFrame, ttl: str = "2 hours", watermark: str = WATERMARK) -> DataFrame:
     """(msg_id, field position, taint) rows of live leaks.
 
-    Stream-stream join on (run, window) inside the TTL. Every tag of a window counts, with its own TTL, in
+    Stream-stream join on (run, kept gram) inside the TTL, so the state holds one row in about seven bytes. Every tag of a window counts, with its own TTL, in
     whatever order tags arrive. Take the first row per ``msg_id`` in the sink (``first_leak``).
     """
     tagged = (
         results.withWatermark("ts", watermark)
         .select("agent_run_id", F.col("ts").alias("taint_ts"), "taint_id", F.explode(canonical_views(F.col("value"))).alias("_v"))
-        .select("agent_run_id", "taint_ts", "taint_id", F.explode(byte_windows(F.col("_v"))).alias("_win"))
+        .select("agent_run_id", "taint_ts", "taint_id", F.explode(anchors("_v")).alias("_t"))
     )
     sent = (
         messages.withWatermark("ts", watermark)
         .select("msg_id", "agent_run_id", "ts", F.posexplode("fields").alias("field_pos", "_f"))
         .where(F.octet_length(F.col("_f.value")) >= MIN_CANDIDATE)
         .select("msg_id", F.col("agent_run_id").alias("_run"), "ts", "field_pos", F.explode(canonical_views(F.col("_f.value"))).alias("_v"))
-        .select("msg_id", "_run", "ts", "field_pos", F.explode(byte_windows(F.col("_v"))).alias("_w"))
+        .select("msg_id", "_run", "ts", "field_pos", F.explode(anchors("_v")).alias("_s"))
     )
     near = F.expr(f"ts > taint_ts AND ts <= taint_ts + INTERVAL {ttl}")
-    return sent.join(tagged, (F.col("_run") == F.col("agent_run_id")) & (F.col("_w") == F.col("_win")) & near).select(
+    # equal windows select equal grams; whether the bytes around a shared gram hold a shared window is tested in the join
+    alike = F.arrays_overlap(windows_around("_s.around"), windows_around("_t.around"))
+    return sent.join(tagged, (F.col("_run") == F.col("agent_run_id")) & (F.col("_s.gram") == F.col("_t.gram")) & near & alike).select(
         "msg_id", "agent_run_id", "ts", "field_pos", "taint_id", "taint_ts")
 
 
