@@ -160,3 +160,27 @@ def test_sql_functions(spark):
     globs = [("a.*.c", "a.b.c"), ("a.**", "a.b.c"), ("a.**", "a"), ("**", "q.r"), ("a.b", "a.b"), ("a.b", "aXb"), ("a.*", "a.b.c"), ("a*.b", "aX.b"), ("a+.b", "a+.b")]
     got = spark.createDataFrame(globs, "g string, p string").selectExpr("glob_match(g, p) m").collect()
     assert [r.m for r in got] == [True, True, True, True, True, False, False, False, True]
+
+
+def test_rewrites_only_where_they_are_equal(spark):
+    """Small patterns around the two rewritten forms find what the untouched pattern finds on the JVM."""
+    import random
+
+    sep, addr = r"\s*[,;\s]\s*", r"[A-Za-z0-9._%+\-]+@"
+    patterns = [f"x{sep}y", rf"x{sep}\sy", f"x{sep},y", f"x{sep}", f"(?:x{sep})+y", rf"(?:x{sep})+\s", f"(?:x{sep}){{2,}}x", f"(?:x|a{sep})+y", f"(?:x(?:a|{sep})y)+",
+                f"(?:{addr}x)+", f"(?:{addr}x{sep})+{addr}x", f"(?:{addr}x{sep}){{2,}}{addr}[a-z]", f"(?:{addr}x)+{sep}y", f"(?:{addr}x{sep})+", f"(?:{addr}x{sep})*?y"]
+    rng = random.Random(7)
+    texts = ["x   y", "a@xb@x", "x  , y", "x ;;y"] + ["".join(rng.choice("xya@ ,;") for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+
+    def plain(p):
+        return "(?id)" + p.replace(r"\s", r"[\t\n\f\r ]").replace(r"[,;[\t\n\f\r ]]", r"[,;\t\n\f\r ]")
+
+    def found(p):
+        return F.regexp_extract_all("v", F.lit(p), F.lit(0))
+
+    for p in patterns:
+        wrong = df.where(~found(to_java(p)).eqNullSafe(found(plain(p)))).collect()
+        assert not wrong, (p, to_java(p), wrong[:3])
+    pack = r"(?:[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\s*[,;\s]\s*){4,}[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+    assert "++@" in to_java(pack) and "*+[,;]" in to_java(pack)

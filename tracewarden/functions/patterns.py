@@ -15,29 +15,55 @@ _WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _NOT_WORD_EDGE = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
 _SPACE = r"\t\n\f\r "
 
-# Loose separators that make a backtracking engine explode, with an equal possessive form.
-_REWRITES = {
-    r"\s*[,;\s]\s*": r"(?:[\t\n\f\r ]*+[,;][\t\n\f\r ]*+|[\t\n\f\r ]++)",
-}
+# A loose separator that makes a backtracking engine explode, and a possessive form that is equal where what follows
+# cannot start with what the separator ate.
+_SEPARATOR = r"\s*[,;\s]\s*"
+_SEPARATOR_JAVA = r"(?:[\t\n\f\r ]*+[,;][\t\n\f\r ]*+|[\t\n\f\r ]++)"
+_EATEN = [ord(c) for c in "\t\n\f\r ,;"]
 
 _LOCAL = r"[A-Za-z0-9._%+\-]"
 _EMAIL_GROUP = "(?:" + _LOCAL + "+@"
 _EMAIL_GROUP_JAVA = "(?:(?<!" + _LOCAL + ")" + _LOCAL + "++@"
 
 
+def _starts_clear(pattern: str) -> bool:
+    """Must a match of ``pattern`` start with a character that the separator cannot have eaten?"""
+    first = first_class(pattern)
+    return first is not None and not any(lo <= c <= hi for lo, hi in first for c in _EATEN)
+
+
+def _separator_is_safe(pattern: str, at: int) -> bool:
+    """Can the separator at this place be possessive? Only where all that may follow it is known not to need what it ate."""
+    rest = pattern[at + len(_SEPARATOR):]
+    closes = re.match(r"\)(?:\{\d+(?:,\d*)?\}|[*+])(?![?+])", rest)
+    if not closes:
+        return _starts_clear(rest)
+    # the last thing of a repeated group: the group's own start, or what comes after it
+    start = pattern.rfind("(?:", 0, at)
+    inner = pattern[start + 3:at]
+    plain = start >= 0 and not re.search(r"[()|]", re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "", inner))
+    return plain and _starts_clear(inner) and _starts_clear(rest[closes.end():])
+
+
+def _email_is_safe(pattern: str) -> bool:
+    """Does the address group that the pattern starts with repeat only after a separator? Then no address starts inside a run of its characters."""
+    end = pattern.find(_SEPARATOR)
+    return end >= 0 and pattern[end + len(_SEPARATOR):].startswith(")") and _separator_is_safe(pattern, end)
+
+
 def to_java(pattern: str, case_sensitive: bool = False) -> str:
     """Java pattern that finds what RE2 would find with ``pattern``."""
     out, i, in_class = [], 0, False
-    if pattern.startswith(_EMAIL_GROUP):
+    email = pattern.startswith(_EMAIL_GROUP) and _email_is_safe(pattern)
+    if email:
         # the same language; the look-behind keeps a long run from being rescanned at every offset
         out.append(_EMAIL_GROUP_JAVA)
         i = len(_EMAIL_GROUP)
     while i < len(pattern):
         if not in_class:
-            hit = next((k for k in _REWRITES if pattern.startswith(k, i)), None)
-            if hit:
-                out.append(_REWRITES[hit])
-                i += len(hit)
+            if pattern.startswith(_SEPARATOR, i) and _separator_is_safe(pattern, i):
+                out.append(_SEPARATOR_JAVA)
+                i += len(_SEPARATOR)
                 continue
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
@@ -79,7 +105,7 @@ def to_java(pattern: str, case_sensitive: bool = False) -> str:
             i += 1
     flags = "(?d)" if case_sensitive else "(?id)"
     body = "".join(out)
-    first = None if pattern.startswith(_EMAIL_GROUP) else first_class(pattern)
+    first = None if email else first_class(pattern)
     if first is None:
         return flags + body
     if not case_sensitive:
