@@ -136,12 +136,31 @@ def test_nearest_recall_on_the_table(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["unit", "one doubled", "one ten times", "some long", "log-normal"])
+def test_nearest_recall_with_uneven_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "log-normal":
+        x *= np.exp(rng.normal(size=(3000, 1)) * 0.5)
+    elif kind != "unit":
+        x[5:6 if kind != "some long" else 300] *= {"one doubled": 2, "one ten times": 10, "some long": 3}[kind]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, F.col("id") % 60 == 0).toPandas()
+    hits = 0
+    for q, mine in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(mine.vec_id))
+    assert hits / (20 * 50) >= 0.95
+
+
 def test_nearest_messy(spark):
     rng = np.random.default_rng(1)
     same = [1.0, 2.0, 0.5]
     rows = [(i, same) for i in range(0, 60)] + [(100 + i, rng.normal(size=3).tolist()) for i in range(30)]
     rows += [(100, rows[60][1]), (200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 1.0]), (203, [float("nan"), 1.0, 1.0]), (204, [float("inf"), 1.0, 1.0]),
-             (205, [1.0]), (None, same), (206, [])]
+             (None, same), (206, []), (220, [1.0]), (221, [3.0]), (222, [3.0]), (222, [4.0]), (240, [2.0] * 5)]
     df = spark.createDataFrame([(i, v, 3, "q") for i, v in rows], "vec_id long, embedding array<double>, id int, axis string")
     got = nearest.nearest(df, F.col("id") % 20 == 0, k=25, tables=10, probes=4).collect()
     fine = {i: np.array(v) for i, v in rows if i is not None and i < 200}
@@ -149,7 +168,9 @@ def test_nearest_messy(spark):
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
         assert len(mine) == 25 and all(abs(s - float(fine[q] @ fine[v])) < 1e-12 for _, v, s in mine)
         assert [(v, s) for _, v, s in mine] == sorted([(v, s) for _, v, s in mine], key=lambda x: (-x[1], x[0]))
-    assert {r["query_id"] for r in got} == {0, 20, 40, 100, 120}
+    # a length of its own: one place per id, with its best vector; a vector without others of its length has no neighbours
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == 220) == [(1, 222, 4.0), (2, 221, 3.0)]
+    assert {r["query_id"] for r in got} == {0, 20, 40, 100, 120, 220}
     few = nearest.nearest(df.where("vec_id in (0, 100, 101)"), F.col("id") % 20 == 0, tables=2, probes=1).collect()
     assert sorted((r["query_id"], r["vec_id"]) for r in few) == [(0, 100), (0, 101), (100, 0), (100, 101)]
     assert nearest.nearest(df.where("false"), F.col("id") % 20 == 0).count() == 0
@@ -230,11 +251,18 @@ def test_language_fuses_evidence(spark):
         [("the garden and the tree", "en", ".com", "a.com", "x.a.com")] * 20 + [("der garten und das haus", "de", ".de", "b.de", "y.b.de")] * 20
         + [("", "de", None, None, None), (None, None, None, "b.de", "y.b.de"), ("zzz", None, ".de", None, None), (None, None, None, None, None), ("the tree " * 5000, None, None, None, None)])]
     df = spark.createDataFrame(rows, "id long, text string, declared string, suffix string, domain string, host string, ll string")
-    got = {r["id"]: r for r in language.identify(df.withColumnRenamed("ll", "note"), labelled).collect()}
+    clash = df
+    for c in ("lang", "score", "_p0", "_f1", "_d0", "_h1", "in_0", "k_host", "s0", "a.b"):
+        clash = clash.withColumn(c, F.lit("kept"))
+    got = {r["id"]: r for r in language.identify(clash, labelled).collect()}
+    assert list(got[0].asDict()) == [c for c in clash.columns if c not in ("text", "lang", "score")] + ["lang", "score"] and {r["ll"] for r in got.values()} == {"extra"}
+    assert {r[c] for r in got.values() for c in ("_p0", "_f1", "_d0", "_h1", "in_0", "k_host", "s0", "a.b")} == {"kept"}
+    with pytest.raises(ValueError):
+        language.identify(df, spark.range(300).select(F.col("id").cast("string").alias("lang"), F.lit("x").alias("text")))
     assert [got[i]["lang"] for i in (0, 20, 40, 41, 42, 44)] == ["en", "de", "de", "de", "de", "en"]
     assert got[43]["lang"] in ("de", "en") and len(got) == len(rows)
-    assert {r["lang"] for r in language.identify(df.drop("ll"), labelled.where("false")).collect()} == {None}
-    assert language.identify(df.drop("ll").where("false"), labelled).count() == 0
+    assert {r["lang"] for r in language.identify(df, labelled.where("false")).collect()} == {None}
+    assert language.identify(df.where("false"), labelled).count() == 0
 
 
 def test_address_parts(spark):

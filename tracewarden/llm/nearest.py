@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by inner product, with cross-polytope hashing.
 
-Vectors are lifted to one length (one more component takes up what is missing to the longest), so the largest inner product is the smallest angle. A table turns
-them by three rounds of random signs and a fast Hadamard transform, and its hash is the signed axis nearest to the turned vector. A
-query probes the ``probes`` axes nearest to it in each of ``tables`` tables; what it meets there is ranked by exact inner products.
+Entries are dealt to ranges of their norm, each ``STEP`` wide, and lifted to one length inside their range (one more component takes up what is missing
+to the range's upper edge), so the largest inner product of a range is its smallest angle, and a few long vectors change nothing for the others. A table
+turns vectors by three rounds of random signs and a fast Hadamard transform, and its hash is the signed axis nearest to the turned vector. A
+query probes the ``probes`` axes nearest to it in each of ``tables`` tables of every range; what it meets there is ranked by exact inner products. Ranges of up to
+``FEW`` entries, such as those of exceptionally long vectors, which are near to a query at wide angles too, are met whole.
 
 Equal vectors are one entry that keeps its ``k + 1`` smallest ids, all that any answer can name. Entries and queries of one axis meet in blocks
 of bounded size, so a crowded axis is many tasks. A query that met fewer than ``k`` rows, while there are more, is
 compared with all entries, again in blocks.
 
-Defined results. Rows whose vector is null, zero, of another length than most, or holds a null or non-finite component, and rows with a null id, take no
-part. Repeated rows count once. Ties go to the smaller id. Other columns are not read.
+Defined results. Rows whose vector is null, zero or holds a null or non-finite component, and rows with a null id, take no part. An inner product needs vectors of
+one length, so vectors of each length are searched among themselves. Repeated rows count once; an id with several vectors is named once, with its largest
+score, and never as its own neighbour. Ties go to the smaller id. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, union_all
+from .common import by_length, stored
 
-BLOCK = 4096
+BLOCK, FEW = 4096, 256
+#: how many norm ranges a factor of two is
+STEP = 2
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -31,8 +36,8 @@ def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     fine = rows.select(F.col(vec_id).cast("bigint").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    lengths = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return fine.where(F.size("v") == (lengths["d"] if lengths else 0)).distinct()
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return fine.distinct().select("id", "v", F.size("v").alias("d"), norm.alias("norm"))
 
 
 def _turn(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -49,19 +54,19 @@ def _turn(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashes(v: np.ndarray, longest: float, lift: bool, tables: int, probes: int, seed: int) -> np.ndarray:
-    """(rows, tables, probes): the signed axes nearest to each turned vector, nearest first."""
+def hashes(v: np.ndarray, top: np.ndarray | None, tables: int, probes: int, seed: int) -> np.ndarray:
+    """(rows, tables, probes): the signed axes nearest to each turned vector, nearest first; entries are lifted to the length ``top``, queries are not."""
     n = 1 << int(np.ceil(np.log2(v.shape[1] + 1)))
     x = np.zeros((len(v), n))
-    x[:, :v.shape[1]] = v / (longest if lift else np.linalg.norm(v, axis=1, keepdims=True))
-    if lift:
+    x[:, :v.shape[1]] = v / (np.linalg.norm(v, axis=1) if top is None else top)[:, None]
+    if top is not None:
         x[:, v.shape[1]] = np.sqrt(np.maximum(0, 1 - np.square(x).sum(axis=1)))
     signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 3, n))
-    out = np.empty((len(v), tables, probes), dtype=np.int32)
+    out = np.empty((len(v), tables, min(probes, n)), dtype=np.int32)
     for t in range(tables):
         y = _turn(x, signs[t])
-        top = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :probes]
-        out[:, t] = top * 2 + (np.take_along_axis(y, top, 1) < 0)
+        best = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :probes]
+        out[:, t] = best * 2 + (np.take_along_axis(y, best, 1) < 0)
     return out
 
 
@@ -70,15 +75,16 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def with_hashes(rows: DataFrame, **how) -> DataFrame:
-    """Rows (id, v, ...) with a row for each (table, axis)."""
+def with_hashes(rows: DataFrame, lift: bool, **how) -> DataFrame:
+    """Rows (id, v, ...) with a row for each (table, axis); entries bring ``top``, the length they are lifted to."""
     schema = T.StructType([*rows.schema.fields, T.StructField("axes", T.ArrayType(T.ArrayType(T.IntegerType())))])
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                h = hashes(_matrix(b.column("v")), **how)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h.tolist(), pa.list_(pa.list_(pa.int32())))], schema.names)
+            for at, m in by_length(b.column("v")).values():
+                some = b.take(pa.array(at))
+                h = hashes(m, some.column("top").to_numpy() if lift else None, **how)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(h.tolist(), pa.list_(pa.list_(pa.int32())))], schema.names)
 
     spread = rows.mapInArrow(run, schema).select("*", F.posexplode("axes").alias("table", "axis_list"))
     return spread.select(*rows.columns, "table", F.explode("axis_list").alias("axis"))
@@ -110,24 +116,35 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 10, pr
             vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows that ``is_query`` (over ``id``) picks."""
     fine = stored(usable(rows, vec_id, vector), "vectors")
-    fine = fine.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    facts = fine.agg(F.count("*").alias("n"), F.max("norm").alias("longest"), F.sum(is_query.cast("long")).alias("q")).first()
-    n, longest = facts["n"], facts["longest"] or 1.0
-    fine = fine.drop("norm")
+    facts = {r["d"]: r for r in fine.groupBy("d").agg(F.count_distinct("id").alias("n"), F.max("norm").alias("longest"), F.sum(is_query.cast("long")).alias("q")).collect()}  # a row per length
+    if not facts:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    longest = F.create_map(*[F.lit(x) for d, r in facts.items() for x in (d, r["longest"])])[F.col("d")]
     first = Window.partitionBy("v").orderBy("id")
-    entries = fine.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    entries = stored(entries.select(F.element_at("ids", 1).alias("id"), "v", "ids"), "entries")
-    queries = stored(fine.where(is_query), "queries")
-    q_blocks = (facts["q"] or 0) // BLOCK + 1
-
-    data = stored(with_hashes(entries, longest=longest, lift=True, tables=tables, probes=1, seed=seed), "hashed")
-    asked = with_hashes(queries, longest=longest, lift=False, tables=tables, probes=probes, seed=seed)
-    # an axis with many entries is cut into blocks, and its queries go to each of them
-    blocks = data.groupBy("table", "axis").agg(F.expr(f"count(*) div {BLOCK} + 1").cast("int").alias("blocks"))
-    data = data.join(F.broadcast(blocks), ["table", "axis"])  # a row per table and axis, whatever the data
-    data = data.select("table", "axis", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(None).cast("int").alias("part"), "id", "v", "ids")
-    asked = asked.join(F.broadcast(blocks), ["table", "axis"]).select(
-        "table", "axis", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("part"), "id", "v")
+    entries = fine.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).groupBy("v", "d", "norm").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    band = F.greatest(F.floor(-STEP * F.log2(F.col("norm") / longest)), F.lit(0)).cast("int")
+    entries = entries.select(F.element_at("ids", 1).alias("id"), "v", "ids", "d", band.alias("band"), (longest * F.pow(F.lit(2.0), -band / STEP)).alias("top"))
+    entries = stored(entries, "entries")
+    queries = stored(fine.where(is_query).select("id", "v", "d"), "queries")
+    q_blocks = max(r["q"] or 0 for r in facts.values()) // BLOCK + 1
+    ranges = entries.groupBy("d", "band").agg((F.count("*") <= FEW).alias("few"))  # a row per length and norm range
+    ranges = stored(ranges, "ranges")
+    dealt = entries.join(F.broadcast(ranges), ["d", "band"])
+
+    whole = dealt.where("few").select("d", "band", F.lit(-1).alias("table"), F.lit(0).alias("axis"), "id", "v", "ids")
+    data = with_hashes(dealt.where("not few").select("id", "v", "ids", "d", "band", "top"), lift=True, tables=tables, probes=1, seed=seed)
+    data = stored(data.select("d", "band", "table", "axis", "id", "v", "ids").unionByName(whole), "hashed")
+    asked = with_hashes(queries, lift=False, tables=tables, probes=probes, seed=seed)
+    asked = asked.join(F.broadcast(ranges.where("not few").select("d", "band")), "d").select("d", "band", "table", "axis", "id", "v").unionByName(
+        queries.join(F.broadcast(ranges.where("few").select("d", "band")), "d").select("d", "band", F.lit(-1).alias("table"), F.lit(0).alias("axis"), "id", "v"))
+    # an axis with many entries is cut into blocks, and its queries go to each of them; blocks of the query set are part of the key
+    keys = ["d", "band", "table", "axis"]
+    blocks = data.groupBy(*keys).agg(F.expr(f"count(*) div {BLOCK} + 1").cast("int").alias("blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    part_of = F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("part")
+    data = data.join(F.broadcast(blocks), keys)  # a row per range, table and axis, whatever the data
+    data = data.select(*keys, F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), each(F.lit(q_blocks)).alias("part"), "id", "v", "ids")
+    asked = asked.join(F.broadcast(blocks), keys).select(*keys, each(F.col("blocks")).alias("block"), part_of, "id", "v")
 
     def meet(entry: pa.Table, query: pa.Table) -> pa.Table:
         out = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
@@ -140,7 +157,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 10, pr
     def merge(table: pa.Table) -> pa.Table:
         ids = np.concatenate([*(np.asarray(x, dtype=np.int64) for x in table["ids"].to_pylist())])
         scores = np.concatenate([*(np.asarray(x, dtype=float) for x in table["scores"].to_pylist())])
-        ids, at = np.unique(ids, return_index=True)
+        best = np.lexsort((ids, -scores))
+        ids, scores = ids[best], scores[best]
+        ids, at = np.unique(ids, return_index=True)  # an id's first place is its largest score
         order = np.lexsort((ids, -scores[at]))[:k]
         m = len(order)
         return pa.table({"query_id": pa.array([table["query_id"][0].as_py()] * m, pa.int64()), "rank": pa.array(range(1, m + 1), pa.int32()),
@@ -150,20 +169,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, tables: int = 10, pr
     result_type = "query_id long, rank int, vec_id long, score double"
 
     def answer(asked: DataFrame, data: DataFrame, keys: list[str]) -> DataFrame:
-        parts = []
-        for p in range(q_blocks):  # one block of the query set at a time meets all rows
-            mine = asked.where(F.col("part") == p) if q_blocks > 1 else asked
-            parts.append(data.groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInArrow(meet, found_type))
-        return union_all(parts).groupBy("query_id").applyInArrow(merge, result_type)
-
-    found = stored(answer(asked, data, ["table", "axis", "block"]), "found")
-    short = queries.join(found.groupBy(F.col("query_id").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) < min(k, n - 1)).drop("count")
+        return data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, found_type).groupBy("query_id").applyInArrow(merge, result_type)
+
+    found = stored(answer(asked, data, [*keys, "block", "part"]), "found")
+    there = F.create_map(*[F.lit(x) for d, r in facts.items() for x in (d, r["n"])])[F.col("d")]
+    short = queries.join(found.groupBy(F.col("query_id").alias("id")).count(), "id", "left").where(F.coalesce("count", F.lit(0)) < F.least(F.lit(k), there - 1)).drop("count")
     short = stored(short, "short")
     if not short.count():
         return found
-    n_blocks = n // BLOCK + 1
-    everything = entries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    again = short.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("part"),
-                         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    whole = answer(again, everything, ["block"])
-    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
+    n_blocks = max(r["n"] for r in facts.values()) // BLOCK + 1
+    everything = entries.select("d", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), each(F.lit(q_blocks)).alias("part"), "id", "v", "ids")
+    again = short.select("id", "v", "d", part_of, each(F.lit(n_blocks)).alias("block"))
+    exact = answer(again, everything, ["d", "block", "part"])
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
