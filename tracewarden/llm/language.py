@@ -10,7 +10,8 @@ Trigrams are hashed to 2 ** 16 cells, so the model has that many numbers per lan
 
 Defined results. Null and empty texts have no likelihood of their own: the other parts decide. Missing declarations, addresses and hosts add nothing.
 Ties go to the first language by name. Without labelled documents the language is null. Repeated rows get equal results, and count as often as
-they stand there. Rows with null ids are classified. Other columns are not read.
+they stand there. Rows with null ids are classified. Other columns come back as they are, whatever their names, but for ``lang`` and ``score``, whose names the
+results take. More than ``MOST_LANGUAGES`` labels raise an error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 from .common import broadcast_if_proven, stored
 
 CELLS = 1 << 16
+#: the model has CELLS numbers per language on the driver and in each task
+MOST_LANGUAGES = 256
 STRENGTH = 60.0
 SMOOTH = 4.0
 _LETTER = np.array([c if chr(c).isalpha() else 32 for c in range(0x3000)], dtype=np.uint32)
@@ -113,11 +116,20 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
     ``labelled`` has the rows (lang, text) that the trigrams are learned from. All columns but the text come back.
     """
-    names = [c for c in rows.columns if c != "text"]
-    counts = stored(trigram_counts(labelled.where("lang is not null and text is not null")), "trigrams").collect()  # CELLS rows per language at most
+    given = [c for c in rows.columns if c not in ("text", "lang", "score")]
+    # inside, columns have names of their own, so any other name is free to the caller
+    names = [f"in_{i}" for i in range(len(given))]
+    keys = [F.col(c).alias(f"k_{c}") for c in ("declared", "suffix", "domain", "host")]
+    rows = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names)], *keys, "text")
+    back = [F.col(n).alias(c) for c, n in zip(given, names)]
+    labelled = labelled.where("lang is not null and text is not null")
+    n_langs = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if n_langs > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages among the labels: the label column holds something else")
+    counts = stored(trigram_counts(labelled), "trigrams").collect()  # CELLS rows per language at most
     langs = sorted({r["lang"] for r in counts})
     if not langs:
-        return rows.select(*names, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("score"))
+        return rows.select(*back, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("score"))
     table = np.full((len(langs), CELLS), 0.5)
     for r in counts:
         table[langs.index(r["lang"]), r["cell"]] += r["n"]
@@ -139,21 +151,21 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
         return known.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(f"_p{i}").alias(f"{tag}{i}") for i in ls])
 
     out = known
-    for key, tag in (("declared", "_d"), ("suffix", "_s")):
+    for key, tag in (("k_declared", "_d"), ("k_suffix", "_s")):
         seen = stored(sums(key, tag), key)
         kinds = seen.count() + 1
         all_of = seen.agg(*[F.sum(f"{tag}{i}").alias(f"s{i}") for i in ls]).first()
         # the chance that a page in this language carries this mark
         seen = seen.select(key, *[F.log((F.col(f"{tag}{i}") + SMOOTH / kinds) / ((all_of[f"s{i}"] or 0.0) + SMOOTH)).alias(f"{tag}{i}") for i in ls])
         out = out.join(broadcast_if_proven(seen, 16 * (len(langs) + 4)), key, "left")
-    domains = stored(sums("domain", "_o"), "domains")
-    hosts = stored(sums("host", "_h"), "hosts")
-    out = out.join(broadcast_if_proven(domains, 16 * (len(langs) + 8)), "domain", "left").join(broadcast_if_proven(hosts, 16 * (len(langs) + 8)), "host", "left")
+    domains = stored(sums("k_domain", "_o"), "domains")
+    hosts = stored(sums("k_host", "_h"), "hosts")
+    out = out.join(broadcast_if_proven(domains, 16 * (len(langs) + 8)), "k_domain", "left").join(broadcast_if_proven(hosts, 16 * (len(langs) + 8)), "k_host", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     domain_n = sum((zero(F.col(f"_o{i}")) for i in ls), F.lit(0.0))
     host_n = sum((zero(F.col(f"_h{i}")) for i in ls), F.lit(0.0))
-    own = lambda i: F.when(F.col("host").isNotNull(), F.col(f"_p{i}")).otherwise(0.0)
-    own_d = lambda i: F.when(F.col("domain").isNotNull(), F.col(f"_p{i}")).otherwise(0.0)
+    own = lambda i: F.when(F.col("k_host").isNotNull(), F.col(f"_p{i}")).otherwise(0.0)
+    own_d = lambda i: F.when(F.col("k_domain").isNotNull(), F.col(f"_p{i}")).otherwise(0.0)
     parts = []
     for i in ls:
         of_domain = (F.greatest(zero(F.col(f"_o{i}")) - own_d(i), F.lit(0.0)) + SMOOTH * share[i]) / (F.greatest(domain_n - 1, F.lit(0.0)) + SMOOTH)
@@ -163,4 +175,4 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     best = F.greatest(*final) if len(final) > 1 else final[0]
     lang = F.coalesce(*[F.when(p == F.col("score"), F.lit(name)) for p, name in zip([F.col(f"_f{i}") for i in ls], langs)])
     out = out.select(*names, best.alias("score"), *[p.alias(f"_f{i}") for i, p in zip(ls, final)])
-    return out.select(*names, lang.alias("lang"), "score")
+    return out.select(*back, lang.alias("lang"), "score")
