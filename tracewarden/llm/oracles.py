@@ -62,9 +62,9 @@ CHAT_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, 0 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 0, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, place, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, place, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, place, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, place, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum({len("<|turn|>") + len("<|says|>") + len("<|done|>")} + {_escaped_length("role")} + {_escaped_length("text")}) AS bigint) AS formatted_chars
 FROM t GROUP BY conv_id
 """
@@ -98,8 +98,9 @@ WITH docs AS (
          coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
   FROM documents),
 worded AS (SELECT * FROM docs WHERE n_tokens > 0),
-leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM worded GROUP BY ALL),
-total AS (SELECT CAST(floor(CAST(sum(tokens) AS double) * {part}) AS hugeint) AS b FROM leaves),
+every AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM worded GROUP BY ALL),
+total AS (SELECT CAST(floor(CAST(sum(tokens) AS double) * {part}) AS hugeint) AS b FROM every),
+leaves AS (SELECT * FROM every WHERE {" AND ".join(f"(CASE {p} {case} ELSE 1 END) > 0" for p in paths)}),
 {"".join(levels)}
 e AS (SELECT worded.*, CAST(share // tokens AS bigint) AS whole, CAST(share % tokens AS bigint) AS part FROM worded JOIN s2 USING (domain, lang, source)),
 p AS (SELECT *, part - coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || whole || ':' || coalesce(CAST(doc_id AS varchar), '')), th
