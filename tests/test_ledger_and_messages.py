@@ -186,3 +186,24 @@ def test_read_traffic_text_keeps_repeated_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text('{"id":1}\n{"id":1}\n\n{"id":2}\n')
     rows = traffic.read_traffic(spark, str(tmp_path), "text").collect()
     assert len(rows) == 3 and len({r.msg_id for r in rows}) == 3
+
+
+def test_appends_continue_every_chain(spark):
+    """Three appends, one of them without rows for a chain and one with a new chain, equal one build."""
+    rows = [(c, f"2024-01-01T00:00:{i:02d}Z", f'{{"n":{i},"of":"{c}"}}', i) for i in range(30) for c in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "chain_id string, ingest_at string, event_json string, n int")
+    whole = ledger.append_ledger(df, ["chain_id"], ["n"])
+    heads, parts = None, []
+    for low, high, only in ((0, 7, ["a", None]), (7, 8, ["a", None]), (8, 30, ["a", None]), (0, 30, ["b"])):
+        new = df.where((F.col("n") >= low) & (F.col("n") < high) & (F.col("chain_id").isin(*[x for x in only if x]) | (F.col("chain_id").isNull() if None in only else F.lit(False))))
+        parts.append(ledger.append_ledger(new, ["chain_id"], ["n"], heads))
+        heads = ledger.merged_heads(heads, parts[-1], ["chain_id"])
+    got = [r for p in parts for r in p.collect()]
+    key = lambda r: (r["chain_id"] or "", r["seq"], r["prev_hash"], r["hash"], r["n"])
+    assert sorted(map(key, got)) == sorted(map(key, whole.collect()))
+    assert sorted(map(str, heads.collect())) == sorted(map(str, ledger.chain_heads(whole, ["chain_id"]).collect()))
+    again = ledger.append_ledger(df.where("n < 3"), ["chain_id"], ["n"], heads).select("chain_id", "seq", "prev_hash").where("seq = 31")
+    ends = {(r["chain_id"], r["head_hash"]) for r in heads.collect()}
+    assert {(r["chain_id"], r["prev_hash"]) for r in again.collect()} == ends
+    assert ledger.chain_ledger(whole.where("seq > 10").drop("prev_hash", "hash"), ["chain_id"], heads=ledger.chain_heads(whole.where("seq <= 10"), ["chain_id"])).join(
+        whole.select("hash"), "hash").count() == 60

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,34 +30,75 @@ def segment_of(seq: Column | str, rows: int) -> Column:
     return F.floor((seq - 1) / rows).cast("bigint")
 
 
-def chain_ledger(events: DataFrame, chain: list[str], start_hash: str = GENESIS_HASH) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, chain: list[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"_on_{c}"]) for c in chain])
+
+
+def _with_heads(events: DataFrame, chain: list[str], heads: DataFrame) -> DataFrame:
+    """Events with ``_last`` and ``_start``, the sequence number and hash that their chain has reached; null for new chains."""
+    known = heads.select(*[F.col(c).alias(f"_on_{c}") for c in chain], F.col("last_seq").alias("_last"), F.col("head_hash").alias("_start"))
+    return events.join(known, _same(events, known, chain), "left").select(*[events[c] for c in events.columns], "_last", "_start")
+
+
+def append_ledger(events: DataFrame, chain: list[str], order: list[str], heads: DataFrame | None = None, start_hash: str = GENESIS_HASH) -> DataFrame:
+    """Number and chain new ``ingest_at, event_json`` rows behind the ``heads`` (``chain_heads``) of an existing ledger.
+
+    A chain continues with the number after its head and the head's hash; one without a head starts at 1 from ``start_hash``. ``order`` must tell
+    a chain's rows apart, so that a repeated append gives the same records. A chain's rows meet in one task, as its hashes are sequential anyway.
+    """
+    if heads is None:
+        rows = events.select("*", F.lit(0).cast("bigint").alias("_last"), F.lit(None).cast("string").alias("_start"))
+    else:
+        rows = _with_heads(events, chain, heads)
+    place = F.row_number().over(Window.partitionBy(*chain).orderBy(*order))
+    rows = rows.withColumn("seq", F.coalesce("_last", F.lit(0)).cast("bigint") + place)
+    return _linked(rows.drop("_last"), chain, start_hash)
+
+
+def merged_heads(heads: DataFrame | None, appended: DataFrame, chain: list[str]) -> DataFrame:
+    """The heads after an append: chains without new records keep theirs."""
+    new = chain_heads(appended, chain)
+    if heads is None:
+        return new
+    both = heads.select(*new.columns).unionByName(new)
+    return both.groupBy(*chain).agg(F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.max_by("head_hash", "last_seq").alias("head_hash"))
+
+
+def chain_ledger(events: DataFrame, chain: list[str], start_hash: str = GENESIS_HASH, heads: DataFrame | None = None) -> DataFrame:
     """Add ``prev_hash`` and ``hash`` to ``seq, ingest_at, event_json`` rows, chained in seq order.
 
     Hash chaining is sequential, so parallelism comes from the chain key: a tenant and day, or a
     fixed-length segment of the sequence (``segment_of``), keeps every chain bounded. A constant
-    key gives one single chain. Rows of a partition are streamed in order; nothing is collected.
+    key gives one single chain. Rows of a partition are streamed in order; nothing is collected. ``heads`` (``chain_heads``) are
+    the records that the chains of ``events`` continue.
     """
-    fields = [*events.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())]
-    names = events.columns
+    start = F.lit(None).cast("string").alias("_start")
+    return _linked(events.select("*", start) if heads is None else _with_heads(events, chain, heads).drop("_last"), chain, start_hash)
+
+
+def _linked(events: DataFrame, chain: list[str], start_hash: str) -> DataFrame:
+    """Add the hashes to rows that bring ``_start``, the hash their chain continues, or null."""
+    names = [c for c in events.columns if c != "_start"]
+    fields = [*events.select(*names).schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())]
 
     def link(batches):
         key, prev = None, start_hash
         for batch in batches:
             prevs, hashes = [], []
-            cols = {n: batch.column(i) for i, n in enumerate(names)}
+            cols = {n: batch.column(i) for i, n in enumerate([*names, "_start"])}
             keys = list(zip(*[cols[c].to_pylist() for c in chain]))
-            rows = zip(keys, cols["seq"].to_pylist(), cols["ingest_at"].to_pylist(), cols["event_json"].to_pylist())
-            for k, seq, at, event in rows:
+            rows = zip(keys, cols["seq"].to_pylist(), cols["ingest_at"].to_pylist(), cols["event_json"].to_pylist(), cols["_start"].to_pylist())
+            for k, seq, at, event, start in rows:
                 if k != key:
-                    key, prev = k, start_hash
+                    key, prev = k, start or start_hash
                 prevs.append(prev)
                 prev = hashlib.sha256(f"{seq}\n{at}\n{prev}\n{event}".encode()).hexdigest()
                 hashes.append(prev)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
+                [*batch.columns[:-1], pa.array(prevs, pa.string()), pa.array(hashes, pa.string())],
                 names=[*names, "prev_hash", "hash"])
 
-    return events.repartition(*chain).sortWithinPartitions(*chain, "seq").mapInArrow(link, T.StructType(fields))
+    return events.select(*names, "_start").repartition(*chain).sortWithinPartitions(*chain, "seq").mapInArrow(link, T.StructType(fields))
 
 
 def chain_heads(ledger: DataFrame, chain: list[str]) -> DataFrame:
@@ -123,8 +165,6 @@ def dense_index(df: DataFrame, order: str = "seq", partitions: int | None = None
     Rows are ranged into blocks of the order column; block sizes are summed (one row per block) and
     added to the rank within the block.
     """
-    from pyspark.sql import Window
-
     width = 1 << 16
     rows = df.withColumn("_b", F.floor(F.col(order) / width))
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))

@@ -16,6 +16,7 @@ from tracewarden.operators import taint, tasks
 from tracewarden.plans import evaluate
 from tracewarden.plans.projections import ledger, messages, raw_rpc, read_table, spread
 from tracewarden.sources import exports, traffic
+from tracewarden.schema import GENESIS_HASH
 from tracewarden.sources.rules import default_rule_list, default_rules, rule_content_hash
 
 DAY = dt.timedelta(days=1)
@@ -105,12 +106,30 @@ def _suspects(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.struct(F.lit("params.message.text").alias("name"), F.col("text").alias("value"))).alias("fields"))
 
 
-def _chained(spark: SparkSession, d: str) -> DataFrame:
-    led = ledger(spark, d).select(
+def _unchained(spark: SparkSession, d: str) -> DataFrame:
+    return ledger(spark, d).select(
         F.concat(F.lit("segment-"), chain.segment_of("seq", 500).cast("string")).alias("chain_id"), "seq",
         chain.rfc3339("ts").alias("ingest_at"),
         F.concat(F.lit('{"action":"'), "action", F.lit('","severity":"'), "severity", F.lit('"}')).alias("event_json"))
-    return chain.chain_ledger(led, ["chain_id"])
+
+
+def _chained(spark: SparkSession, d: str) -> DataFrame:
+    return chain.chain_ledger(_unchained(spark, d), ["chain_id"])
+
+
+def _appended(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same ledger from three appends behind saved heads, and the heads after them."""
+    rows = _unchained(spark, d)
+    place = (F.col("seq") - 1) % 500
+    # a segment's chain starts behind the numbers of the segments before it
+    heads = rows.groupBy("chain_id").agg((F.min("seq") - 1).alias("first_seq")).select(
+        "chain_id", "first_seq", F.col("first_seq").alias("last_seq"), F.lit(GENESIS_HASH).alias("head_hash"))
+    parts = []
+    for low, high in ((0, 170), (170, 171), (171, 500)):
+        new = rows.where((place >= low) & (place < high)).withColumnRenamed("seq", "source_seq")
+        parts.append(chain.append_ledger(new, ["chain_id"], ["source_seq"], heads).drop("source_seq"))
+        heads = chain.merged_heads(heads, parts[-1], ["chain_id"])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), heads
 
 
 
@@ -153,7 +172,7 @@ def query(name: str) -> Callable[[Query], Query]:
 @query("query_events")
 def _(s, d):
     return lookups.query_events(ledger(s, d), min_severity="high", category="policy", tenant="tenant-1", search="1",
-                                since_seq=100).select("seq", "agent_run_id", "severity", "action", "method")
+                                since_seq=100, limit=None).select("seq", "agent_run_id", "severity", "action", "method")
 
 
 @query("timeline")
@@ -748,6 +767,19 @@ def _(s, d):
     return chain.verify_chain(edited, ["chain_id"])
 
 
+@query("append_ledger")
+def _(s, d):
+    return _appended(s, d)[0].select("chain_id", "seq", "prev_hash", "hash")
+
+
+@query("verify_saved_heads")
+def _(s, d):
+    led, heads = _appended(s, d)
+    last = led.groupBy("chain_id").agg(F.max("seq").alias("last"))
+    short = led.join(last, "chain_id").where(~F.col("chain_id").endswith("1") | (F.col("seq") <= F.col("last") - 3)).drop("last")
+    return chain.verify_chain(short, ["chain_id"], saved_heads=heads)
+
+
 @query("canonical_records")
 def _(s, d):
     return chain.canonical_records(_chained(s, d)).select("chain_id", "seq", "leaf_hash")

@@ -174,7 +174,7 @@ _FOUND = ("hit AS (" + _rules_sql(DEFAULT_RULES, "msg_id, rule_id, severity", "c
 ORACLE: dict[str, str] = {
     "query_events": _with(_LEDGER, _FINDINGS, """SELECT seq, agent_run_id, severity, action, method FROM ledger_v l
 WHERE severity IN ('high','critical') AND tenant_id = 'tenant-1' AND contains(raw, '1') AND seq > 100
-AND EXISTS (SELECT 1 FROM findings_v f WHERE f.seq = l.seq AND f.category = 'policy') ORDER BY seq DESC LIMIT 50"""),
+AND EXISTS (SELECT 1 FROM findings_v f WHERE f.seq = l.seq AND f.category = 'policy') ORDER BY seq DESC"""),
     "timeline": _with(_LEDGER, "SELECT seq, method, action FROM ledger_v WHERE agent_run_id = 'run-5' AND tenant_id = 'tenant-2' ORDER BY seq"),
     "tenant_scope": _with(_LEDGER, """SELECT seq, tenant_id, 'read' AS side FROM ledger_v WHERE tenant_id = 'tenant-2'
 UNION ALL SELECT seq, 'tenant-0', 'write' FROM ledger_v"""),
@@ -416,6 +416,10 @@ h AS (SELECT g, seq, repeat('0', 64) AS prev, sha256(cast(seq AS string) || chr(
  SELECT b.g, b.seq, h.hash, sha256(cast(b.seq AS string) || chr(10) || b.iat || chr(10) || h.hash || chr(10) || b.ev) FROM h JOIN b ON b.g = h.g AND b.seq = h.seq + 1)
 """
 ORACLE["chain_ledger"] = _CHAIN_CTE + "SELECT concat('segment-', cast(g AS string)) AS chain_id, seq, prev AS prev_hash, hash FROM h"
+ORACLE["append_ledger"] = ORACLE["chain_ledger"]
+ORACLE["verify_saved_heads"] = _with(_LEDGER, """c AS (SELECT concat('segment-', cast((seq - 1) // 500 AS string)) AS chain_id, count(*) AS n, max(seq) AS last FROM ledger_v GROUP BY 1),
+k AS (SELECT *, chain_id LIKE '%1' AS cut FROM c)""", """SELECT chain_id, CASE WHEN cut THEN greatest(n - 3, 0) ELSE n END AS records, NOT cut AS ok,
+ CASE WHEN cut AND n > 3 THEN last - 2 WHEN cut THEN 1 END AS bad_seq, CASE WHEN cut THEN 'ledger tail missing' END AS reason FROM k""")
 ORACLE["canonical_records"] = _CHAIN_CTE + """SELECT concat('segment-', cast(h.g AS string)) AS chain_id, h.seq, sha256('{"event":' || ev || ',"ingest_at":"' || iat || '","prev_hash":"' || prev || '","seq":' || cast(h.seq AS string) || '}') AS leaf_hash
 FROM h JOIN b ON b.seq = h.seq"""
 ORACLE["merkle_root"] = "WITH RECURSIVE " + _LEDGER + """,
