@@ -207,3 +207,23 @@ def test_appends_continue_every_chain(spark):
     assert {(r["chain_id"], r["prev_hash"]) for r in again.collect()} == ends
     assert ledger.chain_ledger(whole.where("seq > 10").drop("prev_hash", "hash"), ["chain_id"], heads=ledger.chain_heads(whole.where("seq <= 10"), ["chain_id"])).join(
         whole.select("hash"), "hash").count() == 60
+
+
+def test_policies_in_force_at_event_time(spark):
+    from tracewarden.operators import policy
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    changes = spark.createDataFrame([
+        ("p", "create", at(10), 1, "", "warn", True), ("p", "update", at(20), 2, "t", "block", True), ("p", "update", at(30), 3, "t", "monitor", False),
+        ("p", "delete", at(40), 4, "t", "block", True), ("q", "create", at(15), 5, "t", "warn", True), ("q", "update", at(15), 6, "t", "monitor", True)],
+        "id string, op string, ts timestamp, seq long, tenant_id string, mode string, enabled boolean")
+    versions = policy.policy_versions(changes)
+    assert {(r["id"], r["valid_from"], r["valid_to"]) for r in versions.collect()} == {
+        ("p", at(10), at(20)), ("p", at(20), at(30)), ("p", at(30), at(40)), ("q", at(15), at(15)), ("q", at(15), None)}
+    events = spark.createDataFrame([(m, at(m)) for m in (5, 10, 14, 15, 19, 20, 29, 30, 45)], "m int, ts timestamp").select(
+        "*", F.lit("t").alias("tenant_id"), F.lit("").alias("sensor_id"), F.lit("").alias("server_name"), F.lit("x").alias("method"),
+        F.array().cast("array<struct<rule_id:string,category:string,severity:string>>").alias("findings"))
+    for limit in (policy.BROADCAST_BYTES, -1):
+        got = {r["m"]: (r["mode"], r["matched_policy"] and r["matched_policy"]["id"]) for r in policy.resolve_policy(events, versions, "none", limit).collect()}
+        assert got == {5: ("none", None), 10: ("warn", "p"), 14: ("warn", "p"), 15: ("monitor", "q"), 19: ("monitor", "q"), 20: ("block", "p"), 29: ("block", "p"),
+                       30: ("monitor", "q"), 45: ("monitor", "q")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.ranks import mode_rank, severity_rank
@@ -66,7 +66,18 @@ def _rank(p: Column) -> Column:
     return F.struct(specificity(p).alias("spec"), mode_rank(p["mode"]).alias("rank"), p["pos"].alias("pos"), p.alias("p"))
 
 
-_WINNER = f"struct<spec:int,rank:int,pos:int,p:{_POLICY_DDL}>"
+
+def policy_versions(changes: DataFrame) -> DataFrame:
+    """The versions of a change log (``id, op, ts, seq`` and POLICY columns, missing ones are not given) with the time they are in force.
+
+    ``valid_from`` is the time of the change, ``valid_to`` that of the policy's next one, null for the last. A deleted policy is in force no longer; of
+    changes at one time the last by ``seq`` counts. Ties between policies go by ``pos``, or by ``seq`` where there is none.
+    """
+    order = Window.partitionBy("id").orderBy("ts", "seq")
+    given = [F.col(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in POLICY if f.name != "pos"]
+    pos = F.col("pos") if "pos" in changes.columns else F.col("seq").cast("int")
+    timed = changes.withColumn("_to", F.lead("ts").over(order)).where("op <> 'delete'")
+    return timed.select(*given, pos.alias("pos"), F.col("ts").alias("valid_from"), F.col("_to").alias("valid_to"))
 
 
 def resolve_policy(events: DataFrame, policies: DataFrame, default_mode: Column | str = "monitor",
@@ -78,16 +89,30 @@ def resolve_policy(events: DataFrame, policies: DataFrame, default_mode: Column
     others are grouped by scope; for each kind of scope in use (seven at most) an event looks up the list of its own scope,
     by a broadcast where the list's measured size is below ``broadcast_bytes``, else by a shuffle join. Events are never joined
     with themselves, and a list is found once, so rows neither get lost nor doubled.
+
+    Policies with ``valid_from`` and ``valid_to`` (``policy_versions``) count only for events whose ``ts`` lies between, the first included: every event
+    is resolved against the versions in force at its own time.
     """
     default = F.lit(default_mode) if isinstance(default_mode, str) and default_mode not in events.columns else (
         F.col(default_mode) if isinstance(default_mode, str) else default_mode)
     fields = [f.name for f in POLICY]
-    kinds = policies.where("enabled").select(*fields, specificity(F.struct("*")).alias("_kind"))
+    timed = "valid_from" in policies.columns
+    ddl = _POLICY_DDL[:-1] + ",valid_from:bigint,valid_to:bigint>" if timed else _POLICY_DDL
+    times = [F.unix_micros(c).alias(c) for c in ("valid_from", "valid_to")] if timed else []
+    kinds = policies.where("enabled").select(*fields, *times, specificity(F.struct("*")).alias("_kind"))
+    fields = [*fields, "valid_from", "valid_to"] if timed else fields
     sizes = {r["_kind"]: r["b"] for r in kinds.groupBy("_kind").agg(
         F.sum(F.octet_length(F.to_json(F.struct(*fields)))).alias("b")).collect()}
 
+    def applies(p: Column) -> Column:
+        fits = selector_matches(p, F.col("method"), F.col("findings"))
+        if not timed:
+            return fits
+        at = F.unix_micros("ts")
+        return (p["valid_from"] <= at) & (p["valid_to"].isNull() | (p["valid_to"] > at)) & fits
+
     def best(listed: Column) -> Column:
-        return F.array_max(F.transform(F.filter(listed, lambda p: selector_matches(p, F.col("method"), F.col("findings"))), _rank))
+        return F.array_max(F.transform(F.filter(listed, applies), _rank))
 
     winners, out = [], events
     for kind in sorted(sizes):
@@ -95,18 +120,18 @@ def resolve_policy(events: DataFrame, policies: DataFrame, default_mode: Column
         scope = [c for bit, c in ((1, "tenant_id"), (2, "sensor_id"), (4, "server_name")) if kind & bit]
         if not scope:
             listed = [r.asDict(recursive=True) for r in mine.select(*fields).collect()]
-            winners.append(best(F.from_json(F.lit(json.dumps(listed)), f"array<{_POLICY_DDL}>")))
+            winners.append(best(F.from_json(F.lit(json.dumps(listed)), f"array<{ddl}>")))
             continue
         lists = mine.groupBy(*[F.col(c).alias(f"_on_{c}") for c in scope]).agg(
             F.collect_list(F.struct(*fields)).alias(f"_policies_{kind}"))
         on = [F.col(c) == F.col(f"_on_{c}") for c in scope]
         out = out.join(F.broadcast(lists) if sizes[kind] <= broadcast_bytes else lists, on, "left").drop(*[f"_on_{c}" for c in scope])
         winners.append(best(F.col(f"_policies_{kind}")))
-    winner = F.array_max(F.array(*winners)) if winners else F.lit(None).cast(_WINNER)
+    winner = F.array_max(F.array(*winners)) if winners else F.lit(None).cast(f"struct<spec:int,rank:int,pos:int,p:{ddl}>")
     return (
         out.withColumn("_winner", winner)
         .withColumn("mode", F.coalesce("_winner.p.mode", default))
-        .withColumn("matched_policy", F.col("_winner.p"))
+        .withColumn("matched_policy", F.when(F.col("_winner").isNotNull(), F.struct(*[F.col(f"_winner.p.{f.name}").alias(f.name) for f in POLICY])) if timed else F.col("_winner.p"))
         .select(*[c for c in events.columns if c not in ("mode", "matched_policy")], "mode", "matched_policy")
     )
 

@@ -439,6 +439,25 @@ def _(s, d):
     return out.select("seq", "mode", F.col("matched_policy.id").alias("policy_id"))
 
 
+def _daily_versions(led: DataFrame) -> DataFrame:
+    """A policy per tenant that changes each day with what the tenant's agents did on it."""
+    blocks = F.count_if(F.col("action") == "block")
+    days = led.groupBy("tenant_id", F.date_trunc("DAY", "ts").alias("ts")).agg(F.count("*").alias("n"), blocks.alias("b"), F.min("seq").alias("seq"))
+    return days.select(
+        F.concat(F.lit("p-"), "tenant_id").alias("id"), F.when(F.col("n") % 4 == 0, "delete").otherwise("update").alias("op"), "ts", "seq", "tenant_id",
+        F.col("n").alias("version"), F.lit(True).alias("enabled"), F.when(F.col("b") % 2 == 0, "high").otherwise("low").alias("min_severity"),
+        F.element_at(F.array(F.lit("monitor"), F.lit("warn"), F.lit("block")), (F.col("b") % 3 + 1).cast("int")).alias("mode"))
+
+
+@query("resolve_policy_at_event_time")
+def _(s, d):
+    led = ledger(s, d)
+    events = _events_for_policy(led)
+    events = events if "ts" in events.columns else events.join(led.select("seq", "ts"), "seq")
+    out = policy.resolve_policy(events, policy.policy_versions(_daily_versions(led)), "none")
+    return out.select("seq", "mode", F.col("matched_policy.id").alias("policy_id"), F.col("matched_policy.version").alias("version"))
+
+
 @query("selector_matches")
 def _(s, d):
     led = ledger(s, d)

@@ -398,6 +398,13 @@ ORACLE["rule_content_hash"] = _with(
     "n AS (" + "\nUNION ALL ".join(f"SELECT {_q(r['id'])} AS id, count(*) AS n FROM messages_v WHERE {_scope_sql(r)}" for r in DEFAULT_RULES) + ")",
     "SELECT id, sha256(body) AS content_hash, n AS fields_in_scope FROM r JOIN n USING (id)")
 ORACLE["resolve_policy_joined"] = ORACLE["resolve_policy"]
+ORACLE["resolve_policy_at_event_time"] = _with(_LEDGER, _FINDINGS, """c AS (SELECT tenant_id, date_trunc('day', ts) AS t, count(*) AS n, count(*) FILTER (action = 'block') AS b FROM ledger_v GROUP BY 1, 2),
+v AS (SELECT *, lead(t) OVER (PARTITION BY tenant_id ORDER BY t) AS u FROM c),
+g AS (SELECT seq, bool_or(severity IN ('high','critical')) AS hi, bool_or(severity IN ('low','medium','high','critical')) AS lo FROM findings_v GROUP BY seq),
+m AS (SELECT l.seq, v.tenant_id, v.n, v.b FROM ledger_v l JOIN v ON v.tenant_id = l.tenant_id AND l.ts >= v.t AND (v.u IS NULL OR l.ts < v.u) LEFT JOIN g ON g.seq = l.seq
+      WHERE v.n % 4 <> 0 AND coalesce(CASE WHEN v.b % 2 = 0 THEN g.hi ELSE g.lo END, false))""",
+    """SELECT l.seq, CASE WHEN m.seq IS NULL THEN 'none' ELSE list_value('monitor', 'warn', 'block')[m.b % 3 + 1] END AS mode, 'p-' || m.tenant_id AS policy_id, m.n AS version
+FROM ledger_v l LEFT JOIN m USING (seq)""")
 
 _PEER_CTE = "WITH RECURSIVE " + _LEDGER + """,
 o AS (SELECT counterparty, seq, ts, n_findings, action, severity, CASE severity WHEN 'critical' THEN 5.0 WHEN 'high' THEN 2.5 WHEN 'medium' THEN 1.0 WHEN 'low' THEN 0.25 ELSE 0.0 END
