@@ -7,6 +7,7 @@ so the regexes (which stay on the JVM) run only on views that hold a literal the
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -65,10 +66,19 @@ def scan_views(views: Column, exact: dict[int, list[str]], folded: dict[int, lis
     n_words = max(1, -(-slots // WORD_BITS))
     low_bits = (1 << WORD_BITS) - 1
 
-    @F.arrow_udf("array<struct<nfkc:string,seen:array<bigint>>>")
+    def pack(norm: str) -> list[int]:
+        mask = _finder(exact_words)(norm) | _finder(folded_words)(norm.lower())
+        return [(mask >> (WORD_BITS * k)) & low_bits for k in range(n_words)]
+
+    return _scan(views, pack, "seen", pa.int64(), "bigint")
+
+
+def _scan(views: Column, summary: Callable[[str], list[int]], name: str, kind: pa.DataType, ddl: str) -> Column:
+    """array<struct<nfkc, name: array<ddl>>>: NFKC where it differs, and ``summary`` of the normalized text."""
+
+    @F.arrow_udf(f"array<struct<nfkc:string,{name}:array<{ddl}>>>")
     def scan(column: pa.Array) -> pa.Array:
-        find_exact, find_folded = _finder(exact_words), _finder(folded_words)
-        nfkc, packed = [], []
+        nfkc, found = [], []
         for text in column.flatten().to_pylist():
             norm = text
             changed = None
@@ -76,11 +86,9 @@ def scan_views(views: Column, exact: dict[int, list[str]], folded: dict[int, lis
                 norm = changed = unicodedata.normalize("NFKC", text)
             if not norm.isascii():
                 norm = _strip(norm)
-            mask = find_exact(norm) | find_folded(norm.lower())
             nfkc.append(changed)
-            packed.append([(mask >> (WORD_BITS * k)) & low_bits for k in range(n_words)])
-        inner = pa.StructArray.from_arrays(
-            [pa.array(nfkc, pa.string()), pa.array(packed, pa.list_(pa.int64()))], names=["nfkc", "seen"])
+            found.append(summary(norm))
+        inner = pa.StructArray.from_arrays([pa.array(nfkc, pa.string()), pa.array(found, pa.list_(kind))], names=["nfkc", name])
         lengths = [0 if n is None else n for n in column.value_lengths().to_pylist()]
         offsets = [0]
         for n in lengths:
@@ -92,6 +100,39 @@ def scan_views(views: Column, exact: dict[int, list[str]], folded: dict[int, lis
     return scan.asNondeterministic()(F.transform(views, F.make_valid_utf8))
 
 
+@lru_cache(maxsize=8)
+def _lister(words: tuple[tuple[str, tuple[int, ...]], ...]):
+    """Function from a text to the set of slots of all words in it."""
+    if not words:
+        return lambda text: set()
+    if ahocorasick is None:
+        return lambda text: {slot for word, slots in words if word in text for slot in slots}
+    automaton = ahocorasick.Automaton()
+    for word, slots in words:
+        automaton.add_word(word, slots)
+    automaton.make_automaton()
+    return lambda text: set().union(*{slots for _, slots in automaton.iter(text)})
+
+
+def _inverted(literals: dict[int, list[str]]) -> tuple[tuple[str, tuple[int, ...]], ...]:
+    """Index from a literal to the slots that need it (any of a slot's literals will do)."""
+    index: dict[str, list[int]] = {}
+    for slot, words in literals.items():
+        for word in words:
+            index.setdefault(word, []).append(slot)
+    return tuple((word, tuple(slots)) for word, slots in sorted(index.items()))
+
+
+def scan_slots(views: Column, exact: dict[int, list[str]], folded: dict[int, list[str]]) -> Column:
+    """As ``scan_views``, with the slots found as a sorted list: the number of slots does not matter."""
+    exact_words, folded_words = _inverted(exact), _inverted(folded)
+
+    def listed(norm: str) -> list[int]:
+        return sorted(_lister(exact_words)(norm) | _lister(folded_words)(norm.lower()))
+
+    return _scan(views, listed, "slots", pa.int32(), "int")
+
+
 def _strip(text: str) -> str:
     """Drop code points that are invisible, as the JVM-side strip does, before literals are looked for."""
     return "".join(ch for ch in text if not _invisible(ch))

@@ -612,6 +612,17 @@ def _(s, d):
     return found.where(F.col("metadata")["encoding"].isNull()).select("msg_id", "rule_id", "category", "severity", "field", "match", "confidence")
 
 
+@query("apply_rules_by_table")
+def _(s, d):
+    found = rules.apply_rules(_field_messages(s, d), default_rule_list(), plan_rules=0)
+    return found.where(F.col("metadata")["encoding"].isNull()).select("msg_id", "rule_id", "category", "severity", "field", "match", "confidence")
+
+
+@query("rule_scope_by_table")
+def _(s, d):
+    return rules.rule_scope(messages(s, d), default_rule_list(), plan_rules=0)
+
+
 @query("apply_rules_base64")
 def _(s, d):
     docs = spread(read_table(s, d, "documents").select("doc_id", "text"))
