@@ -164,8 +164,9 @@ def test_many_policies_and_shuffled_events(spark):
     rows = [(i, f"t{i % 6}", f"s{i % 8}", f"v{i % 4}", "m" if i % 2 else "n", [("r", "c", ("low", "high")[i % 2])] if i % 3 else []) for i in range(400)]
     df = spark.createDataFrame(rows, "seq int, tenant_id string, sensor_id string, server_name string, method string, findings array<struct<rule_id:string,category:string,severity:string>>")
     answers = [[(r.seq, r.mode, r.matched_policy and r.matched_policy.id) for r in policy.resolve_policy(
-        df.repartition(n, "tenant_id"), pols, broadcast_bytes=limit).orderBy("seq").collect()] for n, limit in ((1, 1 << 24), (5, -1))]
-    assert answers[0] == answers[1] and len(answers[0]) == 400
+        df.repartition(n, "tenant_id"), pols, broadcast_bytes=limit, plan_policies=plan).orderBy("seq").collect()]
+        for n, limit, plan in ((1, 1 << 24, 2000), (5, -1, 2000), (3, 1 << 24, 1000))]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 400
 
 
 def test_limits(spark):
@@ -223,7 +224,7 @@ def test_policies_in_force_at_event_time(spark):
     events = spark.createDataFrame([(m, at(m)) for m in (5, 10, 14, 15, 19, 20, 29, 30, 45)], "m int, ts timestamp").select(
         "*", F.lit("t").alias("tenant_id"), F.lit("").alias("sensor_id"), F.lit("").alias("server_name"), F.lit("x").alias("method"),
         F.array().cast("array<struct<rule_id:string,category:string,severity:string>>").alias("findings"))
-    for limit in (policy.BROADCAST_BYTES, -1):
-        got = {r["m"]: (r["mode"], r["matched_policy"] and r["matched_policy"]["id"]) for r in policy.resolve_policy(events, versions, "none", limit).collect()}
+    for limit, plan in ((policy.BROADCAST_BYTES, 1000), (-1, 1000), (policy.BROADCAST_BYTES, 0)):
+        got = {r["m"]: (r["mode"], r["matched_policy"] and r["matched_policy"]["id"]) for r in policy.resolve_policy(events, versions, "none", limit, plan).collect()}
         assert got == {5: ("none", None), 10: ("warn", "p"), 14: ("warn", "p"), 15: ("monitor", "q"), 19: ("monitor", "q"), 20: ("block", "p"), 29: ("block", "p"),
                        30: ("monitor", "q"), 45: ("monitor", "q")}

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.ranks import mode_rank, severity_rank
 from tracewarden.operators.envelope import server_name
+from tracewarden.operators.policy_index import given, listed, winners
 from tracewarden.operators.queries import checked_limit
 from tracewarden.schema import EVENT_SCHEMA_VERSION, POLICY
 
 #: largest part of a policy table that is sent to all tasks
 BROADCAST_BYTES = 16 << 20
+#: longest policy list, and its largest size as JSON, that is walked per event; longer ones are looked up by an index
+PLAN_POLICIES = 1000
+PLAN_BYTES = 1 << 20
 _POLICY_DDL = POLICY.simpleString()
 
 
@@ -27,38 +31,30 @@ def policies_table(spark: SparkSession, policies: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, POLICY)
 
 
-def _given(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")) != ""
-
-
-def _listed(c: Column) -> Column:
-    return F.coalesce(F.size(c), F.lit(0)) > 0
-
-
 def scope_matches(p: Column, tenant: Column, sensor: Column, server: Column) -> Column:
     return (
-        (~_given(p["tenant_id"]) | (p["tenant_id"] == tenant))
-        & (~_given(p["sensor_id"]) | (p["sensor_id"] == sensor))
-        & (~_given(p["server_name"]) | (p["server_name"] == server))
+        (~given(p["tenant_id"]) | (p["tenant_id"] == tenant))
+        & (~given(p["sensor_id"]) | (p["sensor_id"] == sensor))
+        & (~given(p["server_name"]) | (p["server_name"] == server))
     )
 
 
 def specificity(p: Column) -> Column:
     """Bits: tenant 1, sensor 2, server 4."""
-    return (F.when(_given(p["tenant_id"]), 1).otherwise(0) + F.when(_given(p["sensor_id"]), 2).otherwise(0)
-            + F.when(_given(p["server_name"]), 4).otherwise(0))
+    return (F.when(given(p["tenant_id"]), 1).otherwise(0) + F.when(given(p["sensor_id"]), 2).otherwise(0)
+            + F.when(given(p["server_name"]), 4).otherwise(0))
 
 
 def selector_matches(p: Column, method: Column, findings: Column) -> Column:
     """Method list, then any finding that meets every given constraint; without findings only an
     unconstrained selector matches."""
-    constrained = _listed(p["rule_ids"]) | _listed(p["categories"]) | _given(p["min_severity"])
+    constrained = listed(p["rule_ids"]) | listed(p["categories"]) | given(p["min_severity"])
     hit = F.exists(findings, lambda f: (
-        (~_listed(p["rule_ids"]) | F.array_contains(p["rule_ids"], f["rule_id"]))
-        & (~_listed(p["categories"]) | F.array_contains(p["categories"], f["category"]))
-        & (~_given(p["min_severity"]) | (severity_rank(f["severity"]) >= severity_rank(p["min_severity"])))))
+        (~listed(p["rule_ids"]) | F.array_contains(p["rule_ids"], f["rule_id"]))
+        & (~listed(p["categories"]) | F.array_contains(p["categories"], f["category"]))
+        & (~given(p["min_severity"]) | (severity_rank(f["severity"]) >= severity_rank(p["min_severity"])))))
     any_finding = F.coalesce(F.size(findings), F.lit(0)) > 0
-    return (~_listed(p["methods"]) | F.array_contains(p["methods"], method)) & F.when(
+    return (~listed(p["methods"]) | F.array_contains(p["methods"], method)) & F.when(
         any_finding, hit).otherwise(~constrained)
 
 
@@ -81,14 +77,15 @@ def policy_versions(changes: DataFrame) -> DataFrame:
 
 
 def resolve_policy(events: DataFrame, policies: DataFrame, default_mode: Column | str = "monitor",
-                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                   broadcast_bytes: int = BROADCAST_BYTES, plan_policies: int = PLAN_POLICIES) -> DataFrame:
     """Add ``mode`` and ``matched_policy`` (NULL when none matched).
 
     Most specific scope first, then the strongest mode, then the last in the list. Events need
-    ``tenant_id, sensor_id, server_name, method, findings``. Policies without a scope are one constant of the plan. The
-    others are grouped by scope; for each kind of scope in use (seven at most) an event looks up the list of its own scope,
-    by a broadcast where the list's measured size is below ``broadcast_bytes``, else by a shuffle join. Events are never joined
-    with themselves, and a list is found once, so rows neither get lost nor doubled.
+    ``tenant_id, sensor_id, server_name, method, findings``. Of up to ``plan_policies`` policies and ``PLAN_BYTES``, those without a scope are one
+    constant of the plan and the others are grouped by scope; for each kind of scope in use (seven at most) an event looks up the list of its own
+    scope, by a broadcast where the list's size is below ``broadcast_bytes``, else by a shuffle join. Events are never joined
+    with themselves, and a list is found once, so rows neither get lost nor doubled. More policies are found by an index from scopes and selectors
+    (``policy_index``), joined to the distinct signatures of the events; both ways give the same rows.
 
     Policies with ``valid_from`` and ``valid_to`` (``policy_versions``) count only for events whose ``ts`` lies between, the first included: every event
     is resolved against the versions in force at its own time.
@@ -97,12 +94,28 @@ def resolve_policy(events: DataFrame, policies: DataFrame, default_mode: Column
         F.col(default_mode) if isinstance(default_mode, str) else default_mode)
     fields = [f.name for f in POLICY]
     timed = "valid_from" in policies.columns
-    ddl = _POLICY_DDL[:-1] + ",valid_from:bigint,valid_to:bigint>" if timed else _POLICY_DDL
     times = [F.unix_micros(c).alias(c) for c in ("valid_from", "valid_to")] if timed else []
     kinds = policies.where("enabled").select(*fields, *times, specificity(F.struct("*")).alias("_kind"))
     fields = [*fields, "valid_from", "valid_to"] if timed else fields
-    sizes = {r["_kind"]: r["b"] for r in kinds.groupBy("_kind").agg(
-        F.sum(F.octet_length(F.to_json(F.struct(*fields)))).alias("b")).collect()}
+    head = [r.asDict(recursive=True) for r in kinds.limit(plan_policies + 1).collect()]
+    sizes: dict[int, int] = {}
+    for row in head:
+        sizes[row["_kind"]] = sizes.get(row["_kind"], 0) + len(json.dumps(row).encode())
+    if len(head) > plan_policies or sum(sizes.values()) > PLAN_BYTES:
+        out = winners(events, kinds.select(*fields), _rank(F.struct(*fields)), timed)
+    else:
+        out = _winners_by_walk(events, kinds, head, sizes, fields, broadcast_bytes)
+    return (
+        out.withColumn("mode", F.coalesce("_winner.p.mode", default))
+        .withColumn("matched_policy", F.when(F.col("_winner").isNotNull(), F.struct(*[F.col(f"_winner.p.{f.name}").alias(f.name) for f in POLICY])) if timed else F.col("_winner.p"))
+        .select(*[c for c in events.columns if c not in ("mode", "matched_policy")], "mode", "matched_policy")
+    )
+
+
+def _winners_by_walk(events: DataFrame, kinds: DataFrame, head: list[dict], sizes: dict[int, int], fields: list[str], broadcast_bytes: int) -> DataFrame:
+    """``events`` with ``_winner`` from short lists; ``head`` holds all policies."""
+    timed = "valid_from" in fields
+    ddl = _POLICY_DDL[:-1] + ",valid_from:bigint,valid_to:bigint>" if timed else _POLICY_DDL
 
     def applies(p: Column) -> Column:
         fits = selector_matches(p, F.col("method"), F.col("findings"))
@@ -111,29 +124,23 @@ def resolve_policy(events: DataFrame, policies: DataFrame, default_mode: Column
         at = F.unix_micros("ts")
         return (p["valid_from"] <= at) & (p["valid_to"].isNull() | (p["valid_to"] > at)) & fits
 
-    def best(listed: Column) -> Column:
-        return F.array_max(F.transform(F.filter(listed, applies), _rank))
+    def best(found: Column) -> Column:
+        return F.array_max(F.transform(F.filter(found, applies), _rank))
 
-    winners, out = [], events
+    found, out = [], events
     for kind in sorted(sizes):
-        mine = kinds.where(F.col("_kind") == kind)
         scope = [c for bit, c in ((1, "tenant_id"), (2, "sensor_id"), (4, "server_name")) if kind & bit]
         if not scope:
-            listed = [r.asDict(recursive=True) for r in mine.select(*fields).collect()]
-            winners.append(best(F.from_json(F.lit(json.dumps(listed)), f"array<{ddl}>")))
+            rows = [{c: row[c] for c in fields} for row in head if row["_kind"] == kind]
+            found.append(best(F.from_json(F.lit(json.dumps(rows)), f"array<{ddl}>")))
             continue
-        lists = mine.groupBy(*[F.col(c).alias(f"_on_{c}") for c in scope]).agg(
+        lists = kinds.where(F.col("_kind") == kind).groupBy(*[F.col(c).alias(f"_on_{c}") for c in scope]).agg(
             F.collect_list(F.struct(*fields)).alias(f"_policies_{kind}"))
         on = [F.col(c) == F.col(f"_on_{c}") for c in scope]
         out = out.join(F.broadcast(lists) if sizes[kind] <= broadcast_bytes else lists, on, "left").drop(*[f"_on_{c}" for c in scope])
-        winners.append(best(F.col(f"_policies_{kind}")))
-    winner = F.array_max(F.array(*winners)) if winners else F.lit(None).cast(f"struct<spec:int,rank:int,pos:int,p:{ddl}>")
-    return (
-        out.withColumn("_winner", winner)
-        .withColumn("mode", F.coalesce("_winner.p.mode", default))
-        .withColumn("matched_policy", F.when(F.col("_winner").isNotNull(), F.struct(*[F.col(f"_winner.p.{f.name}").alias(f.name) for f in POLICY])) if timed else F.col("_winner.p"))
-        .select(*[c for c in events.columns if c not in ("mode", "matched_policy")], "mode", "matched_policy")
-    )
+        found.append(best(F.col(f"_policies_{kind}")))
+    winner = F.array_max(F.array(*found)) if found else F.lit(None).cast(f"struct<spec:int,rank:int,pos:int,p:{ddl}>")
+    return out.withColumn("_winner", winner)
 
 
 def policy_preview(ledger: DataFrame, candidate: dict, limit: int | None = 500, tenant: str = "") -> DataFrame:
@@ -178,7 +185,7 @@ def policy_snapshot(change_log: DataFrame, tenant: str = "") -> DataFrame:
 def policy_change_events(change_log: DataFrame) -> DataFrame:
     """Each change (``op, actor, ts`` and the policy) as a ledger event."""
     actor = F.when(F.coalesce("actor", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("actor"))
-    scope = F.to_json(F.struct(*[F.when(_given(F.col(c)), F.col(c)).alias(c)
+    scope = F.to_json(F.struct(*[F.when(given(F.col(c)), F.col(c)).alias(c)
                                  for c in ("tenant_id", "sensor_id", "server_name")]))
     finding = F.struct(
         F.concat(F.lit("policy.audit."), "op").alias("rule_id"),
@@ -207,5 +214,5 @@ def match_annotation(matched: Column) -> Column:
         F.create_map(
             F.lit("policy_id"), matched["id"], F.lit("policy_version"), version, F.lit("policy_mode"), matched["mode"],
             F.lit("policy_scope"), F.to_json(F.struct(*[
-                F.when(_given(matched[c]), matched[c]).alias(c) for c in ("tenant_id", "sensor_id", "server_name")])))
+                F.when(given(matched[c]), matched[c]).alias(c) for c in ("tenant_id", "sensor_id", "server_name")])))
         .alias("metadata"))

@@ -439,6 +439,13 @@ def _(s, d):
     return out.select("seq", "mode", F.col("matched_policy.id").alias("policy_id"))
 
 
+@query("resolve_policy_by_index")
+def _(s, d):
+    """The same answer by the index from scopes and selectors."""
+    out = policy.resolve_policy(_events_for_policy(ledger(s, d)), policy.policies_table(s, POLICIES), "monitor", plan_policies=0)
+    return out.select("seq", "mode", F.col("matched_policy.id").alias("policy_id"))
+
+
 def _daily_versions(led: DataFrame) -> DataFrame:
     """A policy per tenant that changes each day with what the tenant's agents did on it."""
     blocks = F.count_if(F.col("action") == "block")

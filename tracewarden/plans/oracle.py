@@ -400,6 +400,7 @@ ORACLE["rule_content_hash"] = _with(
 ORACLE["apply_rules_by_table"] = ORACLE["apply_rules"]
 ORACLE["rule_scope_by_table"] = ORACLE["rule_scope"]
 ORACLE["resolve_policy_joined"] = ORACLE["resolve_policy"]
+ORACLE["resolve_policy_by_index"] = ORACLE["resolve_policy"]
 ORACLE["resolve_policy_at_event_time"] = _with(_LEDGER, _FINDINGS, """c AS (SELECT tenant_id, date_trunc('day', ts) AS t, count(*) AS n, count(*) FILTER (action = 'block') AS b FROM ledger_v GROUP BY 1, 2),
 v AS (SELECT *, lead(t) OVER (PARTITION BY tenant_id ORDER BY t) AS u FROM c),
 g AS (SELECT seq, bool_or(severity IN ('high','critical')) AS hi, bool_or(severity IN ('low','medium','high','critical')) AS lo FROM findings_v GROUP BY seq),
