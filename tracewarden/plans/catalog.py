@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,8 @@ from tracewarden.operators import merkle, peers, policy, quarantine, queries as
 from tracewarden.operators import taint, tasks
 from tracewarden.plans import evaluate
 from tracewarden.plans.projections import ledger, messages, raw_rpc, read_table, spread
-from tracewarden.sources import exports, traffic
+from tracewarden.session import checkpoint_dir
+from tracewarden.sources import exports, retention, traffic
 from tracewarden.schema import GENESIS_HASH
 from tracewarden.sources.rules import default_rule_list, default_rules, rule_content_hash
 
@@ -157,6 +160,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder for tables a query writes and reads back: shared on a cluster, a local one only where nothing is shared."""
+    base = checkpoint_dir(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tracewarden-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def query(name: str) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +207,18 @@ def _(s, d):
     return lookups.retain(led, as_of(led) - 10 * DAY).select("seq", "tenant_id")
 
 
+@query("retain_on_disk")
+def _(s, d):
+    """The ledger written by day, older days deleted, read back with its chains held against the saved starts."""
+    led = chain.chain_ledger(_unchained(s, d).join(ledger(s, d).select("seq", "ts", "tenant_id"), "seq"), ["chain_id"])
+    path = f"{_scratch(s)}/retained"
+    retention.write_by_day(led, f"{path}/ledger")
+    retention.drop_before(s, f"{path}/ledger", f"{path}/starts", as_of(ledger(s, d)) - 10 * DAY, ["chain_id"])
+    left = s.read.parquet(f"{path}/ledger")
+    checked = retention.verify_retained(left, ["chain_id"], retention.saved_starts(s, f"{path}/starts"))
+    return left.join(checked.where("ok").select("chain_id"), "chain_id").select("seq", "tenant_id")
+
+
 @query("retention_summary")
 def _(s, d):
     led = ledger(s, d).withColumn("prev_hash", F.sha2(F.col("seq").cast("string"), 256))

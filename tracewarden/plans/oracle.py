@@ -397,6 +397,7 @@ ORACLE["rule_content_hash"] = _with(
     _MESSAGES, "r(id, body) AS (VALUES " + ",".join(f"({_q(r['id'])},{_q(_hashed_text(r))})" for r in DEFAULT_RULES) + ")",
     "n AS (" + "\nUNION ALL ".join(f"SELECT {_q(r['id'])} AS id, count(*) AS n FROM messages_v WHERE {_scope_sql(r)}" for r in DEFAULT_RULES) + ")",
     "SELECT id, sha256(body) AS content_hash, n AS fields_in_scope FROM r JOIN n USING (id)")
+ORACLE["retain_on_disk"] = ORACLE["retain"]
 ORACLE["apply_rules_by_table"] = ORACLE["apply_rules"]
 ORACLE["rule_scope_by_table"] = ORACLE["rule_scope"]
 ORACLE["resolve_policy_joined"] = ORACLE["resolve_policy"]

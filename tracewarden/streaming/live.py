@@ -27,6 +27,7 @@ from tracewarden.operators.quarantine import quarantine_entries
 from tracewarden.operators.taint import MIN_CANDIDATE
 from tracewarden.operators.tasks import LEGAL_MOVES, MAX_AGE, OPEN_STATES
 from tracewarden.sources.exports import siem_payloads
+from tracewarden.streaming.late import late_split
 
 WATERMARK = "10 minutes"
 #: event time after which a silent task is forgotten
@@ -48,10 +49,14 @@ def batch_writer(path: str, fn: Callable[[DataFrame], DataFrame]) -> Callable[[D
 
 
 def stream_evaluate(stream: DataFrame, out: str, evaluate: Callable[..., DataFrame], rules: Callable[[], object],
-                    policies: Callable[[], DataFrame | None], **options) -> DataStreamWriter:
-    """Decide messages per micro-batch; rules and policies are read again for every batch (hot reload)."""
-    return stream.writeStream.foreachBatch(
-        batch_writer(out, lambda batch: evaluate(batch, rules(), policies(), **options)))
+                    policies: Callable[[], DataFrame | None], late_out: str | None = None, watermark: str = WATERMARK, **options) -> DataStreamWriter:
+    """Decide messages per micro-batch; rules and policies are read again for every batch (hot reload).
+
+    With ``late_out`` the rows behind the watermark are not decided but kept there as they came (``late.late_split``).
+    """
+    def decide(batch: DataFrame) -> DataFrame:
+        return evaluate(batch, rules(), policies(), **options)
+    return stream.writeStream.foreachBatch(batch_writer(out, decide) if late_out is None else late_split(out, late_out, decide, watermark))
 
 
 def _micros(ts) -> int:
