@@ -448,4 +448,35 @@ s AS (SELECT d.lang AS category, l.toxic = 1 AS bad, h.doc_id IS NOT NULL AS hit
 k AS (SELECT coalesce(category, 'OVERALL') AS category, count(*) FILTER (bad AND hit) AS tp, count(*) FILTER (NOT bad AND hit) AS fp, count(*) FILTER (bad AND NOT hit) AS fn, count(*) FILTER (NOT bad AND NOT hit) AS tn
  FROM s GROUP BY ROLLUP (category)), p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::double / (tp + fp) ELSE 0.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp::double / (tp + fn) ELSE 0.0 END AS rc FROM k)""",
     "SELECT category, tp, fp, fn, tn, round(pr, 6)::double AS precision, round(rc, 6)::double AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6)::double AS f1 FROM p")
+
+# ---- readers, exports and streams (``live_catalog``) -----------------------------------------
+
+ORACLE["read_traffic"] = "WITH " + _RPC + """ SELECT msg_id, agent_run_id, ts * 1000000 AS ts_us, CASE role WHEN 'assistant' THEN 'outbound' ELSE 'inbound' END AS direction,
+ sha256(text) AS raw_sha256 FROM rpc"""
+ORACLE["read_ledger"] = _CHAIN_CTE + "SELECT h.seq, b.iat AS ingest_at, h.prev AS prev_hash, h.hash, b.ev AS event_json FROM h JOIN b ON b.seq = h.seq"
+ORACLE["export_ndjson"] = _with(_LEDGER, _FINDINGS, "e AS (SELECT * FROM ledger_v WHERE tenant_id = 'tenant-1' AND severity IN ('high','critical'))",
+    """SELECT 'record' AS kind, seq, action, sha256(raw) AS raw_sha256, coalesce((SELECT string_agg(f.rule_id, '|' ORDER BY f.pos) FROM findings_v f WHERE f.seq = e.seq), '') AS rule_ids,
+ NULL::bigint AS record_count, NULL::bigint AS seq_lo, NULL::bigint AS seq_hi, NULL AS head_hash FROM e UNION ALL
+SELECT 'chain_proof', NULL, NULL, NULL, NULL, count(*), min(seq), max(seq), (SELECT sha256(cast(max(seq) AS string)) FROM ledger_v) FROM e""")
+ORACLE["audit_bundle"] = _CHAIN_CTE + """, l AS (SELECT row_number() OVER (ORDER BY h.seq) - 1 AS i, sha256('{"event":' || ev || ',"ingest_at":"' || iat || '","prev_hash":"' || prev || '","seq":' || cast(h.seq AS string) || '}') AS h,
+ count(*) OVER () AS n FROM h JOIN b ON b.seq = h.seq),
+m AS (SELECT i, h, n FROM l UNION ALL SELECT i // 2, sha256(unhex(min_by(h, i)) || unhex(max_by(h, i))), (any_value(n) + 1) // 2 FROM m WHERE n > 1 GROUP BY i // 2)
+SELECT '' AS tenant, 'head' AS chain_head, h AS merkle_root, (SELECT count(*) FROM l) AS record_count FROM m WHERE n = 1"""
+ORACLE["stream_feed"] = _with(_LEDGER, "SELECT seq, epoch_us(ts) AS ts_us, action, raw FROM ledger_v WHERE seq > 100")
+ORACLE["stream_siem"] = ORACLE["siem_payloads"]
+ORACLE["stream_evaluate"] = _with(_DOCS, _rules_sql(DEFAULT_RULES, "msg_id, rule_id, category, severity", "docs_v"))
+# the watermark stands ten minutes, in whole milliseconds, before the last event
+_MARK = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - 600000000 FROM ledger_v)"
+ORACLE["stream_metrics"] = _with(_LEDGER, f"""SELECT epoch_us(ts) // 3600000000 * 3600000000 AS bucket_us, count(*) AS total, count(*) FILTER (action = 'allow') AS allowed, count(*) FILTER (action = 'warn') AS warned,
+ count(*) FILTER (action = 'block') AS blocked, cast(sum(n_findings) AS bigint) AS findings FROM ledger_v GROUP BY 1 HAVING bucket_us + 3600000000 <= {_MARK}""")
+ORACLE["stream_spikes"] = _with(_LEDGER, """k AS (SELECT CASE WHEN counterparty <> '' THEN 'peer:' || counterparty ELSE 'run:' || agent_run_id END AS bucket_key, epoch_us(ts) AS t,
+ unnest(range(1, 7)) AS i FROM ledger_v)""", """w AS (SELECT bucket_key, (t // 86400000000 + i) * 86400000000 AS as_of_us, count(*) AS h, count(*) FILTER (i = 1) AS recent FROM k GROUP BY 1, 2)""",
+    f"""SELECT bucket_key, as_of_us, recent, round((h - recent) / 5.0::double, 6) AS baseline_mean, round(recent / ((h - recent) / 5.0::double), 6) AS ratio FROM w
+ WHERE recent > 0 AND h >= 5 AND h > recent AND recent / ((h - recent) / 5.0::double) >= 1.3 AND as_of_us <= {_MARK}""")
+ORACLE["stream_suppress"] = ORACLE["suppress_repeats"]
+ORACLE["stream_tasks"] = _with(_LEDGER, _OBS, """o AS (SELECT *, lag(state) OVER w AS prev, first(fingerprint) OVER w AS f FROM obs WINDOW w AS (PARTITION BY task_id ORDER BY ts, seq))""",
+    f"""SELECT task_id, seq, 'task.invalid_transition' AS rule_id FROM o WHERE prev IS NOT NULL AND state <> prev AND prev || '>' || state NOT IN {_LEGAL}
+ UNION ALL SELECT task_id, seq, 'task.scope_drift' FROM o WHERE f <> fingerprint AND state <> 'submitted'""")
+ORACLE["stream_peer_risk"] = ORACLE["peer_risk"]
+ORACLE["stream_quarantine"] = "SELECT msg_id, tool, quarantine_rule FROM (" + ORACLE["apply_quarantine"].replace("INTERVAL 2 HOUR", "INTERVAL 24 HOUR") + ")"
 ORACLE = {k: v for k, v in ORACLE.items() if v}
