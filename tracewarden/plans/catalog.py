@@ -807,6 +807,25 @@ def _(s, d):
     return out.select("msg_id", "action", "severity", F.array_join(F.transform("findings", lambda f: f["rule_id"]), "|").alias("rule_ids"))
 
 
+@query("evaluate_a2a_full")
+def _(s, d):
+    """All stages at once: rules, classifier, policies, task state, lineage with an allow-list, and peer scores."""
+    rpc = _envelopes(s, d).withColumn("counterparty", F.concat(F.lit("peer-"), (F.floor(F.unix_seconds("ts") / 100) % 5).cast("string")))
+    m = envelope.extract_fields(envelope.stamp_method(rpc))
+    turns = read_table(s, d, "conversations").where((F.col("role") == "user") & (F.col("turn") % 4 == 2))
+    # what these turns say had come out of a tool in the same run, a second before
+    tagged = taint.taint_tags(turns.select(
+        F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("msg_id"),
+        F.concat(F.lit("run-"), F.col("conv_id").cast("string")).alias("agent_run_id"),
+        F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn") - 1).alias("ts"), F.lit("tools/call").alias("method"), F.lit("outbound").alias("direction"),
+        F.array(F.struct(F.lit("result.text").alias("name"), F.col("text").alias("value"))).alias("fields")))
+    listed = policy.policies_table(s, [
+        {"id": "q1", "name": "requests", "mode": "warn", "sensor_id": "s0", "methods": ["tasks/send"]},
+        {"id": "q2", "name": "notices", "mode": "block", "tenant_id": "t0", "methods": ["notifications/message"]}])
+    out = evaluate.evaluate_a2a(_scoped(m.drop("request_params")), default_rule_list(), listed, tagged, ["peer-4"])
+    return out.select("msg_id", "action", "severity", F.array_join(F.transform("findings", lambda f: f["rule_id"]), "|").alias("rule_ids"))
+
+
 @query("evaluate_cards")
 def _(s, d):
     store = s.range(3).select(F.concat(F.lit("org-"), F.col("id").cast("string")).alias("issuer"))

@@ -479,4 +479,25 @@ ORACLE["stream_tasks"] = _with(_LEDGER, _OBS, """o AS (SELECT *, lag(state) OVER
  UNION ALL SELECT task_id, seq, 'task.scope_drift' FROM o WHERE f <> fingerprint AND state <> 'submitted'""")
 ORACLE["stream_peer_risk"] = ORACLE["peer_risk"]
 ORACLE["stream_quarantine"] = "SELECT msg_id, tool, quarantine_rule FROM (" + ORACLE["apply_quarantine"].replace("INTERVAL 2 HOUR", "INTERVAL 24 HOUR") + ")"
+
+# ---- the whole decision of a peer-protocol message -------------------------------------------
+
+_A2A_BODY = "SELECT rpc.msg_id, CASE coalesce(md, 0)"
+_A2A_CTES, _ = ORACLE["evaluate_a2a"].split(_A2A_BODY)
+_UNNESTED = f"unnest(CASE WHEN coalesce(octet_length(b), 0) = 0 THEN [] WHEN octet_length(b) <= 24 THEN [left(sha256(b), 32)] ELSE {_SHIFTS} END) AS fp"
+ORACLE["evaluate_a2a_full"] = _A2A_CTES.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f""",
+tf AS (SELECT agent_run_id, ts - 1 AS at, {_UNNESTED} FROM (SELECT *, {_STRIPPED} AS b FROM rpc WHERE role = 'user' AND turn % 4 = 2)),
+df AS (SELECT msg_id, agent_run_id, ts, {_UNNESTED} FROM (SELECT *, {_STRIPPED} AS b FROM rpc WHERE role <> 'assistant' AND conv_id % 5 <> 4 AND octet_length(encode(text)) >= 16)),
+leak AS (SELECT DISTINCT df.msg_id FROM df JOIN tf ON tf.agent_run_id = df.agent_run_id AND tf.fp = df.fp AND tf.at < df.ts),
+d AS (SELECT rm.msg_id, rm.ts, 'peer-' || rm.conv_id % 5 AS peer,
+ CASE WHEN leak.msg_id IS NOT NULL OR m = 'notifications/message' THEN 'block' WHEN m = 'tasks/send' THEN 'warn' WHEN md = 2 THEN 'block' WHEN md = 1 THEN 'warn' ELSE 'allow' END AS action,
+ CASE WHEN leak.msg_id IS NOT NULL THEN 3 ELSE greatest(coalesce(sev, 0), CASE WHEN dr.msg_id IS NULL THEN 0 ELSE 3 END) END AS sev,
+ nullif(concat_ws('|', ids, CASE WHEN m IN ('tasks/send', 'notifications/message') THEN 'policy.match' END, CASE WHEN dr.msg_id IS NOT NULL THEN 'task.scope_drift' END,
+  CASE WHEN leak.msg_id IS NOT NULL THEN 'taint.cross_protocol_leak' END), '') AS ids FROM rm LEFT JOIN h USING (msg_id) LEFT JOIN dr ON dr.msg_id = rm.msg_id LEFT JOIN leak ON leak.msg_id = rm.msg_id),
+o2 AS (SELECT *, (CASE sev WHEN 4 THEN 5.0 WHEN 3 THEN 2.5 WHEN 2 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0.0 END + CASE action WHEN 'block' THEN 4.0 ELSE 0.0 END)::double AS w,
+ row_number() OVER (PARTITION BY peer ORDER BY ts) AS rn FROM d),
+r2 AS (SELECT msg_id, peer, ts, rn, w, w AS score FROM o2 WHERE rn = 1 UNION ALL
+ SELECT o2.msg_id, o2.peer, o2.ts, o2.rn, o2.w, r2.score * greatest(0.0, 1 - 0.5 * (o2.ts - r2.ts) / 3600.0::double) + o2.w FROM r2 JOIN o2 ON o2.peer = r2.peer AND o2.rn = r2.rn + 1)
+SELECT d.msg_id, d.action, CASE d.sev WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
+ concat_ws('|', d.ids, CASE WHEN r2.score >= 10 AND r2.score - r2.w < 10 THEN 'counterparty.risk_threshold' END) AS rule_ids FROM d JOIN r2 ON r2.msg_id = d.msg_id"""
 ORACLE = {k: v for k, v in ORACLE.items() if v}
