@@ -16,8 +16,9 @@ AUDIT_CATEGORIES = ("policy_audit",)
 
 def n_findings(exclude_audit: bool = False) -> Column:
     if not exclude_audit:
-        return F.coalesce(F.size("findings"), F.lit(0)).cast("bigint")
-    return F.size(F.filter("findings", lambda f: ~f["category"].isin(*AUDIT_CATEGORIES))).cast("bigint")
+        return F.coalesce(F.array_size("findings"), F.lit(0)).cast("bigint")
+    kept = F.filter("findings", lambda f: ~f["category"].isin(*AUDIT_CATEGORIES))
+    return F.coalesce(F.array_size(kept), F.lit(0)).cast("bigint")
 
 
 def _scoped(ledger: DataFrame, tenant: str | None) -> DataFrame:

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.operators import analytics
+from tracewarden.operators import analytics, rollups
 from tracewarden.plans import evaluate
-from tracewarden.plans.catalog import DAY, HOUR, _chained, _finding_rows, _listings, _scratch, _task_obs, query, r6
+from tracewarden.plans.catalog import DAY, HOUR, _chained, _finding_rows, _listings, _scratch, _task_obs, as_of, query, r6
 from tracewarden.plans.projections import ledger, raw_rpc, read_table, spread
 from tracewarden.schema import TRAFFIC
 from tracewarden.sources import exports, traffic
@@ -95,6 +95,17 @@ def _(s, d):
     return written.select("tenant", "chain_head", "merkle_root", F.col("record_count").cast("bigint").alias("record_count"))
 
 
+@query("rollup_report")
+def _(s, d):
+    """Hourly rollups of two stretches of the ledger, written, merged and added up per tenant over ten days."""
+    led = ledger(s, d)
+    path = f"{_scratch(s)}/rollups"
+    for half in _halves(led):
+        rollups.rollup(half, HOUR).write.mode("append").parquet(path)
+    merged = rollups.merge_rollups(s.read.parquet(path))
+    return rollups.rollup_report(merged, as_of(led) - 10 * DAY, ("tenant_id",)).select("tenant_id", "total", "allowed", "warned", "blocked", "findings")
+
+
 # ---- streams -------------------------------------------------------------------------------
 
 @query("stream_feed")

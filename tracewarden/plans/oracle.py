@@ -500,4 +500,7 @@ r2 AS (SELECT msg_id, peer, ts, rn, w, w AS score FROM o2 WHERE rn = 1 UNION ALL
  SELECT o2.msg_id, o2.peer, o2.ts, o2.rn, o2.w, r2.score * greatest(0.0, 1 - 0.5 * (o2.ts - r2.ts) / 3600.0::double) + o2.w FROM r2 JOIN o2 ON o2.peer = r2.peer AND o2.rn = r2.rn + 1)
 SELECT d.msg_id, d.action, CASE d.sev WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'info' END AS severity,
  concat_ws('|', d.ids, CASE WHEN r2.score >= 10 AND r2.score - r2.w < 10 THEN 'counterparty.risk_threshold' END) AS rule_ids FROM d JOIN r2 ON r2.msg_id = d.msg_id"""
+ORACLE["rollup_report"] = _with(_LEDGER, f"""SELECT tenant_id, count(*) AS total, count(*) FILTER (action = 'allow') AS allowed, count(*) FILTER (action = 'warn') AS warned,
+ count(*) FILTER (action = 'block') AS blocked, cast(sum(n_findings) AS bigint) AS findings FROM ledger_v
+ WHERE epoch_us(ts) // 3600000000 * 3600000000 >= epoch_us({_NOW}) - 864000000000 GROUP BY tenant_id""")
 ORACLE = {k: v for k, v in ORACLE.items() if v}
