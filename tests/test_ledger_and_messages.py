@@ -85,6 +85,19 @@ def test_merkle_proofs(spark):
     assert merkle.merkle_root(leaves.where("idx < 0")).first().merkle_root == hashlib.sha256(b"").hexdigest()
 
 
+def test_merkle_proofs_of_all_leaves_join_paths_only(spark):
+    """Three rounds' worth of shapes: full blocks, a short last block and an odd node; no join holds leaves, so none can be broadcast."""
+    leaves = spark.range(2051).select(F.col("id").alias("idx"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    root = merkle.merkle_root(leaves).first().merkle_root
+    proofs = merkle.merkle_proof(leaves)
+    plan = proofs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "strategy=shuffle_hash" in plan
+    found = merkle.verify_proofs(proofs, root).collect()
+    assert sorted(p.idx for p in found) == list(range(2051)) and all(p.valid for p in found)
+    assert all([x.level for x in p.path] == list(range(12)) for p in found)
+    assert {p.idx for p in merkle.merkle_proof(leaves, spark.createDataFrame([(5,), (5,), (2050,), (9999,)], "idx int")).collect()} == {5, 2050}
+
+
 def test_hmac_and_payloads(spark):
     df = spark.createDataFrame([(1, T0, "high", "x"), (2, T0, "low", "y")], "seq bigint, ts timestamp, severity string, raw string")
     out = exports.siem_payloads(df, "medium", secret="s" * 70).collect()

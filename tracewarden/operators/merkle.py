@@ -79,27 +79,52 @@ def merkle_nodes(leaves: DataFrame) -> DataFrame:
     return out
 
 
+def _paths(blocks: DataFrame, base: int, levels: int, above: DataFrame | None, wanted: DataFrame | None) -> DataFrame:
+    """(idx, leaf, path) of the nodes of one round: the steps inside the block, then the steps of the block's own root."""
+    rows = blocks
+    places = F.sequence(F.lit(0), F.size("nodes") - 1)
+    if wanted is not None:
+        block = F.floor(F.col("idx") / (1 << levels)).cast("bigint")
+        asked = wanted.groupBy(block.alias("block")).agg(F.collect_set((F.col("idx") - block * (1 << levels)).cast("int")).alias("_asked"))
+        rows = rows.join(asked.hint("shuffle_hash"), "block")
+        places = F.filter("_asked", lambda i: (i >= 0) & (i < F.size("nodes")))
+    if above is not None:  # neither side is ever broadcast: both grow with the leaves
+        rows = rows.join(above.select(F.col("idx").alias("block"), F.col("path").alias("_above")).hint("shuffle_hash"), "block")
+
+    def step(i: Column, k: Column) -> Column:
+        own, row = F.call_function("shiftright", i, k), F.get("stack", k)
+        return F.struct((F.lit(base) + k).alias("level"), F.coalesce(F.get(row, own.bitwiseXOR(F.lit(1))), F.get(row, own)).alias("sibling"),
+                        (own % 2 == 0).alias("right"))
+
+    def path(i: Column) -> Column:
+        inside = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: step(i, k))
+        return inside if above is None else F.concat(inside, F.col("_above"))
+
+    # outer: a plain explode adds a filter on its array, for which all paths would be built a second time
+    found = rows.select(F.explode_outer(F.transform(places, lambda i: F.struct(
+        (F.col("block") * (1 << levels) + i).alias("idx"), F.get("nodes", i).alias("leaf"), path(i).alias("path")))).alias("_p"))
+    return found.where("_p is not null").select("_p.*")
+
+
 def merkle_proof(leaves: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Audit path per wanted leaf (``idx``; all by default): array of (level, sibling, right).
 
-    Each wanted leaf asks for one sibling per level; a missing right sibling is the node itself.
+    A missing right sibling is the node itself. Rounds go top-down: a block's row holds all siblings of its leaves, so the only
+    rows that are joined are one path per block and round.
     """
     n = leaves.count()
-    depth = _depth(n)
-    nodes = merkle_nodes(leaves)
-    wanted = leaves.select("idx") if wanted is None else wanted.select("idx")
-    base = leaves.join(wanted, "idx", "left_semi").select("idx", F.col("hash").alias("leaf"))
-    if depth == 0:
-        return base.withColumn("path", F.array().cast("array<struct<level:int,sibling:string,right:boolean>>"))
-    levels = F.sequence(F.lit(0), F.lit(depth - 1))
-    asked = base.select("idx", "leaf", F.explode(levels).alias("level"))
-    own = F.expr("shiftright(idx, level)")
-    width = F.expr(f"shiftright({n - 1}L, level) + 1")
-    sibling = own.bitwiseXOR(F.lit(1).cast("bigint"))
-    asked = asked.withColumn("right", own % 2 == 0).withColumn("_sib", F.when(sibling < width, sibling).otherwise(own))
-    found = asked.join(nodes.select("level", F.col("idx").alias("_sib"), F.col("hash").alias("sibling")), ["level", "_sib"])
-    return found.groupBy("idx", "leaf").agg(
-        F.array_sort(F.collect_list(F.struct("level", "sibling", "right"))).alias("path"))
+    wanted = None if wanted is None else wanted.select(F.col("idx").cast("bigint").alias("idx")).distinct()
+    if _depth(n) == 0:
+        base = leaves if wanted is None else leaves.join(wanted, "idx", "left_semi")
+        return base.select("idx", F.col("hash").alias("leaf"), F.array().cast("array<struct<level:int,sibling:string,right:boolean>>").alias("path"))
+    *rounds, _ = _node_levels(leaves, n)
+    asked = [wanted]
+    for _, levels, _ in rounds[:-1]:
+        asked.append(None if wanted is None else asked[-1].select(F.floor(F.col("idx") / (1 << levels)).cast("bigint").alias("idx")).distinct())
+    above = None
+    for (base, levels, blocks), some in zip(reversed(rounds), reversed(asked)):
+        above = _paths(blocks, base, levels, above, some)
+    return above
 
 
 def verify_proofs(proofs: DataFrame, root: Column | str) -> DataFrame:
