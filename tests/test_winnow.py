@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewarden.functions import winnow
-from tracewarden.functions.text import SHINGLE_WIDTH, byte_windows, canonical_views
+from tracewarden.functions.text import SHINGLE_WIDTH, byte_windows, canonical_views, shingles
 from tracewarden.operators import taint
 
 T0 = dt.datetime(2024, 1, 1)
@@ -93,3 +93,26 @@ def test_rows_are_a_fifth_at_most(spark):
     views = docs.select("agent_run_id", F.explode(canonical_views("text")).alias("v"))
     before = views.select(F.sum(F.size(byte_windows("v")))).first()[0]
     assert taint._anchored(docs, "text", "agent_run_id").count() <= before / 5
+
+
+def nodes_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payloads_are_decoded_once_and_fingerprints_made_once(spark):
+    """Decoding a value and hashing its windows is the costly part: no filter or second reader may repeat it."""
+    values = spark.createDataFrame([("r", "a" * 40, T0, "t1")], "agent_run_id string, value string, ts timestamp, taint_id string").repartition(2)
+    assert nodes_of(taint._anchored(values, "value", "agent_run_id")).count("unbase64") == 1
+    sent = values.select(F.lit("m").alias("msg_id"), "agent_run_id", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.array(shingles("value")).alias("fingerprints"))
+    tags = values.select("*", *[F.lit("").alias(c) for c in ("protocol", "method", "tool", "field", "sample")])
+    found = taint.match_fingerprints(sent, taint.register_fingerprints(tags))
+    assert nodes_of(found).count("size(array_distinct") == 0 and nodes_of(found).count("nfkc_array_udf") == nodes_of(sent).count("nfkc_array_udf") * 2
+    assert [(r.msg_id, r.taint_id) for r in found.collect()] == [("m", "t1")]
+
+
+def test_fingerprints_are_those_of_the_distinct_windows(spark):
+    rows = [("",), ("  short \u2003",), ("ab" * 40,), ("x" * 24,), (" padded on both ends, and é in between\u00a0\n",), (None,)]
+    df = spark.createDataFrame(rows, "v string")
+    windows_of = F.flatten(F.transform(canonical_views("v"), lambda v: byte_windows(v)))
+    for r in df.select("v", shingles("v").alias("f"), F.transform(windows_of, lambda w: F.left(F.sha2(w, 256), F.lit(32))).alias("w")).collect():
+        assert r.f == r.w

@@ -59,9 +59,9 @@ def normalize_text(c: Column | str) -> Column:
 def normalize_array(c: Column | str) -> Column:
     """``normalize_text`` over an array of strings, one Arrow value per row that needs it."""
     c = as_col(c)
-    needs = F.exists(c, needs_normalizing)
-    valid = F.transform(c, F.make_valid_utf8)
-    return F.coalesce(F.transform(nfkc_array_udf(F.when(needs, valid)), strip_invisible), c)
+    # binding the array to a lambda variable keeps it from being computed for the test and again for its use
+    asked = F.get(F.transform(F.array(c), lambda x: F.when(F.exists(x, needs_normalizing), F.transform(x, F.make_valid_utf8))), F.lit(0))
+    return F.coalesce(F.transform(nfkc_array_udf(asked), strip_invisible), c)
 
 
 def truncate_bytes(c: Column | str, n: int | None) -> Column:
@@ -78,10 +78,12 @@ def truncate_bytes(c: Column | str, n: int | None) -> Column:
 
 def _mostly_printable(c: Column) -> Column:
     """Printable characters, counting each undecodable byte as one, are at least 80 % of the bytes."""
+    # all of these are printable and take one byte each, so that one look settles what most payloads are
+    plain = ~c.rlike(r"[^ -~\n\t\r]")
     valid = F.regexp_replace(F.make_valid_utf8(c), r"\x{FFFD}", "")
     shown = F.length(F.regexp_replace(valid, r"[^\p{L}\p{M}\p{N}\p{P}\p{S} \n\t\r]", ""))
     undecodable = F.octet_length(c) - F.octet_length(valid)
-    return (F.octet_length(c) > 0) & ((shown + undecodable) * 5 >= F.octet_length(c) * 4)
+    return (F.octet_length(c) > 0) & F.when(plain, True).otherwise((shown + undecodable) * 5 >= F.octet_length(c) * 4)
 
 
 # Padded and unpadded forms of the standard and the URL alphabet.
@@ -113,7 +115,10 @@ def base64_candidates(c: Column | str, longest: int | None = None) -> Column:
 
 def trim_space(c: Column) -> Column:
     """Drop leading and trailing Unicode white space."""
-    return F.regexp_replace(c, r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+\z", "")
+    # both ends are looked at first: the whole text is searched only where there is something to drop
+    blank = r"[\s\x{85}\p{Z}]"
+    ends = F.left(c, F.lit(1)).rlike(f"^{blank}") | F.right(c, F.lit(3)).rlike(f"{blank}\\z")
+    return F.when(ends, F.regexp_replace(c, f"^{blank}+|{blank}+\\z", "")).otherwise(c)
 
 
 def byte_windows(c: Column | str, width: int = SHINGLE_WIDTH) -> Column:
@@ -135,17 +140,34 @@ def byte_windows(c: Column | str, width: int = SHINGLE_WIDTH) -> Column:
     return F.get(F.transform(F.array(F.encode(trim_space(as_col(c)), "UTF-8")), windows), F.lit(0))
 
 
+def plain_views(value: Column | str) -> Column:
+    """The value and its base64 payloads, as they stand."""
+    value = as_col(value)
+    return F.concat(F.array(value), base64_candidates(value))
+
+
 def canonical_views(value: Column | str) -> Column:
     """The normalized value and its normalized base64 payloads."""
-    value = as_col(value)
-    return normalize_array(F.concat(F.array(value), base64_candidates(value)))
+    return normalize_array(plain_views(value))
 
 
 def fingerprint(window: Column) -> Column:
     return F.left(F.sha2(window, 256), F.lit(32))
 
 
+def byte_fingerprints(c: Column | str, width: int = SHINGLE_WIDTH) -> Column:
+    """Fingerprints of the ``byte_windows`` of a string, one per place: repeated windows repeat theirs."""
+    def prints(b: Column) -> Column:
+        n = F.octet_length(b)
+        return (
+            F.when(n == 0, F.array().cast("array<string>"))
+            .when(n <= width, F.array(fingerprint(b)))
+            .otherwise(F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: fingerprint(F.substring(b, i, width))))
+        )
+
+    return F.get(F.transform(F.array(F.encode(trim_space(as_col(c)), "UTF-8")), prints), F.lit(0))
+
+
 def shingles(value: Column | str, width: int = SHINGLE_WIDTH) -> Column:
     """Distinct 128-bit hex fingerprints over all canonical views of a value."""
-    windows = F.flatten(F.transform(canonical_views(value), lambda v: byte_windows(v, width)))
-    return F.transform(F.array_distinct(windows), fingerprint)
+    return F.array_distinct(F.flatten(F.transform(canonical_views(value), lambda v: byte_fingerprints(v, width))))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.functions.asof import broadcast_if_small, carry_last, running_count, running_sum
-from tracewarden.functions.text import canonical_views, shingles, truncate_bytes
+from tracewarden.functions.text import normalize_array, plain_views, shingles, truncate_bytes
 from tracewarden.functions.winnow import anchors, windows_around
 from tracewarden.schema import FINDING
 
@@ -98,7 +98,9 @@ def sweep_taints(taints: DataFrame, as_of: dt.datetime, ttl: dt.timedelta = TTL)
 def _anchored(df: DataFrame, value: str, *keep: str) -> DataFrame:
     """(kept columns, _h, _around) rows of all canonical views of ``value``: hash of run and kept gram, bytes around it."""
     # outer: a plain explode adds a filter on its array, for which the Python functions would run a second time
-    views = df.select(*keep, F.explode_outer(canonical_views(F.col(value))).alias("_view"))
+    # payloads have a column of their own, or each of the three places that normalizing reads them from would decode them again
+    decoded = df.select(*keep, plain_views(F.col(value)).alias("_plain"))
+    views = decoded.select(*keep, F.explode_outer(normalize_array("_plain")).alias("_view"))
     placed = views.select(*keep, anchors("_view").alias("_anchors")).select(*keep, F.explode_outer("_anchors").alias("_a")).where("_a is not null")
     return placed.select(*keep, F.xxhash64("agent_run_id", "_a.gram").alias("_h"), F.col("_a.around").alias("_around"))
 
@@ -249,9 +251,10 @@ def match_fingerprints(messages: DataFrame, registered: DataFrame, max_per_run:
 
     Messages carry ``fingerprints`` (array<array<string>>, one array per candidate value).
     """
-    found = messages.select("msg_id", "agent_run_id", "ts", F.posexplode("fingerprints").alias("_fpos", "_fps")).select(
-        "msg_id", "agent_run_id", "ts", "_fpos", F.explode("_fps").alias("_fp"))
+    # outer: a plain explode adds a filter on its array, for which all fingerprints would be made a second time
+    found = messages.select("msg_id", "agent_run_id", "ts", F.posexplode_outer("fingerprints").alias("_fpos", "_fps")).select(
+        "msg_id", "agent_run_id", "ts", "_fpos", F.explode_outer("_fps").alias("_fp")).where("_fp is not null")
     if max_per_run:
         registered = numbered(registered)
-    tagged = registered.select("agent_run_id", "ts", "taint_id", *(["taint_no"] if max_per_run else []), F.explode("fingerprints").alias("_fp"))
+    tagged = registered.select("agent_run_id", "ts", "taint_id", *(["taint_no"] if max_per_run else []), F.explode_outer("fingerprints").alias("_fp")).where("_fp is not null")
     return _first_hits(found, messages.select("msg_id", "agent_run_id", "ts"), registered, tagged, "_fp", max_per_run)
