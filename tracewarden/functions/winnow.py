@@ -18,8 +18,9 @@ from tracewarden.functions.text import SHINGLE_WIDTH, trim_space
 
 GRAM = 12
 REACH = SHINGLE_WIDTH - GRAM + 1
-#: windows whose hashes are in memory at once
-PIECE = 1 << 20
+#: windows whose hashes are in memory at once: few enough to stay in a core's cache; bytes of texts that are looked at together
+PIECE, HELD = 1 << 14, 1 << 20
+_STEP = 0x100000001B3
 
 
 def kept_positions(texts: list[bytes]) -> list[np.ndarray]:
@@ -31,18 +32,30 @@ def kept_positions(texts: list[bytes]) -> list[np.ndarray]:
     for at in range(0, len(data) - SHINGLE_WIDTH + 1, PIECE):
         part = data[at:at + PIECE + SHINGLE_WIDTH - 1].astype(np.uint64)
         n = len(part) - GRAM + 1
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(GRAM):
-            h = h * np.uint64(0x100000001B3) + part[k:k + n] + np.uint64(1)
+        # sums of 1, 2, 4 and 8 neighbours, each from the one before, make up a gram
+        h, width, powers = part + np.uint64(1), 1, {}
+        while width <= GRAM:
+            powers[width] = h
+            h = h[:len(h) - width] * np.uint64(pow(_STEP, width, 1 << 64)) + h[width:]
+            width *= 2
+        h, done = np.zeros(n, dtype=np.uint64), 0
+        for width in sorted(powers, reverse=True):
+            if GRAM & width:
+                h = h * np.uint64(pow(_STEP, width, 1 << 64)) + powers[width][done:done + n]
+                done += width
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        # the place in the window stands in the last bits, so that the leftmost of equal ones is the least
         m = len(part) - SHINGLE_WIDTH + 1
-        least, place = h[:m].copy(), np.zeros(m, dtype=np.int64)
-        for k in range(1, REACH):  # the leftmost of equal ones stays
-            better = h[k:k + m] < least
-            least[better], place[better] = h[k:k + m][better], k
+        h &= ~np.uint64(15)
+        least = h[:m].copy()
+        for k in range(1, REACH):
+            np.minimum(least, h[k:k + m] | np.uint64(k), out=least)
         start = at + np.arange(m)
+        places = start + (least & np.uint64(15)).astype(np.int64)
         inside = start + SHINGLE_WIDTH <= ends[np.searchsorted(ends, start, side="right")]
-        found.append(np.unique((start + place)[inside]))
+        # windows in a row keep grams in rising order
+        places = places[inside]
+        found.append(places[np.concatenate([[True], places[1:] != places[:-1]])] if len(places) else places)
     kept = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
     cut = np.searchsorted(kept, ends)
     out = []
@@ -61,7 +74,7 @@ def _kept_udf(texts: pd.Series) -> pd.Series:
     for t in values:
         group.append(t)
         held += len(t)
-        if held >= PIECE:
+        if held >= HELD:
             out += kept_positions(group)
             group, held = [], 0
     return pd.Series([p + 1 for p in out + kept_positions(group)])
