@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,18 @@ def brute_components(rows, size, percent):
     return sorted(((i, len(s), None if i is None else least[find(k)]) for k, (i, s) in enumerate(sets)), key=repr)
 
 
+def test_the_order_of_shingles_comes_from_all_texts(spark):
+    """Long texts and texts beyond any sample count: the ranks are those of the counts over every text."""
+    rng = random.Random(9)
+    texts = [sentence(rng, 40, 60) for _ in range(300)] + [sentence(rng, 300_000, 60), "two words", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(5)
+    counts = np.zeros(near.BUCKETS, dtype=np.int64)
+    for t in texts:
+        np.add.at(counts, (near.shingle_sets(pa.array([t], pa.string()), 3)[0] >> np.uint64(64 - near.BUCKET_BITS)).astype(np.int64), 1)
+    assert len(texts[300]) > 1_000_000
+    assert near.frequencies(docs, 3).tolist() == np.unique(counts, return_inverse=True)[1].tolist()
+
+
 def groups_of_near_copies():
     """A centre with copies that differ from each other more than from it, chains, and copies of copies."""
     rng = random.Random(4)

@@ -9,13 +9,13 @@ the node that counts most is its region's head, so that the centre of a large gr
 Links are confirmed on full sets in two rounds: first the partner that most trees name, for every node; then every candidate whose two nodes
 are not led to one node by such links. This is only the cheap way to most links, as a region's other pairs are not compared.
 
-The rest is exact. All sets are put into one order, shingles that are frequent in a sample last. Of two similar sets, the first common
+The rest is exact. All sets are put into one order, the most frequent shingles last (counts over all texts). Of two similar sets, the first common
 shingle is in the prefix of both that is one longer than what a similar set can lack. Sizes are cut into classes, each as wide as similar sizes can be apart, so a
 set meets those of its own class and the next one. Nodes of different components that share a shingle of their prefixes meet per (shingle, class), in blocks of ``BLOCK`` by
 ``BLOCK`` rows. Each set has parity bits that say whether it holds an odd number of the shingles of that bit; as many shingles as two sets differ in bits, they differ in at
 least. The join itself drops the pairs that differ in too many bits, so what leaves it is little more than the similar pairs; these are compared on full sets.
 Pairs inside one component can change nothing, so no pair that can is left out. Only bits of rows in one (shingle, class) are compared more often than the
-input grows, and only where neither the sample nor the sizes tell them apart.
+input grows, and only where neither the counts nor the sizes tell them apart.
 
 Defined results. A text without words, or null, has an empty set and is linked with nothing. A text with fewer words than a shingle is one shingle.
 Rows with a null id take no part: no component, kept. Repeated rows are rows of their own with equal results. Other columns are not read.
@@ -33,13 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_proven, discard, stored, text_bytes, union_all
+from .common import broadcast_if_proven, discard, stored, union_all
 from .components import components
 from .passages import mixed, split_words
 
 TREES, DEPTH, SHALLOW, CROWD = 16, 6, 4, 64
-#: rows of a shingle's list that meet in one block; bytes of text whose shingles are counted for the order of the sets
-BLOCK, SAMPLE_BYTES = 2048, 32 << 20
+#: rows of a shingle's list that meet in one block
+BLOCK = 2048
+#: groups in which shingles are counted for the order of the sets, by the first bits of their hash; rows in which a task sends its counts
+BUCKET_BITS, PIECES = 20, 64
+BUCKETS = 1 << BUCKET_BITS
 #: bits of sets of up to 1000 shingles, and of larger ones; sets of classes up to NARROW shingles meet with 256 of them, others with 1024
 PARITY, PARITY_LARGE, NARROW = 1024, 8192, 700
 _FACTORS = (np.random.default_rng(5).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -98,25 +101,50 @@ def _small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
-def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and in how many. They only order the sets: any order gives the same results."""
-    docs = docs.where("id is not null and octet_length(text) <= 1000000")
-    some = docs.where(F.pmod(F.col("th"), F.lit(text_bytes(docs) // SAMPLE_BYTES + 1)) == 0).dropDuplicates(["th"])
+def frequencies(docs: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur in all texts: the rank of the count of each of ``BUCKETS`` groups of shingles.
 
-    def run(batches):
+    Every shingle of every text is counted. Counts only order the sets (any order gives the same results), so shingles that share a bucket may share a
+    count. Tasks send their counts as ``PIECES`` rows each, which are summed as they stream; what reaches the driver is as large for any input.
+    """
+    width = BUCKETS // PIECES
+
+    def count(batches):
+        total, held, n = np.zeros(BUCKETS, dtype=np.int64), [np.zeros(0, dtype=np.int64)], 0
         for whole in batches:
             for b in _small(whole):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(b.column("text"), size)[0].view(np.int64))], ["item"])
+                held.append((shingle_sets(b.column("text"), size)[0] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+                n += len(held[-1])
+                if n >= BUCKETS:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, n = held[:1], 0
+        total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        if total.any():
+            kind = np.min_scalar_type(total.max())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(PIECES, dtype=np.int32)), pa.array([kind.itemsize] * PIECES, pa.int32()),
+                 pa.array([x.tobytes() for x in total.astype(kind).reshape(PIECES, width)], pa.binary())], ["piece", "bytes", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, wide, counts in zip(*(b.column(c).to_pylist() for c in ("piece", "bytes", "counts"))):
+                part = np.frombuffer(counts, dtype=f"u{wide}").astype(np.int64)
+                sums[piece] = sums[piece] + part if piece in sums else part
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
 
-    found = some.select("text").mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("c")).where("c > 2").toArrow()
-    items, counts = found["item"].to_numpy().view(np.uint64), found["c"].to_numpy()
-    order = np.argsort(items)
-    return items[order], counts[order]
+    counted = docs.where("id is not null").select("text").mapInArrow(count, "piece int, bytes int, counts binary")
+    found = counted.repartition(4, "piece").mapInArrow(add, "piece int, counts binary").toArrow()
+    total = np.zeros((PIECES, width), dtype=np.int64)
+    for piece, counts in zip(found["piece"].to_pylist(), found["counts"].to_pylist()):
+        total[piece] = np.frombuffer(counts, dtype=np.int64)
+    return np.unique(total.ravel(), return_inverse=True)[1].astype(np.int32)
 
 
 def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, th, n, digest, sig, prefix, odd, class) per row of (id, text, th): set size, 128-bit name of the set, signature (null for empty sets), first shingles, parities, class of the size."""
-    items, counts = frequent(docs, size)
+    often_of = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
     ends_of = classes(percent)
 
     def run(batches):
@@ -128,10 +156,7 @@ def signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 full = np.flatnonzero(n)
                 sig = minima(sets, np.append(starts[:-1][full], starts[-1]))
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, sig.shape[1], 0))]).astype(np.int32)
-                often = np.zeros(len(sets), dtype=np.int64)
-                if len(items):
-                    at = np.minimum(np.searchsorted(items, sets), len(items) - 1)
-                    often = np.where(items[at] == sets, counts[at], 0)
+                often = often_of.value[(sets >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 # of the n shingles, a similar set has n * percent / 100 at least, so one of the first n - that + 1
                 heads = [sets[i:j][np.argsort(often[i:j], kind="stable")[:(j - i) - (-(-(j - i) * percent // 100)) + 1]] for i, j in zip(starts[:-1], starts[1:])]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)),
