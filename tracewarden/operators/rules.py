@@ -3,7 +3,7 @@
 ``fields`` becomes an array of views (each field and its decoded base64 payloads, normalized). Up to
 ``PLAN_RULES`` rules become literal regex tests over the views: everything stays inside one row and
 detection never shuffles, whatever the size of the traffic table. Longer lists are a table: an index from
-required literals to patterns gives each view the patterns it may match, a join brings their rows, and
+required literals to patterns, and RE2 behind it, give each view the patterns it may match, a join brings their rows, and
 regexes run on those only. The plan does not grow with the rules, and both forms give equal rows.
 """
 
@@ -22,7 +22,7 @@ from tracewarden.functions.ranks import (
     severity_of_rank,
     severity_rank,
 )
-from tracewarden.functions.scan import scan_slots, scan_views, seen_slot
+from tracewarden.functions.scan import re2_check, scan_slots, scan_views, seen_slot
 from tracewarden.functions.text import base64_candidates, strip_invisible, truncate_bytes
 from tracewarden.schema import FINDING
 from tracewarden.sources.rules import DEFAULT_CONFIDENCE, collect_rules
@@ -37,23 +37,32 @@ _META = "array<struct<rule_id:string,category:string,severity:string,description
         "confidence:double,mode:string,hash:string>>"
 
 
-def guards_of(rules: list[dict]) -> tuple[dict, dict, dict]:
-    """Guard slots: ({(rule, pattern): slot}, {slot: exact literals}, {slot: lower-cased literals})."""
+def guards_of(rules: list[dict]) -> tuple[dict, dict, dict, dict]:
+    """Guard slots: ({(rule, pattern): slot}, {slot: exact literals}, {slot: lower-cased literals}, {slot: (RE2 pattern, looks at the raw text)}).
+
+    A pattern without literals worth looking for is guarded by its RE2 form alone, one that RE2 does not take by its literals alone.
+    """
     slots: dict = {}
     exact: dict = {}
     folded: dict = {}
+    checks: dict = {}
     for i, rule in enumerate(rules):
-        if rule.get("view") == "raw":
-            continue
+        raw = rule.get("view") == "raw"
         for k, pattern in enumerate(rule["patterns"]):
-            literals = required_literals(pattern, rule["case_sensitive"])
+            literals = None if raw else required_literals(pattern, rule["case_sensitive"])
+            check = re2_check(pattern, not rule["case_sensitive"])
             if not literals or any(x in (" ", ".") for x in literals):
+                literals = None
+            elif any(len(x) < 3 and (check or x.isalnum() and not rule["case_sensitive"]) for x in literals):
+                literals = None  # too common to be worth looking for
+            if not literals and not check:
                 continue
-            if not rule["case_sensitive"] and any(len(x) < 3 and x.isalnum() for x in literals):
-                continue  # too common to be worth looking for
             slot = slots[(i, k)] = len(slots)
-            (exact if rule["case_sensitive"] else folded)[slot] = literals
-    return slots, exact, folded
+            if literals:
+                (exact if rule["case_sensitive"] else folded)[slot] = literals
+            if check:
+                checks[slot] = (check, raw)
+    return slots, exact, folded, checks
 
 
 def with_views(messages: DataFrame, rules: list[dict], base64: bool = True, listed: bool = False) -> DataFrame:
@@ -61,7 +70,7 @@ def with_views(messages: DataFrame, rules: list[dict], base64: bool = True, list
 
     ``seen`` packs the guard slots found into words, or with ``listed`` names them.
     """
-    slots, exact, folded = guards_of(rules)
+    slots, exact, folded, checks = guards_of(rules)
 
     def expand(f: Column) -> Column:
         plain = F.array(F.struct(f["name"].alias("name"), f["value"].alias("value"), F.lit("").alias("enc")))
@@ -78,7 +87,7 @@ def with_views(messages: DataFrame, rules: list[dict], base64: bool = True, list
     return (
         messages
         .withColumn("_raw_views", F.flatten(F.transform("fields", expand)))
-        .withColumn("_scan", scan_slots(texts, exact, folded) if listed else scan_views(texts, exact, folded, len(slots)))
+        .withColumn("_scan", scan_slots(texts, exact, folded, checks) if listed else scan_views(texts, exact, folded, checks, len(slots)))
         .withColumn("_views", F.zip_with("_raw_views", "_scan", lambda v, n: F.struct(
             v["name"].alias("name"), v["value"].alias("value"), v["enc"].alias("enc"),
             _visible(F.coalesce(n["nfkc"], v["value"])).alias("norm"), n[seen].alias("seen"))))
@@ -161,7 +170,7 @@ def _fields_regex(rule: dict) -> str | None:
 
 
 def pattern_rows(rules: list[dict]) -> list[tuple]:
-    """One row per pattern, as ``_PATTERN_ROW``. Slot -1 holds the patterns without a literal to look for."""
+    """One row per pattern, as ``_PATTERN_ROW``. Slot -1 holds the patterns that have no guard."""
     slots = guards_of(rules)[0]
     return [(slots.get((i, k), -1), i, k, to_java(pattern, r["case_sensitive"]), r.get("view") == "raw", r["targets"], r["directions"],
              _fields_regex(r), r["id"], r["category"], r["severity"], r["description"], r["confidence"] or DEFAULT_CONFIDENCE, r["mode"],
@@ -189,7 +198,7 @@ def _accepts(allowed: str, value: str) -> Column:
 def find_by_table(messages: DataFrame, rules: list[dict], base64: bool = True, rule_bytes: int = RULE_BYTES) -> DataFrame:
     """(``msg_id``, findings) of messages with findings, with the rules as rows of a table.
 
-    A view is joined with the patterns whose required literals it holds, and with those that require none. Pattern rows are broadcast, in parts
+    A view is joined with the patterns whose guards it holds, and with those that have none. Pattern rows are broadcast, in parts
     of at most ``rule_bytes``; only rows that matched are shuffled, once, by message. ``msg_id`` must be unique.
     """
     spark = messages.sparkSession
