@@ -62,10 +62,17 @@ FEATURES = ("role_marker", "override_imperative", "new_role", "exfil_imperative"
             "imperative_density", "length_anomaly")
 
 
-def _any(text: Column, phrases: list[str]) -> Column:
-    out = None
+def _any(text: Column, phrases: list[str], stems: tuple[str, ...] = ()) -> Column:
+    """Whether any phrase is in the text; those that share a stem are looked for only where the stem is."""
+    groups: dict[str, list[str]] = {}
     for phrase in phrases:
-        hit = text.contains(phrase)
+        stem = next((x for x in stems if x in phrase), phrase)
+        groups.setdefault(stem, []).append(phrase)
+    out = None
+    for stem, members in groups.items():
+        hit = text.contains(stem)
+        if members != [stem]:
+            hit = hit & _any(text, members)
         out = hit if out is None else out | hit
     return out
 
@@ -85,9 +92,11 @@ def padded(tokens: Column) -> Column:
 
 
 def role_marker(lower: Column) -> Column:
-    base = F.when(_any(lower, ROLE_MARKERS), 0.95).when(_any(lower, ROLE_PHRASES), 0.55).otherwise(0.0)
-    bonus = F.when((base > 0) & _any(lower, CONTROL_WORDS), 0.05).otherwise(0.0)
-    return _clamp(base + bonus)
+    # inside each branch, so that markers and phrases are not looked for once more to know whether there was one
+    bonus = F.when(_any(lower, CONTROL_WORDS), 0.05).otherwise(0.0)
+    return _clamp(
+        F.when(_any(lower, ROLE_MARKERS, ("<", "[")), F.lit(0.95) + bonus)
+        .when(_any(lower, ROLE_PHRASES, (" the assistant", " the system")), F.lit(0.55) + bonus).otherwise(0.0))
 
 
 def override_imperative(lower: Column, words: Column, n: Column) -> Column:
@@ -104,7 +113,7 @@ def override_imperative(lower: Column, words: Column, n: Column) -> Column:
 
 def new_role(lower: Column) -> Column:
     return (
-        F.when(_any(lower, NEW_ROLE_PHRASES), 0.7)
+        F.when(_any(lower, NEW_ROLE_PHRASES, ("you are ", "role")), 0.7)
         .when(_any(lower, LAPSED_PHRASES) & _any(lower, TIME_PHRASES), 0.75)
         .when(_any(lower, AUTHORITY_PHRASES) & _any(lower, PRINCIPALS), 0.7)
         .otherwise(0.0)
